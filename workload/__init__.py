@@ -1,5 +1,5 @@
 """Queries over the given tables; importing a module registers its queries."""
 
-from workload import reporting
+from workload import reporting, understanding
 
-MODULES = [reporting]
+MODULES = [reporting, understanding]
