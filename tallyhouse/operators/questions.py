@@ -325,9 +325,9 @@ def mine_chart_rows(df: DataFrame, reply: str) -> DataFrame:
 
     Each row keeps its members as a map of strings.
     """
-    rows = F.from_json(F.trim(F.col(reply)), "array<map<string,string>>")
-    # an object would be read as an array of one, and is no array
-    is_array = F.ltrim(F.col(reply)).startswith("[") & F.get_json_object(F.col(reply), "$").isNotNull()
+    rows = F.from_json(F.col(reply), "array<map<string,string>>")
+    whole = F.schema_of_variant(one_json(tx.strip(F.col(reply))))
+    is_array = F.coalesce(whole.rlike("^ARRAY<(OBJECT|VOID)"), F.lit(False))
     fallback = F.array(
         *[
             F.create_map(F.lit("category"), F.lit(f"Insight {i}"), F.lit("value"), F.lit(str(v)))

@@ -18,9 +18,13 @@ class Warehouse:
         self.spark = spark
         self.root = root.rstrip("/")
         self.names = tuple(names)
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """The table; its footer is read once per warehouse object."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._opened[name]
 
     def find(self, name: str) -> DataFrame | None:
         """The table, or None when it does not exist."""

@@ -43,7 +43,9 @@ def canon(value):
 
 def compare(df, con, sql):
     columns = sorted(df.columns)
+    start = time.time()
     got = sorted(tuple(canon(r[c]) for c in columns) for r in df.collect())
+    print(f"  collected in {time.time() - start:.1f}s", end=" ")
     result = con.sql(sql)
     names = list(result.columns)
     if sorted(names) != columns:

@@ -1,5 +1,5 @@
 """Queries over the given tables; importing a module registers its queries."""
 
-from workload import reporting, understanding
+from workload import modelling, reporting, understanding
 
-MODULES = [reporting, understanding]
+MODULES = [reporting, understanding, modelling]
