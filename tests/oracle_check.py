@@ -73,6 +73,7 @@ def main(names, sf_dir):
         start = time.time()
         try:
             df = queries[name](spark, sf_dir)
+            print(f"  built in {time.time() - start:.1f}s", end=" ")
             if name in oracles:
                 problem, n = compare(df, con, oracles[name])
             else:

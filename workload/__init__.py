@@ -1,5 +1,5 @@
 """Queries over the given tables; importing a module registers its queries."""
 
-from workload import modelling, reporting, understanding
+from workload import modelling, reporting, searching, streams, understanding
 
-MODULES = [reporting, understanding, modelling]
+MODULES = [reporting, understanding, modelling, searching, streams]

@@ -563,7 +563,11 @@ def route_by_intent(wh):
 
 
 def history_log(wh):
-    return wh.table("events").select(
+    return as_history(wh.table("events"))
+
+
+def as_history(events):
+    return events.select(
         F.col("event_id").alias("id"),
         "user_id",
         F.col("event_type").alias("query_type"),
