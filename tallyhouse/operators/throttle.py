@@ -22,6 +22,8 @@ all events of a busy key:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -33,8 +35,46 @@ from tallyhouse.session import cut_lineage
 BLOCK_REACHES = 4
 
 
+def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of a sorted partition, cut so that no key and block is torn apart.
+
+    A column ``group`` numbers the groups of a batch.
+    """
+    rest = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
+        blocks = rows["block"].to_numpy()
+        fresh = np.append(False, (np.diff(codes) != 0) | (np.diff(blocks) != 0))
+        rows = rows.assign(group=np.cumsum(fresh))
+        border = np.flatnonzero(fresh)
+        if len(border):
+            yield rows.iloc[: border[-1]]
+            rest = rows.iloc[border[-1] :].drop(columns="group")
+        else:
+            rest = rows.drop(columns="group")
+    if rest is not None:
+        yield rest.assign(group=0)
+
+
 def _block_functions(max_events: int, gap: int, reach: int, width: int):
-    """The two functions that run per key and block (times in microseconds)."""
+    """The two functions that run over partitions sorted by key, block and time.
+
+    All groups of a batch are laid on one time axis, further apart than a
+    pause, so that each step is one array operation. Times are microseconds.
+    """
+    span = width + reach + 4 * gap
+
+    def axis(rows: pd.DataFrame) -> np.ndarray:
+        """Time since shortly before the block, on the common axis."""
+        inside = rows["t"].to_numpy() - rows["block"].to_numpy() * width + gap
+        return rows["group"].to_numpy().astype(np.int64) * span + inside
+
+    def owned(times: np.ndarray) -> np.ndarray:
+        inside = times % span - gap
+        return (inside >= 0) & (inside < width)
 
     def steps(times: np.ndarray, counts: np.ndarray):
         """For each time as a start: the last time that passes, and the next start."""
@@ -50,49 +90,55 @@ def _block_functions(max_events: int, gap: int, reach: int, width: int):
         following = np.where(full & (following < ends), following, -1)
         return before, last, following
 
-    def arranged(block: int, runs: pd.DataFrame):
-        runs = runs.sort_values("t")
-        times = runs["t"].to_numpy()
-        counts = runs["n"].to_numpy()
-        own = (times >= block * width) & (times < (block + 1) * width)
-        natural = np.append(True, np.diff(times) > gap) & own
-        return times, counts, own, natural
-
-    def exits(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        block = key[1]
-        times, counts, own, natural = arranged(block, runs)
-        _, _, following = steps(times, counts)
-        pointer = following
-        while True:
-            inside = (pointer >= 0) & own[pointer]
-            if not inside.any():
-                break
-            pointer = np.where(inside, pointer[pointer], pointer)
-        may_enter = own & (times < block * width + reach)
-        wanted = natural | (may_enter & (pointer >= 0))
-        leave = np.where(pointer >= 0, times[pointer], -1)
-        return pd.DataFrame(
-            {"key": key[0], "t": times[wanted], "natural": natural[wanted], "leave": leave[wanted]}
-        )
-
-    def passes(key: tuple, runs: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key": [], "t": [], "allowed": []})
-        if not len(starts) or not len(runs):
-            return empty
-        times, counts, own, _ = arranged(key[1], runs)
-        before, last, following = steps(times, counts)
-        found_times, found_counts = [], []
-        for first in np.searchsorted(times, np.unique(starts["t"].to_numpy())):
-            at = first
-            while at >= 0 and own[at]:
-                upto = slice(at, last[at] + 1)
-                left = before[at] + max_events - before[upto]
-                found_times.append(times[upto])
-                found_counts.append(np.minimum(counts[upto], left))
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_groups(batches):
+            times, counts = axis(rows), rows["n"].to_numpy()
+            own = owned(times)
+            natural = np.append(True, np.diff(times) > gap) & own
+            _, _, pointer = steps(times, counts)
+            while True:
+                inside = (pointer >= 0) & own[pointer]
+                if not inside.any():
+                    break
+                pointer = np.where(inside, pointer[pointer], pointer)
+            may_enter = own & (times % span - gap < reach)
+            wanted = natural | (may_enter & (pointer >= 0))
+            t = rows["t"].to_numpy()
+            leave = np.where(pointer >= 0, t[pointer], -1)
+            yield pd.DataFrame(
+                {
+                    "key": rows["key"][wanted],
+                    "t": t[wanted],
+                    "natural": natural[wanted],
+                    "leave": leave[wanted],
+                }
+            )
+
+    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for both in _whole_groups(batches):
+            is_start = both["start"].to_numpy()
+            rows = both[~is_start]
+            times, counts = axis(rows), rows["n"].to_numpy()
+            if not len(times):
+                continue
+            own = owned(times)
+            before, last, following = steps(times, counts)
+            at = np.searchsorted(times, np.unique(axis(both[is_start])))
+            while len(at):
+                sizes = last[at] - at + 1
+                first = np.repeat(at, sizes)
+                upto = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                left = before[first] + max_events - before[upto]
+                yield pd.DataFrame(
+                    {
+                        "key": rows["key"].iloc[upto],
+                        "t": rows["t"].to_numpy()[upto],
+                        "allowed": np.minimum(counts[upto], left),
+                    }
+                )
                 at = following[at]
-        return pd.DataFrame(
-            {"key": key[0], "t": np.concatenate(found_times), "allowed": np.concatenate(found_counts)}
-        )
+                at = at[at >= 0]
+                at = at[own[at]]
 
     return exits, passes
 
@@ -113,7 +159,7 @@ def _reachable(links: DataFrame) -> DataFrame:
         if further.isEmpty():
             break
         entered = cut_lineage(entered.unionByName(further))
-        twice = jumps.withColumnsRenamed({"t": "leave", "leave": "far"})
+        twice = jumps.select("key", F.col("t").alias("leave"), F.col("leave").alias("far"))
         jumps = cut_lineage(
             jumps.join(twice, ["key", "leave"]).select("key", "t", F.col("far").alias("leave"))
         )
@@ -146,15 +192,18 @@ def throttle(
         )
     )
     in_blocks = runs.withColumn("block", F.explode(blocks))
-    links = in_blocks.groupBy("key", "block").applyInPandas(
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.repartition("key", "block").sortWithinPartitions("key", "block", "t")
+
+    links = by_block(in_blocks).mapInPandas(
         exits, f"key {key_type}, t long, natural boolean, leave long"
     )
-    starts = _reachable(links).withColumn("block", block)
-    allowed = (
-        starts.groupBy("key", "block")
-        .cogroup(in_blocks.groupBy("key", "block"))
-        .applyInPandas(lambda k, s, r: passes(k, r, s), f"key {key_type}, t long, allowed long")
+    starts = _reachable(links).select(
+        "key", "t", F.lit(0).cast("long").alias("n"), block.alias("block"), F.lit(True).alias("start")
     )
+    marked = in_blocks.withColumn("start", F.lit(False)).unionByName(starts)
+    allowed = by_block(marked).mapInPandas(passes, f"key {key_type}, t long, allowed long")
     passed = cut_lineage(runs.join(allowed, ["key", "t"]))
 
     # where only some events of one time pass, they are those up to a cut-off id
