@@ -15,23 +15,35 @@ WHITE_SPACE = (
 SPLIT_PATTERN = r"[\s\x0B\x{85}\p{Z}]+"
 
 
+# Longer word lists become a constant array that a lambda runs over: spelled out
+# they make generated methods too large for the JVM to compile.
+MAX_CHAIN = 12
+
+
+def constants(words: list[str]) -> Column:
+    """An array of constant strings (without tabs), folded by the optimizer."""
+    return F.split(F.lit("\t".join(words)), "\t") if words else F.array().cast("array<string>")
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether any of the words occurs as a substring.
 
-    A chain of substring searches stays in generated code and stops at the
-    first hit; a regular expression of alternatives is slower on long texts.
+    Substring searches stop at the first hit and are faster on long texts than
+    a regular expression of alternatives.
     """
+    if len(words) > MAX_CHAIN:
+        return F.exists(constants(words), lambda w: text.contains(w))
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def count_hits(text: Column, words: list[str]) -> Column:
-    """How many of the words occur as substrings."""
-    return reduce(lambda a, b: a + b, [text.contains(w).cast("int") for w in words])
-
-
 def hits(text: Column, words: list[str]) -> Column:
     """The words that occur as substrings, in list order."""
-    return F.array_compact(F.array(*[F.when(text.contains(w), F.lit(w)) for w in words]))
+    return F.filter(constants(words), lambda w: text.contains(w))
+
+
+def count_hits(text: Column, words: list[str]) -> Column:
+    """How many of the words occur as substrings."""
+    return F.size(hits(text, words))
 
 
 def first_rule(text: Column, rules: list[list[str]]) -> Column:
@@ -49,8 +61,10 @@ def pick(index: Column, values: list) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Without white space at either end."""
-    return F.btrim(text, F.lit(WHITE_SPACE))
+    """Without white space at either end; most texts have none and are passed on."""
+    outer = [F.substring(text, 1, 1), F.substring(text, -1, 1)]
+    padded = reduce(lambda a, b: a | b, [c.isin(list(WHITE_SPACE)) for c in outer])
+    return F.when(padded, F.btrim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -61,11 +75,16 @@ def words(text: Column) -> Column:
 def keywords(text: Column, stop_words: list[str], punctuation: str, min_bytes: int) -> Column:
     """Lower-case words without outer punctuation, stop words and short words."""
     bare = F.transform(words(F.lower(text)), lambda w: F.btrim(w, F.lit(punctuation)))
-    return F.filter(bare, lambda w: ~w.isin(stop_words) & (F.octet_length(w) >= min_bytes))
+    return F.filter(bare, lambda w: (F.octet_length(w) >= min_bytes) & ~w.isin(stop_words))
+
+
+def folded(text: Column) -> Column:
+    """A text in which letters that match regardless of case are the same."""
+    return F.lower(F.upper(text))
 
 
 def find_all(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, whatever its groups."""
+    """All matches of a pattern regardless of case, whatever its groups."""
     return F.regexp_extract_all(text, F.lit("(?iu)" + pattern), F.lit(0))
 
 

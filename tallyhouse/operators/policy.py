@@ -38,41 +38,55 @@ NAME_SHAPE = r"^[a-zA-Z0-9\t\n\f\r \-_]+\z"
 UUID_SHAPE = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z"
 
 
-def statement_verdict(sql: Column) -> Column:
-    """ok, too_long, invalid or dangerous; the first rule that applies decides."""
-    body = tx.strip(sql)
-    upper = F.upper(body)
+def audit(df: DataFrame, sql: str) -> DataFrame:
+    """Verdict on every statement, and the refused parts found in it.
+
+    The verdict is ok, too_long, invalid or dangerous; the first rule that
+    applies decides. Parts are searched for once, in a column of their own.
+    """
+    body, upper = F.col("_body"), F.col("_upper")
     inner = F.when(body.endswith(";"), F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
     shaped = body.rlike(FROM_SHAPE) | body.rlike(CONSTANT_SHAPE)
-    return (
-        F.when(F.octet_length(sql) > MAX_STATEMENT, "too_long")
+    verdict = (
+        F.when(F.octet_length(F.col(sql)) > MAX_STATEMENT, "too_long")
         .when(body == "", "invalid")
         .when(~upper.startswith("SELECT"), "dangerous")
-        .when(tx.contains_any(upper, DANGEROUS_PARTS), "dangerous")
+        .when(F.size("refused_parts") > 0, "dangerous")
         .when(inner.contains(";"), "dangerous")
         .when(~shaped, "invalid")
         .otherwise("ok")
     )
+    return (
+        df.withColumn("_body", tx.strip(F.col(sql)))
+        .withColumn("_upper", F.upper("_body"))
+        .withColumn("refused_parts", tx.hits(upper, DANGEROUS_PARTS))
+        .withColumn("verdict", verdict)
+        .drop("_body", "_upper")
+    )
 
 
-def request_verdict(sql: Column) -> Column:
-    upper = F.upper(sql)
-    return (
-        F.when(sql == "", "invalid")
-        .when(F.octet_length(sql) > MAX_REQUEST, "too_long")
+def check_requests(df: DataFrame, sql: str) -> DataFrame:
+    """Verdict of the stricter check of statements in requests."""
+    upper = F.col("_upper")
+    verdict = (
+        F.when(F.col(sql) == "", "invalid")
+        .when(F.octet_length(F.col(sql)) > MAX_REQUEST, "too_long")
         .when(~tx.strip(upper).startswith("SELECT"), "bad_format")
         .when(tx.contains_any(upper, REQUEST_PARTS), "suspicious")
         .otherwise("ok")
     )
+    return df.withColumn("_upper", F.upper(F.col(sql))).withColumn("verdict", verdict).drop("_upper")
 
 
-def question_verdict(question: Column) -> Column:
-    return (
-        F.when(question == "", "invalid")
-        .when(F.octet_length(question) > MAX_QUESTION, "too_long")
-        .when(tx.contains_any(F.lower(question), SUSPICIOUS_PARTS), "suspicious")
+def check_questions(df: DataFrame, question: str) -> DataFrame:
+    """Verdict on texts that are sent as questions."""
+    verdict = (
+        F.when(F.col(question) == "", "invalid")
+        .when(F.octet_length(F.col(question)) > MAX_QUESTION, "too_long")
+        .when(tx.contains_any(F.col("_lower"), SUSPICIOUS_PARTS), "suspicious")
         .otherwise("ok")
     )
+    return df.withColumn("_lower", F.lower(F.col(question))).withColumn("verdict", verdict).drop("_lower")
 
 
 def name_verdict(name: Column) -> Column:
@@ -88,20 +102,9 @@ def id_verdict(id: Column) -> Column:
     return F.when(id == "", "invalid").when(~id.rlike(UUID_SHAPE), "bad_format").otherwise("ok")
 
 
-def audit(df: DataFrame, sql: str) -> DataFrame:
-    """Verdict on every statement, and the refused parts found in it."""
-    upper = F.upper(F.col(sql))
-    return df.withColumns(
-        {
-            "verdict": statement_verdict(F.col(sql)),
-            "refused_parts": tx.hits(upper, DANGEROUS_PARTS),
-        }
-    )
-
-
 def guarded_sql(spark: SparkSession, sql: str) -> DataFrame:
     """Run one statement on the registered views if the policy allows it."""
-    verdict = spark.range(1).select(statement_verdict(F.lit(sql)).alias("v")).first().v
+    verdict = audit(spark.range(1).select(F.lit(sql).alias("sql")), "sql").first().verdict
     if verdict != "ok":
         raise PermissionError(f"statement refused: {verdict}")
     return spark.sql(sql.strip().removesuffix(";"))

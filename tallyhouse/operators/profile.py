@@ -55,19 +55,23 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return frames[0]
 
 
-def _summaries(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Row count, non-null count and estimated distinct count of every column."""
+def _summaries(tables: Mapping[str, DataFrame], all_estimates: bool, smallest: bool) -> DataFrame:
+    """Row count, non-null count, estimated distinct count and minimum of every column.
+
+    Without ``all_estimates`` distinct values are estimated for texts only.
+    """
     frames = []
     for name, df in tables.items():
         totals, cells = ["count(*) AS _rows"], []
         for i, f in enumerate(df.schema.fields):
             c = _column(f.name)
-            estimated = isinstance(f.dataType, T.StringType) or _maybe_unique(f)
+            estimated = isinstance(f.dataType, T.StringType) or (all_estimates and _maybe_unique(f))
             estimate = f"approx_count_distinct({c})" if estimated else "CAST(NULL AS bigint)"
-            totals += [f"count({c}) AS n{i}", f"{estimate} AS d{i}"]
+            least = f"min({c})" if smallest and not _nested(f.dataType) else "NULL"
+            totals += [f"count({c}) AS n{i}", f"{estimate} AS d{i}", f"CAST({least} AS string) AS m{i}"]
             cells.append(
                 f"struct({_quoted(name)} AS table_name, {i} AS position, _rows AS n_rows, "
-                f"n{i} AS n_nonnull, d{i} AS estimate)"
+                f"n{i} AS n_nonnull, d{i} AS estimate, m{i} AS least)"
             )
         frames.append(_laid_out(df, totals, cells))
     return _union(frames)
@@ -109,25 +113,29 @@ def _exact_counts(columns: list[tuple[str, str, DataFrame, T.DataType]]) -> dict
     return {(r.table_name, r.column_name): (r.n_distinct, r.most or 0) for r in rows}
 
 
-def _smallest(wanted: Mapping[str, list[T.StructField]], tables: Mapping[str, DataFrame], n: int) -> dict:
+def _smallest(
+    wanted: Mapping[str, list[T.StructField]], tables: Mapping[str, DataFrame], found: dict, n: int
+) -> dict:
     """The ``n`` smallest distinct values of each column, as text.
 
-    Each round is one pass per table that looks for the smallest value above
-    the one before: no values are shuffled or collected into lists.
+    ``found`` holds the smallest. Each further round is one pass per table that
+    looks for the smallest value above the one before: no values are shuffled
+    or collected into lists.
     """
-    found: dict = {(t, f.name): [] for t, fields in wanted.items() for f in fields}
-    for _ in range(n):
+    for _ in range(n - 1):
         frames = []
         for table, fields in wanted.items():
             totals, cells = [], []
             for i, f in enumerate(fields):
                 value, seen = _column(f.name), found[table, f.name]
-                if seen:
-                    least = f"CAST({_quoted(seen[-1])} AS {f.dataType.simpleString()})"
-                    value = f"CASE WHEN {value} > {least} THEN {value} END"
+                if not seen:
+                    continue
+                least = f"CAST({_quoted(seen[-1])} AS {f.dataType.simpleString()})"
+                value = f"CASE WHEN {value} > {least} THEN {value} END"
                 totals.append(f"CAST(min({value}) AS string) AS v{i}")
                 cells.append(f"struct({_quoted(table)} AS t, {_quoted(f.name)} AS c, v{i} AS v)")
-            frames.append(_laid_out(tables[table], totals, cells))
+            if cells:
+                frames.append(_laid_out(tables[table], totals, cells))
         if not frames:
             break
         for r in _union(frames).collect():
@@ -150,7 +158,8 @@ def profile_columns(
     counts; only columns whose estimate does not settle the matter are counted
     exactly.
     """
-    summary = {(r.table_name, r.position): r for r in _summaries(tables).collect()}
+    first_pass = _summaries(tables, check_unique, samples > 0)
+    summary = {(r.table_name, r.position): r for r in first_pass.collect()}
     limits, unsettled = {}, []
     for table, df in tables.items():
         for i, f in enumerate(df.schema.fields):
@@ -186,7 +195,11 @@ def profile_columns(
                 [idx, table, i + 1, f.name, f.dataType.simpleString(), row.n_rows, row.n_nonnull]
                 + [is_id, metric, dimension, when, currency, row.n_nonnull < row.n_rows, unique]
             )
-    smallest = _smallest(wanted, tables, samples) if samples else {}
+    least = {
+        (t, f.name): [summary[t, tables[t].columns.index(f.name)].least] for t, fs in wanted.items() for f in fs
+    }
+    found = {k: [v for v in values if v is not None] for k, values in least.items()}
+    smallest = _smallest(wanted, tables, found, samples) if samples else {}
     data = [tuple(r) + (smallest.get((r[1], r[3]), []),) for r in rows]
     return spark.createDataFrame(data, CATALOG_SCHEMA)
 

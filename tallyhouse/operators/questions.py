@@ -91,16 +91,20 @@ STOP_WORDS = [
 ]
 PUNCTUATION = ".,!?;:'\""
 
+# each pattern with words of which a match must contain one
 TIME_PATTERNS = [
-    r"(last|past|previous)\s+(week|month|quarter|year|day|hour)",
-    r"(this|current)\s+(week|month|quarter|year|day)",
-    r"\d{4}-\d{2}-\d{2}",
-    r"(yesterday|today|tomorrow)",
+    (r"(last|past|previous)\s+(week|month|quarter|year|day|hour)", ["last", "past", "previous"]),
+    (r"(this|current)\s+(week|month|quarter|year|day)", ["this", "current"]),
+    (r"\d{4}-\d{2}-\d{2}", ["-"]),
+    (r"(yesterday|today|tomorrow)", ["yesterday", "today", "tomorrow"]),
 ]
 METRIC_PATTERNS = [
-    r"(sales|revenue|profit|cost|price|amount|value)",
-    r"(count|number|quantity|volume|total)",
-    r"(rate|percentage|ratio|proportion)",
+    (
+        r"(sales|revenue|profit|cost|price|amount|value)",
+        ["sales", "revenue", "profit", "cost", "price", "amount", "value"],
+    ),
+    (r"(count|number|quantity|volume|total)", ["count", "number", "quantity", "volume", "total"]),
+    (r"(rate|percentage|ratio|proportion)", ["rate", "percentage", "ratio", "proportion"]),
 ]
 
 
@@ -222,22 +226,28 @@ def extract_keywords(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("keywords", tx.keywords(F.col(text), STOP_WORDS, PUNCTUATION, 3))
 
 
-def entity_matches(text: Column, patterns: list[str], last_pattern: bool) -> Column:
-    """Matches of all patterns, or of the last pattern that matches."""
-    found = [tx.find_all(text, p) for p in patterns]
-    if not last_pattern:
-        return F.flatten(F.array(*found))
-    kept = [F.when(F.size(m) > 0, m) for m in reversed(found)]
-    return F.coalesce(*kept, F.array().cast("array<string>"))
+def extract_entities(df: DataFrame, text: str, last_pattern: bool = False) -> DataFrame:
+    """Time and metric expressions: matches of all patterns, or of the last that matches.
+
+    A pattern runs only on texts that contain one of its words.
+    """
+    none = F.array().cast("array<string>")
+    found = {}
+    for kind, patterns in (("time", TIME_PATTERNS), ("metric", METRIC_PATTERNS)):
+        for i, (pattern, needed) in enumerate(patterns):
+            possible = tx.contains_any(F.col("_folded"), needed)
+            found[f"_{kind}{i}"] = F.when(possible, tx.find_all(F.col(text), pattern)).otherwise(none)
+    matched = df.withColumn("_folded", tx.folded(F.col(text))).withColumns(found)
 
+    def combined(kind: str) -> Column:
+        columns = [F.col(c) for c in found if c.startswith(f"_{kind}")]
+        if not last_pattern:
+            return F.concat(*columns)
+        return F.coalesce(*[F.when(F.size(c) > 0, c) for c in reversed(columns)], none)
 
-def extract_entities(df: DataFrame, text: str, last_pattern: bool = False) -> DataFrame:
-    return df.withColumns(
-        {
-            "time_expressions": entity_matches(F.col(text), TIME_PATTERNS, last_pattern),
-            "metric_expressions": entity_matches(F.col(text), METRIC_PATTERNS, last_pattern),
-        }
-    )
+    return matched.withColumns(
+        {"time_expressions": combined("time"), "metric_expressions": combined("metric")}
+    ).drop("_folded", *found)
 
 
 # Canned statement per keyword rule, first match wins.
@@ -326,7 +336,8 @@ def mine_chart_rows(df: DataFrame, reply: str) -> DataFrame:
     Each row keeps its members as a map of strings.
     """
     rows = F.from_json(F.col(reply), "array<map<string,string>>")
-    whole = F.schema_of_variant(one_json(tx.strip(F.col(reply))))
+    text = tx.strip(F.col(reply))
+    whole = F.when(text.startswith("["), F.schema_of_variant(one_json(text)))
     is_array = F.coalesce(whole.rlike("^ARRAY<(OBJECT|VOID)"), F.lit(False))
     fallback = F.array(
         *[

@@ -10,8 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,35 +20,49 @@ MAX_SLICE = 1024
 DIMENSIONS = 384
 
 
+# Texts are embedded in pieces of about this many bytes.
+PIECE_BYTES = 1 << 21
+
+
 def hash_embedding(dimensions: int = DIMENSIONS):
     """A deterministic embedding of texts, as a vectorised function.
 
     Component i starts from the hash h = h * 31 + byte + i + j over the bytes j
-    in 64-bit arithmetic. The hash is linear in i, so two sums over the text
-    give all components.
+    in 64-bit arithmetic. The hash is linear in i, so two sums over each text
+    give all components; the sums of a batch run over its bytes at once.
     """
 
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        multiplier = np.uint64(31)
+    def piece(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Components of texts without gaps between them; every size is above 0."""
+        starts = np.cumsum(sizes) - sizes
+        place = np.arange(len(data)) - np.repeat(starts, sizes)
+        powers = np.full(sizes.max(), 31, dtype=np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        weights = powers[np.repeat(sizes, sizes) - 1 - place]
+        terms = weights * (data.astype(np.uint64) + place.astype(np.uint64))
+        base, step = np.add.reduceat(terms, starts), np.add.reduceat(weights, starts)
         index = np.arange(dimensions, dtype=np.uint64)
-        powers = np.ones(1, dtype=np.uint64)
-        rows = []
-        for text in texts:
-            if not text:
-                rows.append(None)
-                continue
-            data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8).astype(np.uint64)
-            if len(data) > len(powers):
-                grown = np.full(2 * len(data), multiplier, dtype=np.uint64)
-                grown[0] = 1
-                powers = np.multiply.accumulate(grown)
-            weights = powers[: len(data)][::-1]
-            base = (weights * (data + np.arange(len(data), dtype=np.uint64))).sum(dtype=np.uint64)
-            hashes = (base + index * weights.sum(dtype=np.uint64)).view(np.int64)
-            values = (np.fmod(hashes, 2000) - 1000) / 1000.0
-            rows.append(values * (1.0 / ((values * values).sum() + 1e-8)))
-        return pd.Series(rows, dtype=object)
+        hashes = (base[:, None] + index[None, :] * step[:, None]).view(np.int64)
+        values = (np.fmod(hashes, 2000) - 1000) / 1000.0
+        return values * (1.0 / ((values * values).sum(axis=1, keepdims=True) + 1e-8))
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        filled = np.flatnonzero(sizes)
+        components = np.empty((len(filled), dimensions))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes[filled]) // PIECE_BYTES)) + 1
+        for part in np.split(np.arange(len(filled)), cuts):
+            if len(part):
+                rows = filled[part]
+                joined = b"".join(t.as_buffer() for t in texts.take(pa.array(rows)))
+                components[part] = piece(np.frombuffer(joined, dtype=np.uint8), sizes[rows])
+        lengths = np.where(sizes > 0, dimensions, 0)
+        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        return pa.ListArray.from_arrays(
+            pa.array(offsets), pa.array(components.ravel()), mask=pa.array(sizes == 0)
+        )
 
     return embed
 
@@ -192,18 +206,20 @@ def nearest_contexts(
     ranked = df.withColumn("hits", F.array().cast(kind))
 
     def score_with(shared):
-        @F.pandas_udf("array<double>")
-        def scores(vectors: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def scores(vectors: pa.Array) -> pa.Array:
             matrix = shared.value
-            known = vectors.notna().to_numpy()
-            rows = np.empty(len(vectors), dtype=object)
-            if known.any():
-                data = np.stack(list(vectors[known])).astype(np.float64)
-                norms = np.linalg.norm(data, axis=1, keepdims=True)
-                data = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
-                for at, row in zip(np.flatnonzero(known), np.round(data @ matrix.T, 9)):
-                    rows[at] = row
-            return pd.Series(rows, index=vectors.index)
+            known = vectors.is_valid().to_numpy(zero_copy_only=False)
+            rows = vectors.drop_null()
+            data = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            data = data.reshape(len(rows), matrix.shape[1])
+            norms = np.linalg.norm(data, axis=1, keepdims=True)
+            data = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
+            result = np.round(data @ matrix.T, 9)
+            offsets = np.append(0, np.cumsum(np.where(known, matrix.shape[0], 0))).astype(np.int32)
+            return pa.ListArray.from_arrays(
+                pa.array(offsets), pa.array(result.ravel()), mask=pa.array(~known)
+            )
 
         return scores
 

@@ -122,18 +122,14 @@ def column_listing(tables: Mapping[str, DataFrame], hidden: tuple[str, ...] = ("
     """
     frames = []
     for name, df in tables.items():
-        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+        fields = df.schema.fields
+        counts = df.selectExpr(*[f"count(`{f.name}`) AS n{i}" for i, f in enumerate(fields)])
         cells = [
-            F.struct(
-                F.lit(name).alias("table_name"),
-                F.lit(field.name).alias("column_name"),
-                F.lit(position).cast("long").alias("ordinal_position"),
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.col(field.name).alias("n_nonnull"),
-            )
-            for position, field in enumerate(df.schema.fields, start=1)
+            f"struct('{name}' AS table_name, '{f.name}' AS column_name, {i + 1}L AS ordinal_position, "
+            f"'{f.dataType.simpleString()}' AS data_type, n{i} AS n_nonnull)"
+            for i, f in enumerate(fields)
         ]
-        frames.append(counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*"))
+        frames.append(counts.selectExpr(f"inline(array({', '.join(cells)}))"))
     listing = reduce(DataFrame.unionAll, frames)
     for pattern in hidden:
         listing = listing.filter(~F.col("table_name").like(pattern))

@@ -204,9 +204,8 @@ def test_policy(spark):
 
 def test_request_checks(spark):
     df = texts(spark, "", "select 1", " SELECT shutdown", "x" * 1001, "a -- b", "update x", "y" * 2001)
-    rows = df.orderBy("id").select(
-        policy.request_verdict(F.col("text")).alias("sql"), policy.question_verdict(F.col("text")).alias("q")
-    )
+    both = policy.check_requests(df, "text").withColumnRenamed("verdict", "sql")
+    rows = policy.check_questions(both, "text").orderBy("id").select("sql", "verdict")
     assert [tuple(r) for r in rows.collect()] == [
         ("invalid", "invalid"),
         ("ok", "ok"),

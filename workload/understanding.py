@@ -275,12 +275,12 @@ def match_datasets(wh):
 
 def entity_sql(patterns):
     return "array_to_string(flatten([" + ", ".join(
-        f"regexp_extract_all(text, '(?i){p}')" for p in patterns
+        f"regexp_extract_all(text, '(?i){p}')" for p, _ in patterns
     ) + "]), '|')"
 
 
 def last_sql(patterns):
-    parts = [f"nullif(array_to_string(regexp_extract_all(text, '(?i){p}'), '|'), '')" for p in reversed(patterns)]
+    parts = [f"nullif(array_to_string(regexp_extract_all(text, '(?i){p}'), '|'), '')" for p, _ in reversed(patterns)]
     return f"coalesce({', '.join(parts)}, '')"
 
 
@@ -442,7 +442,7 @@ def sql_policy_audit(wh):
        FROM statements""",
 )
 def sql_request_check(wh):
-    return statement_log(wh).select("id", policy.request_verdict(F.col("text")).alias("verdict"))
+    return policy.check_requests(statement_log(wh), "text").drop("text")
 
 
 @query(
@@ -460,7 +460,7 @@ def text_request_check(wh):
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("id"), "text"
     )
     texts = documents.unionByName(pages).unionByName(turns)
-    return texts.select("id", policy.question_verdict(F.col("text")).alias("verdict"))
+    return policy.check_questions(texts, "text").drop("text")
 
 
 UUID_SQL = """substr(md5(c_custkey::VARCHAR), 1, 8) || '-' || substr(md5(c_custkey::VARCHAR), 9, 4) || '-4' ||
