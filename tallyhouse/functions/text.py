@@ -32,13 +32,18 @@ def contains_any(text: Column, words: list[str]) -> Column:
     a regular expression of alternatives.
     """
     if len(words) > MAX_CHAIN:
-        return F.exists(constants(words), lambda w: text.contains(w))
+        return F.exists(F.array(text), lambda t: F.exists(constants(words), lambda w: t.contains(w)))
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def hits(text: Column, words: list[str]) -> Column:
-    """The words that occur as substrings, in list order."""
-    return F.filter(constants(words), lambda w: text.contains(w))
+    """The words that occur as substrings, in list order.
+
+    The outer lambda binds the text, so that it is computed once per row and
+    not once per word.
+    """
+    found = F.transform(F.array(text), lambda t: F.filter(constants(words), lambda w: t.contains(w)))
+    return F.get(found, F.lit(0))
 
 
 def count_hits(text: Column, words: list[str]) -> Column:

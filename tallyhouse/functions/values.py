@@ -6,11 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyhouse.functions.text import strip
+
+
+NUMBER_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Infinity)\z"
+HEX_SHAPE = r"^0[xX][0-9a-fA-F]{1,15}\z"
+
+
+def number_from_text(value: Column) -> Column:
+    """The number a text stands for, as a double; NULL when it stands for none."""
+    text = strip(value.cast("string"))
+    hexadecimal = F.conv(F.substring(text, 3, 15), 16, 10).cast("double")
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double")).when(
+        text.rlike(HEX_SHAPE), hexadecimal
+    )
+
 
 def lenient_number(value: Column) -> Column:
     """A number as a double; anything that is not a number counts as 0."""
-    number = F.trim(value.cast("string")).try_cast("double")
-    return F.coalesce(F.nanvl(number, F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(number_from_text(value), F.lit(0.0))
 
 
 def first_truthy(df: DataFrame, names: list[str]) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyhouse.functions.values import first_truthy, grouped_digits, lenient_number
+from tallyhouse.functions.text import strip
+from tallyhouse.functions.values import first_truthy, grouped_digits, lenient_number, number_from_text
 
 # Alias columns in order of preference.
 PERIOD_ALIASES = ["quarter", "Quarter", "month", "Month", "month_year"]
@@ -163,8 +164,12 @@ def kpi_cards(df: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def source_counts(df: DataFrame, source: str = "source") -> DataFrame:
-    """Records per source, and the total in the row without a source."""
-    return df.rollup(source).agg(F.count("*").alias("records"))
+    """Records per source, and the total in the row without a source.
+
+    The total is rolled up from the counts, so rows are not read twice.
+    """
+    counts = df.groupBy(source).agg(F.count("*").alias("records"))
+    return counts.rollup(source).agg(F.sum("records").alias("records"))
 
 
 def preview(df: DataFrame, order: list, n: int = 50) -> DataFrame:
@@ -184,8 +189,7 @@ def classify_columns(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.NumericType, T.BooleanType)):
             numeric = F.lit(True)
         elif isinstance(f.dataType, T.StringType):
-            text = F.trim(F.col(f.name))
-            odd = (text != "") & text.try_cast("double").isNull()
+            odd = (strip(F.col(f.name)) != "") & number_from_text(F.col(f.name)).isNull()
             numeric = F.count_if(odd) == 0
         else:
             numeric = F.lit(False)

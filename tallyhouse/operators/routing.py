@@ -95,6 +95,10 @@ def _active_types(sources: DataFrame) -> list[str]:
     return sorted(r.type for r in rows)
 
 
+def _connected(sources: DataFrame) -> DataFrame:
+    return sources.filter(F.col("status") == "connected").select(F.col("id").alias("source_id"), "type")
+
+
 def by_type(types: list[str], value: Callable[[str], Column]) -> Column:
     """A map from each type to its value (empty without types)."""
     pairs = [x for t in types for x in (F.lit(t), value(t).cast("int"))]
@@ -121,21 +125,27 @@ def _expand(
             "type", "priority"
         ),
     )
-    connected = sources.filter(F.col("status") == "connected").select(
-        F.col("id").alias("source_id"), "type"
-    )
-    return typed.join(connected, "type").select(key, "source_id", "type", "priority")
+    return typed.join(_connected(sources), "type").select(key, "source_id", "type", "priority")
 
 
-def route_by_request(df: DataFrame, key: str, requested: str, sources: DataFrame) -> DataFrame:
-    """The connected ones among the sources a question asks for."""
-    connected = sources.filter(F.col("status") == "connected").select(
-        F.col("id").alias("source_id"), "type"
-    )
-    asked = df.select(key, F.explode(F.array_distinct(F.col(requested))).alias("source_id"))
-    return asked.join(connected, "source_id").select(
-        key, "source_id", "type", F.lit(0).alias("priority")
-    )
+# Connected sources up to this number are looked up within the row.
+MAX_LISTED = 1000
+
+
+def _split_by_request(
+    df: DataFrame, key: str, requested: str, connected: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(question, source) pairs of the connected sources asked for, and the other questions."""
+    asked_for = F.array_distinct(F.col(requested))
+    listed = [r.source_id for r in connected.select("source_id").limit(MAX_LISTED + 1).collect()]
+    if len(listed) <= MAX_LISTED:
+        ids = F.array(*[F.lit(i) for i in listed]).cast(df.schema[requested].dataType)
+        none = F.array().cast(df.schema[requested].dataType)
+        marked = df.withColumn("_asked", F.coalesce(F.array_intersect(asked_for, ids), none))
+        pairs = marked.select(key, F.explode("_asked").alias("source_id"))
+        return pairs.join(connected, "source_id"), marked.filter(F.size("_asked") == 0).drop("_asked")
+    pairs = df.select(key, F.explode(asked_for).alias("source_id")).join(connected, "source_id")
+    return pairs, df.join(pairs.select(key).distinct(), key, "left_anti")
 
 
 def route_queries(
@@ -148,17 +158,20 @@ def route_queries(
     fits.
     """
     types = _active_types(sources)
-    low = F.lower(F.col(text))
 
     def priority(t: str) -> Column:
         words = TYPE_WORDS.get(t)
-        return F.when(tx.contains_any(low, words), 0) if words else F.lit(0)
+        return F.when(tx.contains_any(F.col("_lower"), words), 0) if words else F.lit(0)
+
+    def by_words(questions: DataFrame) -> DataFrame:
+        lower = questions.withColumn("_lower", F.lower(F.col(text)))
+        return _expand(lower, key, priority, types, sources)
 
     if requested is None:
-        return _expand(df, key, priority, types, sources)
-    direct = route_by_request(df, key, requested, sources)
-    rest = df.join(direct.select(key).distinct(), key, "left_anti")
-    return direct.unionByName(_expand(rest, key, priority, types, sources))
+        return by_words(df)
+    pairs, rest = _split_by_request(df, key, requested, _connected(sources))
+    direct = pairs.select(key, "source_id", "type", F.lit(0).alias("priority"))
+    return direct.unionByName(by_words(rest))
 
 
 def route_by_intent(df: DataFrame, key: str, intent: str, action: str, sources: DataFrame) -> DataFrame:

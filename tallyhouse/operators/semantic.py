@@ -380,7 +380,7 @@ def domain_contexts(catalog: DataFrame, tags: DataFrame | None = None) -> DataFr
 
 
 def search_text(contexts: DataFrame, with_columns: bool = True) -> DataFrame:
-    """One text per domain context, as input for an embedding.
+    """The contexts with one text each, as input for an embedding.
 
     Without ``with_columns`` metrics, dimensions and column names are left out.
     """
@@ -404,4 +404,4 @@ def search_text(contexts: DataFrame, with_columns: bool = True) -> DataFrame:
         per("patterns", lambda p: F.concat_ws(" ", p["description"], p["keywords"], p["examples"])),
     ]
     filled = F.filter(F.array(*parts), lambda p: p != "")
-    return contexts.select("domain", F.concat_ws(" ", filled).alias("search_text"))
+    return contexts.withColumn("search_text", F.concat_ws(" ", filled))

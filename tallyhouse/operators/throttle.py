@@ -35,38 +35,38 @@ from tallyhouse.session import cut_lineage
 BLOCK_REACHES = 4
 
 
-def _whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of a sorted partition, cut so that no key and block is torn apart.
-
-    A column ``group`` numbers the groups of a batch.
-    """
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
-        blocks = rows["block"].to_numpy()
-        fresh = np.append(False, (np.diff(codes) != 0) | (np.diff(blocks) != 0))
-        rows = rows.assign(group=np.cumsum(fresh))
-        border = np.flatnonzero(fresh)
-        if len(border):
-            yield rows.iloc[: border[-1]]
-            rest = rows.iloc[border[-1] :].drop(columns="group")
-        else:
-            rest = rows.drop(columns="group")
-    if rest is not None:
-        yield rest.assign(group=0)
-
-
 def _block_functions(max_events: int, gap: int, reach: int, width: int):
     """The two functions that run over partitions sorted by key, block and time.
 
     All groups of a batch are laid on one time axis, further apart than a
     pause, so that each step is one array operation. Times are microseconds.
+    Everything the tasks need is defined in here, so it travels with them.
     """
     span = width + reach + 4 * gap
 
+    def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Batches of a sorted partition, cut so that no key and block is torn apart.
+
+        A column ``group`` numbers the groups of a batch.
+        """
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
+            blocks = rows["block"].to_numpy()
+            fresh = np.append(False, (np.diff(codes) != 0) | (np.diff(blocks) != 0))
+            rows = rows.assign(group=np.cumsum(fresh))
+            border = np.flatnonzero(fresh)
+            if len(border):
+                yield rows.iloc[: border[-1]]
+                rest = rows.iloc[border[-1] :].drop(columns="group")
+            else:
+                rest = rows.drop(columns="group")
+        if rest is not None:
+            yield rest.assign(group=0)
+
     def axis(rows: pd.DataFrame) -> np.ndarray:
         """Time since shortly before the block, on the common axis."""
         inside = rows["t"].to_numpy() - rows["block"].to_numpy() * width + gap
@@ -91,7 +91,7 @@ def _block_functions(max_events: int, gap: int, reach: int, width: int):
         return before, last, following
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in _whole_groups(batches):
+        for rows in whole_groups(batches):
             times, counts = axis(rows), rows["n"].to_numpy()
             own = owned(times)
             natural = np.append(True, np.diff(times) > gap) & own
@@ -115,7 +115,7 @@ def _block_functions(max_events: int, gap: int, reach: int, width: int):
             )
 
     def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for both in _whole_groups(batches):
+        for both in whole_groups(batches):
             is_start = both["start"].to_numpy()
             rows = both[~is_start]
             times, counts = axis(rows), rows["n"].to_numpy()

@@ -1,6 +1,6 @@
 """A declarative query spec, applied as DataFrame calls.
 
-The order of application is join, time range, filter, group and aggregate,
+Several data sources are appended by column name. The order of application is join, time range, filter, group and aggregate,
 sort, limit. Catalyst pushes filters below the joins and prunes columns.
 """
 
@@ -158,8 +158,11 @@ def aggregate_columns(aggregations: list[Aggregation]) -> list[Column]:
 def run_spec(tables: Mapping[str, DataFrame], spec: QuerySpec) -> DataFrame:
     if not spec.data_sources:
         raise ValueError("a spec needs a data source")
-    base = spec.data_sources[0]
-    df = tables[base].alias(base)
+    base, *others = spec.data_sources
+    df = tables[base]
+    for name in others:
+        df = df.unionByName(tables[name], allowMissingColumns=True)
+    df = df.alias(base)
     for join in spec.joins:
         other = tables[join.table].alias(join.table)
         df = df.join(other, F.expr(join.on_condition), JOIN_TYPES[join.type.upper()])

@@ -83,18 +83,23 @@ def parameter_query(spark: SparkSession, query: str, values: list) -> DataFrame:
     return spark.sql(named, args={f"p{i}": v for i, v in enumerate(values, start=1)})
 
 
-def union_sources(parts: Mapping[str, DataFrame | None], tag: str = "source") -> DataFrame:
+def union_sources(
+    parts: Mapping[str, DataFrame | None], tag: str = "source", need_rows: bool = False
+) -> DataFrame:
     """Rows of several sources, appended by name and tagged with their source.
 
     A source that could not be read (None) is left out; columns a source lacks
-    are NULL. Empty sources add no rows, so no job is spent on testing them.
+    are NULL. With ``need_rows`` it is an error if no source has a row.
     """
     frames = [
         df.withColumn(tag, F.lit(name)) for name, df in parts.items() if df is not None
     ]
     if not frames:
         raise ValueError("no source could be read")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    if need_rows and combined.isEmpty():
+        raise ValueError("no source has rows")
+    return combined
 
 
 def first_nonempty(candidates: Iterable[DataFrame | None]) -> DataFrame | None:
@@ -114,7 +119,11 @@ def explode_chart_payload(payloads: DataFrame, column: str, row_type: str) -> Da
     )
 
 
-def column_listing(tables: Mapping[str, DataFrame], hidden: tuple[str, ...] = ("pg_%", "sql_%")) -> DataFrame:
+def column_listing(
+    tables: Mapping[str, DataFrame],
+    hidden: tuple[str, ...] = ("pg_%", "sql_%"),
+    limit: int | None = None,
+) -> DataFrame:
     """One row per column: table, column, position, type and non-null count.
 
     The listing itself comes from schemas alone. The counts are one pass per
@@ -133,4 +142,5 @@ def column_listing(tables: Mapping[str, DataFrame], hidden: tuple[str, ...] = ("
     listing = reduce(DataFrame.unionAll, frames)
     for pattern in hidden:
         listing = listing.filter(~F.col("table_name").like(pattern))
-    return listing
+    listing = listing.orderBy("table_name", "ordinal_position")
+    return listing if limit is None else listing.limit(limit)

@@ -81,7 +81,9 @@ def sources(spark, *rows):
     return spark.createDataFrame(list(rows), "id string, type string, status string")
 
 
-def test_routing(spark):
+@pytest.mark.parametrize("listed", [1000, 1])
+def test_routing(spark, monkeypatch, listed):
+    monkeypatch.setattr(routing, "MAX_LISTED", listed)
     known = sources(
         spark,
         ("bi", "superset", "connected"),

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import profile, semantic
+from tallyhouse.operators import contexts, profile, semantic
 
 # table, column, type, roles (i = id, m = metric, d = dimension, t = datetime)
 COLUMNS = [
@@ -139,3 +139,22 @@ def test_containment(spark):
     pairs = spark.createDataFrame([("p", "a_key", "c", "b_key")], "from_table string, from_column string, to_table string, to_column string")
     row = profile.containment(pairs, {"p": parent, "c": child}).first()
     assert (row.child_keys, row.found_keys) == (3, 2) and abs(row.containment - 2 / 3) < 1e-12
+
+
+def test_context_vectors_round_trip(spark, catalog, tags, tmp_path):
+    made = contexts.context_vectors(semantic.domain_contexts(catalog, tags), "shop")
+    assert {r.collection for r in made.select("collection").collect()} == {"domains_shop", "domain_contexts"}
+    path = str(tmp_path / "contexts")
+    contexts.refresh_contexts(made, path)
+    contexts.refresh_contexts(contexts.context_vectors(semantic.domain_contexts(catalog), "other"), path)
+    contexts.refresh_contexts(made.filter("collection = 'domain_contexts'"), path)
+    stored = spark.read.parquet(path)
+    assert {(r.connector_id, r["count"]) for r in stored.groupBy("connector_id").count().collect()} == {
+        ("shop", 3),
+        ("other", 6),
+    }
+    back = contexts.contexts_from_vectors(stored.filter("connector_id = 'shop'"))
+    row = back.filter("domain = 'sales'").first()
+    assert row.id == "domain_sales_shop" and round(row.confidence, 3) == 0.575 and row.auto_generated
+    slim = stored.select("id", F.struct("metadata.domain").alias("metadata"))
+    assert contexts.contexts_from_vectors(slim).first().keywords == []

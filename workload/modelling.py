@@ -219,12 +219,15 @@ CONTEXT_SQL = f"""cols AS (SELECT c.*, t.domain FROM catalog c JOIN tables t USI
         len(list_filter(expected, lambda e: contains(keywords, e))) AS hit FROM ctx)"""
 
 
+CONFIDENCE_SQL = """greatest(0.3::DOUBLE, least(1.0::DOUBLE, n_tables * 0.2::DOUBLE + nm * 0.1::DOUBLE
+    + nd * 0.05::DOUBLE + CASE WHEN len(expected) = 0 THEN 0::DOUBLE ELSE hit::DOUBLE / len(expected) * 0.3::DOUBLE END))"""
+
+
 @query(
     "domain_contexts",
     f"""WITH {CATALOG_SQL}, {RICH_SQL}, {CONTEXT_SQL}
       SELECT domain, n_tables, keywords, metrics, dimensions, description,
-        greatest(0.3::DOUBLE, least(1.0::DOUBLE, n_tables * 0.2::DOUBLE + nm * 0.1::DOUBLE + nd * 0.05::DOUBLE
-          + CASE WHEN len(expected) = 0 THEN 0::DOUBLE ELSE hit::DOUBLE / len(expected) * 0.3::DOUBLE END)) AS confidence,
+        {CONFIDENCE_SQL} AS confidence,
         CASE domain {" ".join(f"WHEN '{d}' THEN '{'|'.join(t for t, _, _ in g)}'" for d, g in semantic.GLOSSARY.items())} ELSE '' END AS terms,
         concat_ws('|', CASE domain {" ".join(f"WHEN '{d}' THEN '{p[0]}'" for d, p in semantic.QUERY_PATTERNS.items())} END,
           CASE WHEN nm > 0 THEN domain || ' trend analysis' END) AS patterns
@@ -271,4 +274,5 @@ PATTERN_TEXT = {
       FROM sized s""",
 )
 def domain_search_text(wh):
-    return semantic.search_text(semantic.domain_contexts(catalog(wh)))
+    texts = semantic.search_text(semantic.domain_contexts(catalog(wh)))
+    return texts.select("domain", "search_text")

@@ -130,9 +130,7 @@ def schema_columns(table: str) -> list[tuple[str, str]]:
     ),
 )
 def catalog_columns(wh):
-    return tables.column_listing({t: wh.table(t) for t in TABLES}).orderBy(
-        "table_name", "ordinal_position"
-    )
+    return tables.column_listing({t: wh.table(t) for t in TABLES})
 
 
 @query(
@@ -797,7 +795,6 @@ def combine_sources(wh):
 )
 def preview_rows(wh):
     orders = wh.table("orders").select("o_orderkey", "o_totalprice")
-    # the check compares by plain names, hence no spaces after the preview
     return charts.preview(orders, [F.desc("o_totalprice"), "o_orderkey"])
 
 

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import vectors
-from tallyhouse.operators.contexts import classify_questions
+from tallyhouse.operators import semantic, vectors
+from tallyhouse.operators.contexts import (
+    DESCRIPTIONS,
+    classify_questions,
+    context_vectors,
+    contexts_from_vectors,
+    predefined_texts,
+)
+from tallyhouse.operators.questions import BUSINESS_KEYWORDS, SEMANTIC_INTENTS
 from workload.base import plain, query
-from workload.understanding import question_log
+from workload.modelling import CATALOG_SQL, CONFIDENCE_SQL, CONTEXT_SQL, RICH_SQL, catalog
+from workload.understanding import QUESTION_SQL, question_log, rules_sql
 
 
 def stored_vectors(wh):
@@ -157,7 +165,54 @@ def hash_embed(wh):
     )
 
 
-@query("classify_questions")
+def embedded_sql(texts: str) -> str:
+    """Unit vectors of a table texts(kind, id, text), one row per component."""
+    return f"""b AS (SELECT kind, id, list_transform(regexp_extract_all(hex(encode(text)), '..'),
+            lambda x: CAST('0x' || x AS INTEGER)::HUGEINT) AS bytes FROM {texts} WHERE text <> ''),
+       p AS (SELECT kind, id, list_reduce(list_transform(bytes, lambda x, j: x + j - 1), lambda h, x: (h * 31 + x) % {WRAP}) % {WRAP} AS base,
+            list_reduce(list_transform(bytes, lambda x: 1::HUGEINT), lambda h, x: (h * 31 + x) % {WRAP}) % {WRAP} AS step FROM b),
+       h AS (SELECT kind, id, i, (base + i * step) % {WRAP} AS h FROM p, range(384) AS r(i)),
+       v AS (SELECT kind, id, i, ((CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - {WRAP} ELSE h END) % 2000 - 1000)::DOUBLE AS v FROM h),
+       u AS (SELECT kind, id, list(v ORDER BY i) AS vec FROM v GROUP BY 1, 2)"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CONTEXT_ROWS = ", ".join(f"({quoted(d)}, {quoted(t)})" for d, t in predefined_texts())
+DESCRIBED = " ".join(f"WHEN '{d}' THEN {quoted(t)}" for d, t in DESCRIPTIONS.items())
+
+
+@query(
+    "classify_questions",
+    f"""WITH {QUESTION_SQL}, texts AS (SELECT 'q' AS kind, id, text FROM questions
+            UNION ALL SELECT 'c', * FROM (VALUES {CONTEXT_ROWS})),
+       {embedded_sql("texts")},
+       s AS (SELECT q.id, c.id AS domain, round(list_cosine_similarity(q.vec, c.vec), 9) AS score
+             FROM u q JOIN u c ON q.kind = 'q' AND c.kind = 'c'),
+       r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, domain) AS n FROM s),
+       t AS (SELECT id, string_agg(CASE domain {DESCRIBED} END, '|' ORDER BY n) AS context FROM r WHERE n <= 2 GROUP BY 1),
+       l AS (SELECT id, lower(text) AS q FROM questions)
+       SELECT id, domain, round(score, 6) AS confidence, score >= 0.6 AS use_bi, context,
+         {rules_sql([(f"'{n}'", w) for n, w in SEMANTIC_INTENTS], "'analytics'")} AS semantic_intent,
+         array_to_string(list_filter([{", ".join(f"'{w}'" for w in BUSINESS_KEYWORDS)}], lambda w: contains(q, w)), '|') AS keywords,
+         format('Matched domain ''{{}}'' with confidence {{:.2f}} based on vector similarity', domain, score) AS reasoning
+       FROM r JOIN t USING (id) JOIN l USING (id) WHERE n = 1""",
+)
 def classify_all_questions(wh):
-    """Questions by the nearest predefined context (checked in the tests)."""
-    return plain(classify_questions(question_log(wh), "text").drop("text"))
+    classified = classify_questions(question_log(wh), "text").drop("text")
+    return plain(classified.withColumn("confidence", F.round("confidence", 6)))
+
+
+@query(
+    "context_vectors",
+    f"""WITH {CATALOG_SQL}, {RICH_SQL}, {CONTEXT_SQL}
+      SELECT 'domain_' || domain || '_warehouse' AS id, domain, description, {CONFIDENCE_SQL} AS confidence,
+        array_to_string(string_split(keywords, '|')[1:10], '|') AS keywords, true AS auto_generated FROM sized""",
+)
+def domain_context_vectors(wh):
+    """Domain contexts of all tables, stored as vectors and read back."""
+    stored = context_vectors(semantic.domain_contexts(catalog(wh)), "warehouse")
+    common = stored.filter((F.col("collection") == "domain_contexts") & (F.size("embedding") == 384))
+    return plain(contexts_from_vectors(common))

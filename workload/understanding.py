@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyhouse.functions import text as tx
-from tallyhouse.operators import history, policy, questions, routing
+from tallyhouse.operators import analysis, history, policy, questions, routing
+from tallyhouse.sources.tables import union_sources
 from workload.base import plain, query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -559,6 +560,40 @@ def route_by_intent(wh):
     return plain(routing.route_by_intent(planned, "id", "intent", "main_action", source_registry(wh)))
 
 
+@query(
+    "analysis_context",
+    f"""WITH {QUESTION_SQL}, {planner_sql('questions', 'id', 'text')},
+       c AS (SELECT 'orders' AS source, o_orderpriority AS kind, o_orderkey AS amount FROM orders
+             UNION ALL SELECT 'customers', c_mktsegment, c_custkey FROM customer),
+       s AS (SELECT '[' || string_agg(j, ',' ORDER BY j) || ']' AS sample FROM (
+               SELECT to_json({{'kind': kind, 'amount': amount}})::VARCHAR AS j FROM c
+               ORDER BY amount DESC, kind LIMIT 3))
+       SELECT p.id, 'Enhanced Data Analysis Context:' || chr(10) || 'User Query: ' || q.text || chr(10) ||
+         'Detected Intent: ' || intent || format(' (Confidence: {{:.2f}})', confidence) || chr(10) || 'Main Action: ' || main_action
+         || chr(10) || 'Total Records: ' || (SELECT count(*) FROM c) || chr(10)
+         || CASE WHEN metrics <> '' THEN 'Identified Metrics: ' || metrics || chr(10) ELSE '' END
+         || CASE WHEN dimensions <> '' THEN 'Identified Dimensions: ' || dimensions || chr(10) ELSE '' END
+         || 'Data Sources:' || chr(10) || '- customers: ' || (SELECT count(*) FROM customer) || ' records' || chr(10)
+         || '- orders: ' || (SELECT count(*) FROM orders) || ' records' || chr(10) || chr(10)
+         || 'Sample Data Structure:' || chr(10) || '- kind' || chr(10) || '- amount' || chr(10) AS context, s.sample
+       FROM planned p JOIN questions q ON q.id = p.id, s""",
+)
+def analysis_context(wh):
+    combined = union_sources(
+        {
+            "orders": wh.table("orders").select(
+                F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("amount")
+            ),
+            "customers": wh.table("customer").select(
+                F.col("c_mktsegment").alias("kind"), F.col("c_custkey").alias("amount")
+            ),
+        }
+    )
+    summary = analysis.data_summary(combined, "source", [F.desc("amount"), "kind"])
+    planned = questions.planner_intent(question_log(wh), "text")
+    return analysis.analysis_context(planned, "text", summary).select("id", "context", "sample")
+
+
 # --- query history -------------------------------------------------------
 
 
