@@ -12,7 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhouse.functions.text import strip
-from tallyhouse.functions.values import first_truthy, grouped_digits, lenient_number, number_from_text
+from tallyhouse.functions.values import (
+    first_truthy,
+    grouped_digits,
+    humanise,
+    in_millions,
+    lenient_number,
+    number_from_text,
+)
+from tallyhouse.sources.tables import union_sources
 
 # Alias columns in order of preference.
 PERIOD_ALIASES = ["quarter", "Quarter", "month", "Month", "month_year"]
@@ -216,3 +224,95 @@ def flag_error_payloads(rows: DataFrame, result_id: list[str]) -> DataFrame:
         .withColumn("has_real_data", F.col("problem").isNull())
         .drop("_problem")
     )
+
+
+# Charts by the words that must occur in column names, with the
+# alias columns of label and value. A number gives the rows of a first-rows chart.
+PERIOD = ("quarter", "month")
+SUM_CHARTS = [
+    ("genderBreakdown", ["name", "births", "gender"], ["gender", "Gender"], ["births", "Births"]),
+    ("platformBreakdown", ["game", "sales"], ["platform", "Platform"], ["sales", "Sales"]),
+    ("channelActivity", ["channel", "messages"], ["channel", "Channel"], ["messages", "Messages"]),
+    ("userEngagement", ["channel", "messages", "users"], ["channel", "Channel"], ["users", "Users"]),
+    ("timeSeries", [PERIOD, "revenue"], PERIOD_ALIASES, REVENUE_ALIASES),
+    ("ordersTrend", [PERIOD, "order"], PERIOD_ALIASES, ORDER_ALIASES),
+    ("categoryBreakdown", ["category", "revenue"], CATEGORY_ALIASES, REVENUE_ALIASES),
+    ("categoryBar", ["category", "revenue"], CATEGORY_ALIASES, REVENUE_ALIASES),
+]
+FIRST_ROW_CHARTS = [
+    ("topNames", ["name", "births", "gender"], ["name", "Name"], ["births", "Births"], 10),
+    ("topGames", ["game", "sales"], ["game", "Game"], ["sales", "Sales"], 8),
+    ("topStates", ["state", "vaccinated"], ["state", "State"], ["vaccinated", "Vaccinated"], 10),
+    (
+        "vaccinationPercentage",
+        ["state", "vaccinated", "percentage"],
+        ["state", "State"],
+        ["percentage", "Percentage"],
+        10,
+    ),
+]
+IN_MILLIONS = {"topStates"}
+
+
+def _applies(names: list[str], needed: list) -> bool:
+    def occurs(word) -> bool:
+        words = (word,) if isinstance(word, str) else word
+        return any(w in n for w in words for n in names)
+
+    return all(occurs(word) for word in needed)
+
+
+def prepare_charts(df: DataFrame, order: list) -> dict[str, DataFrame]:
+    """The charts that fit the column names, as tables of label and value.
+
+    ``order`` stands for the order of arrival and has to be total. Without a
+    fitting chart, generic charts are made from the column types.
+    """
+    names = [c.lower() for c in df.columns]
+    charts = {}
+    for name, needed, labels, amounts in SUM_CHARTS:
+        if _applies(names, needed):
+            charts[name] = group_sum(df, first_truthy(df, labels), number_of(df, amounts))
+    for name, needed, labels, amounts, n in FIRST_ROW_CHARTS:
+        if _applies(names, needed):
+            amount = number_of(df, amounts)
+            if name in IN_MILLIONS:
+                amount = in_millions(amount)
+            first = df.orderBy(*order).limit(n)
+            charts[name] = first.select(first_truthy(df, labels).alias("label"), amount.alias("value"))
+    if _applies(names, [PERIOD]):
+        charts["growth"] = growth_series(df, []).withColumnRenamed("revenue", "value")
+    return charts or _generic_charts(df, order)
+
+
+def _generic_charts(df: DataFrame, order: list) -> dict[str, DataFrame]:
+    kinds = classify_columns(df).orderBy("position").collect()
+    numbers = [k.column_name for k in kinds if k.kind == "numeric"]
+    texts = [k.column_name for k in kinds if k.kind == "string"]
+    if not numbers:
+        return {}
+    if not texts:
+        return {"genericBar": record_bars(df, numbers[0], order)}
+    typed = df.select(texts[0], *[number_of(df, [c]).alias(c) for c in numbers[:3]])
+    bars = top_categories(typed, texts[0], F.col(numbers[0]))
+    shown = F.count("*").over(Window.partitionBy())  # over the ten bars at most
+    charts = {
+        "genericBar": bars,
+        "genericPie": bars.withColumn("_n", shown).filter(F.col("_n") >= 2).drop("_n"),
+    }
+    if len(numbers) > 1:
+        grouped = grouped_metrics(typed, texts[0], numbers)
+        series = F.array(
+            *[
+                F.struct(F.lit(humanise(c)).alias("series"), F.col(c).cast("double").alias("value"))
+                for c in numbers[:3]
+            ]
+        )
+        charts["genericGrouped"] = grouped.select("label", F.explode(series).alias("s")).select("label", "s.*")
+    return charts
+
+
+def charts_as_rows(charts: dict[str, DataFrame]) -> DataFrame:
+    """All charts in one table, tagged with their names."""
+    rows = {name: c.withColumn("value", F.col("value").cast("double")) for name, c in charts.items()}
+    return union_sources(rows, "chart")

@@ -212,3 +212,29 @@ def test_error_payloads(spark):
     rows = charts.flag_error_payloads(df, ["id"]).orderBy("id").collect()
     assert [r.problem for r in rows] == ["Unable to retrieve data: boom", "Data retrieval issue: hm", None, None]
     assert [r.has_real_data for r in rows] == [False, False, True, True]
+
+
+def test_chart_choice(spark, sales):
+    def made(rows, schema):
+        return charts.prepare_charts(spark.createDataFrame(rows, schema), ["rank"])
+
+    births = made([("Emma", 10, "F", 1), ("Liam", 9, "M", 2), ("Ava", 5, "F", 3)], "name string, births int, gender string, rank int")
+    assert as_dict(births["genderBreakdown"]) == {"F": 15, "M": 9}
+    assert [r.label for r in births["topNames"].collect()] == ["Emma", "Liam", "Ava"]
+    games = made([("g%d" % i, "P", 1.5, i) for i in range(9)], "game string, platform string, sales double, rank int")
+    assert set(games) == {"platformBreakdown", "topGames"} and games["topGames"].count() == 8
+    states = made([("CA", 2500000, 61.5, 1)], "state string, vaccinated long, percentage double, rank int")
+    assert as_dict(states["topStates"]) == {"CA": 2.5}
+    assert as_dict(states["vaccinationPercentage"]) == {"CA": 61.5}
+    assert set(charts.prepare_charts(sales, ["quantity"])) == {"timeSeries", "categoryBreakdown", "categoryBar", "growth"}
+    numbers = made([(5, 1), (6, 2)], "amount int, rank int")
+    assert [(r.label, r.value) for r in numbers["genericBar"].collect()] == [("Record 1", 5.0), ("Record 2", 6.0)]
+    single = made([("x", 1)], "kind string, rank int")
+    assert single["genericBar"].count() == 1 and single["genericPie"].isEmpty()
+
+
+def test_lenient_number(spark):
+    texts = [" 12 ", "1e3", ".5", "5.", "1d", "0x1F", "Infinity", "inf", "", None, "1,000", "-2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in df.orderBy("i").select(values.lenient_number(F.col("t")).alias("v")).collect()]
+    assert got == [12.0, 1000.0, 0.5, 5.0, 0.0, 31.0, float("inf"), 0.0, 0.0, 0.0, 0.0, -2.0]

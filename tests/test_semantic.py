@@ -158,3 +158,19 @@ def test_context_vectors_round_trip(spark, catalog, tags, tmp_path):
     assert row.id == "domain_sales_shop" and round(row.confidence, 3) == 0.575 and row.auto_generated
     slim = stored.select("id", F.struct("metadata.domain").alias("metadata"))
     assert contexts.contexts_from_vectors(slim).first().keywords == []
+
+
+def test_ingest_sources(spark):
+    registry = spark.createDataFrame(
+        [("a", "connected"), ("b", "disconnected"), ("c", "connected")], "id string, status string"
+    )
+    orders = spark.range(10).select(F.col("id").alias("order_id"), F.col("id").cast("double").alias("price"))
+
+    def open_tables(source):
+        if source == "c":
+            raise OSError("unreachable")
+        return {"orders": orders}
+
+    made, failed = contexts.ingest_sources(registry, open_tables)
+    assert failed == {"c": "unreachable"}
+    assert {r.id for r in made.collect()} == {"domain_sales_a"}

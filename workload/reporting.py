@@ -762,6 +762,52 @@ def kpi_summary(wh):
     return charts.kpi_cards(quarterly_sales(wh), limit=4)
 
 
+@query(
+    "chart_set",
+    f"""WITH s AS (SELECT {PERIOD_SQL} AS q, o_orderpriority AS c, o_totalprice::DECIMAL(18,2) AS r, o_custkey AS n FROM orders)
+       SELECT 'timeSeries' AS chart, q AS label, CAST(sum(r) AS DOUBLE) AS value FROM s GROUP BY 2
+       UNION ALL SELECT 'ordersTrend', q, CAST(sum(n) AS DOUBLE) FROM s GROUP BY 2
+       UNION ALL SELECT 'categoryBreakdown', c, CAST(sum(r) AS DOUBLE) FROM s GROUP BY 2
+       UNION ALL SELECT 'categoryBar', c, CAST(sum(r) AS DOUBLE) FROM s GROUP BY 2
+       UNION ALL SELECT 'growth', q, CAST(r AS DOUBLE) FROM s""",
+)
+def chart_set(wh):
+    prepared = charts.prepare_charts(quarterly_sales(wh), ["o_orderkey"])
+    return plain(charts.charts_as_rows(prepared).select("chart", "label", "value"))
+
+
+@query(
+    "chart_set_generic",
+    """WITH b AS (SELECT event_type AS label, CAST(sum(value::DECIMAL(18,2)) AS DOUBLE) AS cost,
+                 CAST(sum(user_id) AS DOUBLE) AS who FROM events GROUP BY 1)
+       SELECT 'genericBar' AS chart, label, NULL AS series, cost AS value FROM b
+       UNION ALL SELECT 'genericPie', label, NULL, cost FROM b
+       UNION ALL SELECT 'genericGrouped', label, 'Cost', cost FROM b
+       UNION ALL SELECT 'genericGrouped', label, 'Who', who FROM b""",
+)
+def chart_set_generic(wh):
+    events = wh.table("events").select(
+        F.col("event_type").alias("kind"), money("value").alias("cost"), F.col("user_id").alias("who")
+    )
+    prepared = charts.prepare_charts(events, ["kind", "cost", "who"])
+    return charts.charts_as_rows(prepared).select("chart", "label", "series", "value")
+
+
+@query(
+    "chart_set_channels",
+    """SELECT 'channelActivity' AS chart, event_type AS label, CAST(sum(CAST(props->>'k' AS BIGINT)) AS DOUBLE) AS value
+         FROM events GROUP BY 2
+       UNION ALL SELECT 'userEngagement', event_type, CAST(count(*) AS DOUBLE) FROM events GROUP BY 2""",
+)
+def chart_set_channels(wh):
+    events = wh.table("events").select(
+        F.col("event_type").alias("channel"),
+        F.get_json_object("props", "$.k").alias("messages"),
+        F.lit("1").alias("users"),
+    )
+    return charts.charts_as_rows(charts.prepare_charts(events, ["channel"])).select("chart", "label", "value")
+
+
 @query(
     "source_counts",
     """SELECT event_type AS source, count(*) AS records FROM events GROUP BY 1
