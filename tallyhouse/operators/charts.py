@@ -65,13 +65,17 @@ def time_series(df: DataFrame, values: list[str]) -> DataFrame:
     return group_sum(df, first_truthy(df, PERIOD_ALIASES), number_of(df, values)).orderBy("label")
 
 
-def growth_series(df: DataFrame, tie: list[str]) -> DataFrame:
-    """Revenue of every row in period order, without aggregation."""
+def growth_series(df: DataFrame, order: list, keep: list[str] | None = None) -> DataFrame:
+    """Revenue of every row in period order, without aggregation.
+
+    ``order`` settles the order within a period; it also lets the sort spread
+    a period with very many rows over several tasks.
+    """
     names = [c for c in ("quarter", "Quarter") if c in df.columns] or ["month", "Month"]
-    period = first_truthy(df, names)
-    return df.select(
-        period.alias("label"), number_of(df, REVENUE_ALIASES).alias("revenue"), *tie
-    ).orderBy("label", *tie)
+    ordered = df.withColumns(
+        {"_label": first_truthy(df, names), "_value": number_of(df, REVENUE_ALIASES)}
+    ).orderBy("_label", *order)
+    return ordered.select(F.col("_label").alias("label"), F.col("_value").alias("revenue"), *(keep or []))
 
 
 def first_bars(df: DataFrame, label: str, value: str, order: list, n: int = 10) -> DataFrame:
@@ -281,7 +285,7 @@ def prepare_charts(df: DataFrame, order: list) -> dict[str, DataFrame]:
             first = df.orderBy(*order).limit(n)
             charts[name] = first.select(first_truthy(df, labels).alias("label"), amount.alias("value"))
     if _applies(names, [PERIOD]):
-        charts["growth"] = growth_series(df, []).withColumnRenamed("revenue", "value")
+        charts["growth"] = growth_series(df, order).withColumnRenamed("revenue", "value")
     return charts or _generic_charts(df, order)
 
 

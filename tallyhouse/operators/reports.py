@@ -83,13 +83,14 @@ def active_users(activity: DataFrame, date: str, user: str, platform: str) -> Da
     """
     return (
         activity.select(
-            F.date_format(date, "yyyy-MM").alias("month_year"),
+            F.trunc(F.col(date).cast("date"), "month").alias("_month"),
             F.col(platform).alias("platform"),
             F.col(user).alias("_user"),
         )
         .distinct()
-        .groupBy("month_year", "platform")
+        .groupBy("_month", "platform")
         .agg(F.count("_user").alias("active_users"))
+        .select(F.date_format("_month", "yyyy-MM").alias("month_year"), "platform", "active_users")
         .orderBy("month_year", "platform")
     )
 

@@ -8,6 +8,7 @@ scores are ordered by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.session import run_folder
+
 # A slice of query vectors or contexts is held by every task at once.
 MAX_SLICE = 1024
 DIMENSIONS = 384
@@ -136,21 +139,31 @@ def top_k(
     Each slice of queries is broadcast as one matrix and multiplied with Arrow
     batches of vectors. A task keeps only its best ``k`` per query, so tasks x
     queries x k rows are shuffled for the final ranking, never pairs. More
-    queries than a slice holds are searched slice by slice.
+    queries than a slice holds are searched slice by slice, each written to
+    the shared folder before the next is read, so neither the driver nor the
+    plan grows with the number of queries.
     """
-    context = vectors.sparkSession.sparkContext
+    spark = vectors.sparkSession
     table = vectors.filter(F.col(vector).isNotNull()).select(
         F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
     )
-    found = None
-    for ids, matrix in _slices(queries, query_id, query_vector):
-        shared = context.broadcast((ids, matrix))
-        part = table.mapInArrow(_best_in_task(shared, k), "query_id long, id long, score double")
-        found = part if found is None else found.unionAll(part)
-    if found is None:
-        raise ValueError("there are no query vectors")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def search(ids: list, matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, matrix))
+        found = table.mapInArrow(_best_in_task(shared, k), "query_id long, id long, score double")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    slices = _slices(queries, query_id, query_vector)
+    first, second = next(slices, None), next(slices, None)
+    if first is None:
+        raise ValueError("there are no query vectors")
+    if second is None:
+        return search(*first)
+    folder = run_folder(spark, "top-k")
+    for number, part in enumerate(chain([first, second], slices)):
+        search(*part).write.mode("overwrite").parquet(f"{folder}/slice={number}")
+    return spark.read.parquet(folder).drop("slice")
 
 
 def _best_in_task(shared, k: int):

@@ -326,7 +326,7 @@ def indicator_panel(wh):
 def segment_analysis(wh):
     per_customer = (
         wh.table("orders")
-        .groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month_year"))
+        .groupBy("o_custkey", F.trunc(F.col("o_orderdate").cast("date"), "month").alias("month"))
         .agg(
             F.count("*").alias("n"),
             F.sum(money("o_totalprice")).alias("spent"),
@@ -338,7 +338,7 @@ def segment_analysis(wh):
     )
     segments = (
         per_customer.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("segment_name", "month_year")
+        .groupBy("segment_name", "month")
         .agg(
             F.count("*").alias("total_customers"),
             F.sum("n").alias("n"),
@@ -348,11 +348,12 @@ def segment_analysis(wh):
         )
         .withColumns(
             {
+                "month_year": F.date_format("month", "yyyy-MM"),
                 "avg_order_value": reports.ratio(F.col("customer_lifetime_value"), F.col("n")),
                 "churn_rate": reports.ratio(F.col("pending") * 30, F.col("n")),
             }
         )
-        .drop("n", "pending")
+        .drop("n", "pending", "month")
     )
     return plain(reports.segment_analysis(segments))
 
@@ -699,7 +700,7 @@ def time_series_orders(wh):
        FROM orders""",
 )
 def growth_series(wh):
-    return plain(charts.growth_series(quarterly_sales(wh), ["o_orderkey"]))
+    return plain(charts.growth_series(quarterly_sales(wh), ["o_orderkey"], ["o_orderkey"]))
 
 
 @query(
