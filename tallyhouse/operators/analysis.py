@@ -37,7 +37,7 @@ def data_summary(combined: DataFrame, source: str, order: list) -> DataFrame:
 def analysis_context(questions: DataFrame, text: str, summary: DataFrame) -> DataFrame:
     """Add the context of each question with a planner intent, and the data sample.
 
-    The summary is a single row and joins each question as scalar values.
+    The summary is a single row and joins each question as a scalar value.
     """
 
     def listed(title: str, values: str) -> Column:
@@ -45,8 +45,8 @@ def analysis_context(questions: DataFrame, text: str, summary: DataFrame) -> Dat
             F.size(values) > 0, F.concat(F.lit(f"{title}: "), F.array_join(values, ", "), F.lit("\n"))
         ).otherwise("")
 
-    def scalar(name: str) -> Column:
-        return summary.select(name).scalar()
+    # one scalar for all members, so that the summary is computed once
+    known = summary.select(F.struct("total", "overview", "sample")).scalar()
 
     header = F.concat(
         F.lit("Enhanced Data Analysis Context:\nUser Query: "),
@@ -57,10 +57,10 @@ def analysis_context(questions: DataFrame, text: str, summary: DataFrame) -> Dat
             "confidence",
             "main_action",
         ),
-        scalar("total").cast("string"),
+        known["total"].cast("string"),
         F.lit("\n"),
         listed("Identified Metrics", "metrics"),
         listed("Identified Dimensions", "dimensions"),
-        scalar("overview"),
+        known["overview"],
     )
-    return questions.withColumns({"context": header, "sample": scalar("sample")})
+    return questions.withColumns({"context": header, "sample": known["sample"]})

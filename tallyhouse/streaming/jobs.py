@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,16 +60,21 @@ def throttle_stream(
             return
         count, last = state.get if state.exists else (0, None)
         rows = pd.concat(list(batches)).sort_values(["_t", id])
-        allowed = []
-        for t in rows["_t"].to_numpy():
-            if last is None or t - last > gap:
-                count, last = 1, int(t)
-                allowed.append(True)
+        times = rows["_t"].to_numpy()
+        # positions after a pause, and the end; each round takes one run of events
+        breaks = np.append(np.flatnonzero(np.diff(times) > gap) + 1, len(times))
+        allowed = np.zeros(len(times), dtype=bool)
+        at = 0
+        while at < len(times):
+            if last is None or times[at] - last > gap:
+                count = 0
             elif count >= max_events:
-                allowed.append(False)
-            else:
-                count, last = count + 1, int(t)
-                allowed.append(True)
+                at = int(np.searchsorted(times, last + gap, side="right"))
+                continue
+            pause = breaks[np.searchsorted(breaks, at, side="right")]
+            end = int(min(at + max_events - count, pause))
+            allowed[at:end] = True
+            count, last, at = count + end - at, int(times[end - 1]), end
         state.update((count, last))
         if expiring:
             free_at = (last + gap) // 1000 + 1

@@ -159,6 +159,12 @@ def test_spec_joins_and_order(spark):
     assert [r.x for r in sp.run_spec(known, spec).collect()] == [20, 10]
 
 
+def test_spec_appends_sources(spark):
+    known = {"a": spark.createDataFrame([(1, 2)], "k int, x int"), "b": spark.createDataFrame([(3,)], "k int")}
+    spec = sp.QuerySpec(["a", "b"], filters=[sp.Filter("k", ">", 0), sp.Filter("x", "=", 2, "OR")])
+    assert sorted((r.k, r.x) for r in sp.run_spec(known, spec).collect()) == [(1, 2), (3, None)]
+
+
 def test_sources(spark, tmp_path, sales):
     path = str(tmp_path / "out")
     for kind in ("csv", "json", "parquet"):
