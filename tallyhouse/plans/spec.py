@@ -82,11 +82,23 @@ AGGREGATES = {"SUM": F.sum, "COUNT": F.count, "AVG": F.avg, "MAX": F.max, "MIN":
 JOIN_TYPES = {"INNER": "inner", "LEFT": "left", "RIGHT": "right", "FULL": "full"}
 
 
-def predicate(filters: list[Filter]) -> Column:
+def _constant(df: DataFrame, field: str, value: Any) -> Any:
+    """A date or time as a constant of the column's own type.
+
+    Otherwise the column would be converted, and the filter not reach the scan.
+    """
+    if not isinstance(value, dt.date):
+        return value
+    kind = df.select(F.col(field)).schema[0].dataType.simpleString()
+    text = value.isoformat(sep=" ") if isinstance(value, dt.datetime) else value.isoformat()
+    return F.lit(text).cast(kind)
+
+
+def predicate(df: DataFrame, filters: list[Filter]) -> Column:
     """The filters joined from left to right by their AND / OR conditions."""
 
     def add(left: Column | None, f: Filter) -> Column:
-        test = OPERATORS[f.operator.upper()](F.col(f.field), f.value)
+        test = OPERATORS[f.operator.upper()](F.col(f.field), _constant(df, f.field, f.value))
         if left is None:
             return test
         return left | test if f.condition.upper() == "OR" else left & test
@@ -136,12 +148,11 @@ def in_time_range(df: DataFrame, span: TimeRange) -> DataFrame:
     """Rows of the range. Bounds are constants of the column's own type, so
     that the comparison reaches the scan."""
     start, end = time_bounds(span)
-    kind = df.select(F.col(span.field)).schema[0].dataType.simpleString()
     column = F.col(span.field)
     if start is not None:
-        df = df.filter(column >= F.lit(start.isoformat(sep=" ")).cast(kind))
+        df = df.filter(column >= _constant(df, span.field, start))
     if end is not None:
-        df = df.filter(column < F.lit(end.isoformat(sep=" ")).cast(kind))
+        df = df.filter(column < _constant(df, span.field, end))
     return df
 
 
@@ -169,7 +180,7 @@ def run_spec(tables: Mapping[str, DataFrame], spec: QuerySpec) -> DataFrame:
     if spec.time_range is not None:
         df = in_time_range(df, spec.time_range)
     if spec.filters:
-        df = df.filter(predicate(spec.filters))
+        df = df.filter(predicate(df, spec.filters))
     if spec.aggregations:
         df = df.groupBy(*spec.group_by).agg(*aggregate_columns(spec.aggregations))
     elif spec.group_by:
