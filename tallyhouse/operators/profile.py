@@ -8,9 +8,11 @@ one summary row per column; the tables themselves are only aggregated.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,8 @@ MAX_DIMENSION_VALUES = 50
 MAX_DIMENSION_SHARE = 0.01
 # Estimates of distinct values are trusted outside this band of relative error.
 ESTIMATE_BAND = 0.25
+# Small summary jobs that are submitted side by side.
+CONCURRENT_JOBS = 8
 CURRENCY_WORDS = ("amount", "price", "revenue", "value", "cost", "bal", "spend", "budget")
 
 CATALOG_SCHEMA = (
@@ -48,14 +52,16 @@ def _laid_out(df: DataFrame, totals: list[str], cells: list[str]) -> DataFrame:
     return df.selectExpr(*totals).selectExpr(f"inline(array({', '.join(cells)}))")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    """Union as a balanced tree, which keeps the analysis of many parts short."""
-    while len(frames) > 1:
-        frames = [reduce(DataFrame.unionAll, frames[i : i + 4]) for i in range(0, len(frames), 4)]
-    return frames[0]
+def _gather(frames: list[DataFrame]) -> list[Row]:
+    """The few rows of each frame. The frames are independent jobs and run side by side."""
+    if not frames:
+        return []
+    collect = inheritable_thread_target(frames[0].sparkSession)(lambda df: df.collect())
+    with ThreadPoolExecutor(max_workers=CONCURRENT_JOBS) as pool:
+        return [row for rows in pool.map(collect, frames) for row in rows]
 
 
-def _summaries(tables: Mapping[str, DataFrame], all_estimates: bool, smallest: bool) -> DataFrame:
+def _summaries(tables: Mapping[str, DataFrame], all_estimates: bool, smallest: bool) -> list[Row]:
     """Row count, non-null count, estimated distinct count and minimum of every column.
 
     Without ``all_estimates`` distinct values are estimated for texts only.
@@ -74,7 +80,7 @@ def _summaries(tables: Mapping[str, DataFrame], all_estimates: bool, smallest: b
                 f"n{i} AS n_nonnull, d{i} AS estimate, m{i} AS least)"
             )
         frames.append(_laid_out(df, totals, cells))
-    return _union(frames)
+    return _gather(frames)
 
 
 def _is_id(f: T.StructField) -> bool:
@@ -107,10 +113,7 @@ def _exact_counts(columns: list[tuple[str, str, DataFrame, T.DataType]]) -> dict
                 "max(count) AS most",
             )
         )
-    if not frames:
-        return {}
-    rows = _union(frames).collect()
-    return {(r.table_name, r.column_name): (r.n_distinct, r.most or 0) for r in rows}
+    return {(r.table_name, r.column_name): (r.n_distinct, r.most or 0) for r in _gather(frames)}
 
 
 def _smallest(
@@ -138,7 +141,7 @@ def _smallest(
                 frames.append(_laid_out(tables[table], totals, cells))
         if not frames:
             break
-        for r in _union(frames).collect():
+        for r in _gather(frames):
             if r.v is not None:
                 found[r.t, r.c].append(r.v)
     return found
@@ -159,7 +162,7 @@ def profile_columns(
     exactly.
     """
     first_pass = _summaries(tables, check_unique, samples > 0)
-    summary = {(r.table_name, r.position): r for r in first_pass.collect()}
+    summary = {(r.table_name, r.position): r for r in first_pass}
     limits, unsettled = {}, []
     for table, df in tables.items():
         for i, f in enumerate(df.schema.fields):
@@ -286,4 +289,4 @@ def containment(relationships: DataFrame, tables: Mapping[str, DataFrame]) -> Da
                 F.try_divide(F.col("found_keys").cast("double"), F.col("child_keys")).alias("containment"),
             )
         )
-    return _union(frames)
+    return reduce(DataFrame.unionAll, frames)
