@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,6 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyhouse.llm.common import id_type, texts
 
@@ -115,6 +114,23 @@ def _chunked(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     ).select("row", "doc_id", "parts", "c.no", "c.part")
 
 
+#: Rows that a worker hands on at once, so that ids of few texts are in memory.
+SLICE = 256
+
+
+def _ids(codec: Codec, ids: np.ndarray) -> tuple:
+    return (ids,)
+
+
+def _digests(codec: Codec, ids: np.ndarray) -> tuple:
+    whole = ids.astype("<u4").tobytes()
+    return (
+        len(ids),
+        hashlib.sha256(whole).hexdigest(),
+        hashlib.sha256(codec.decode(ids.tolist())).hexdigest(),
+    )
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -123,7 +139,38 @@ def encode(
     chunk: int = 1 << 15,
     overlap: int = 1 << 10,
 ) -> DataFrame:
-    """doc_id, ids (array of int) of every row's whole text.
+    """doc_id, ids (array of int) of every row's whole text."""
+    shape = (id_col, text_col, chunk, overlap)
+    return _encoded(docs, vocabulary, *shape, {"ids": "array<int>"}, _ids)
+
+
+def round_trip(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    chunk: int = 1 << 15,
+    overlap: int = 1 << 10,
+) -> DataFrame:
+    """doc_id, n_tokens, and the digests of the ids (as little-endian unsigned
+    32-bit integers) and of the bytes they decode to. The ids are decoded where
+    they were made, so that they need not travel."""
+    shape = (id_col, text_col, chunk, overlap)
+    columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    return _encoded(docs, vocabulary, *shape, columns, _digests)
+
+
+def _encoded(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    id_col: str,
+    text_col: str,
+    chunk: int,
+    overlap: int,
+    columns: dict[str, str],
+    told: Callable[[Codec, np.ndarray], tuple],
+) -> DataFrame:
+    """doc_id and what ``told`` tells of the ids of every row's whole text.
 
     ``chunk`` characters are a task's unit of work; texts up to one chunk and
     its overlap need no stitch and stay in their row. Longer ones are spread by
@@ -139,10 +186,12 @@ def encode(
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = shared.codec()
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame(
-                    {"doc_id": batch["doc_id"], "ids": [codec.encode(t) for t in batch["text"]]}
-                )
+            for at in range(0, len(batch), SLICE):
+                part = batch.iloc[at : at + SLICE]
+                found = [told(codec, codec.encode(t)) for t in part["text"]]
+                found = pd.DataFrame(found, columns=list(columns), index=part.index)
+                found.insert(0, "doc_id", part["doc_id"])
+                yield found
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = shared.codec()
@@ -177,9 +226,11 @@ def encode(
             ids = shared.codec().encode("".join(p[:chunk] for p in before) + last)
         else:
             ids = np.frombuffer(b"".join(group["ids"]), "<i4")
-        return pd.DataFrame({"doc_id": group["doc_id"].iloc[:1], "ids": [ids]})
+        found = pd.DataFrame([told(shared.codec(), ids)], columns=list(columns))
+        found.insert(0, "doc_id", group["doc_id"].iloc[:1].to_numpy())
+        return found
 
-    result = f"doc_id {kind}, ids array<int>"
+    result = ", ".join([f"doc_id {kind}", *(f"{name} {of}" for name, of in columns.items())])
     short = rows.filter(one).select("doc_id", "text").mapInPandas(whole, result)
     in_order = Window.partitionBy("row").orderBy("no")
     last = F.col("no") == F.col("parts") - 1
@@ -217,9 +268,3 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
         return ids.map(codec.decode)
 
     return encoded.withColumn("decoded", joined(F.col(ids_col)))
-
-
-@F.pandas_udf(T.StringType())
-def ids_sha256(ids: pd.Series) -> pd.Series:
-    """Hex digest of the ids as little-endian unsigned 32-bit integers."""
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<u4").tobytes()).hexdigest())

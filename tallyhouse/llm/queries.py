@@ -26,15 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = bpe.Vocabulary.public()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), vocabulary)
-    decoded = bpe.decode(encoded, vocabulary)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        bpe.ids_sha256("ids").alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary.public())
 
 
 @query("op3_language_id")
