@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, langid, pii, quality, warc
+from tallyhouse.llm import bpe, fingerprint, langid, pii, quality, warc
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,23 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary.public())
 
 
+@query("op2_fingerprints")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+    text = {c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("sketch", "edited_sketch")}
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        text["sketch"].alias("fingerprint"),
+        text["edited_sketch"].alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+        "kept_share",
+        "n_shingles",
+    )
+
+
 @query("op3_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
