@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, fingerprint, langid, pii, quality, warc
+from tallyhouse.llm import bpe, fingerprint, langid, pii, quality, secrets, warc
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,19 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spans",
         "n_added",
     )
+
+
+@query("op5_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = secrets.scan(documents, secrets.train(documents))
+    hits = F.filter("findings", lambda f: f["secret"])
+    spans = F.transform(hits, lambda f: F.concat_ws(":", f["start"], f["end"]))
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(hits).cast("long").alias("n_secrets"),
+        F.array_join(spans, ",").alias("secrets"),
+        F.array_max(F.transform("findings", lambda f: f["score"])).alias("highest_score"),
+        F.sha2("masked", 256).alias("masked_sha256"),
+    )
