@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, fingerprint, langid, pii, quality, secrets, warc
+from tallyhouse.llm import bpe, fingerprint, langid, licenses, pii, quality, secrets, warc
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,9 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(F.transform("findings", lambda f: f["score"])).alias("highest_score"),
         F.sha2("masked", 256).alias("masked_sha256"),
     )
+
+
+@query("op7_license_scan")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return licenses.scan(documents, licenses.train(documents))
