@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, fingerprint, langid, licenses, pii, quality, secrets, warc
+from tallyhouse.llm import bpe, fingerprint, langid, licenses, mixing, pii, quality, secrets, warc
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,21 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return licenses.scan(documents, licenses.train(documents))
+
+
+@query("op4_mixing")
+def mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        mixing.label_domain(F.col("quality"), F.col("toxic")),
+        mixing.TARGETS,
+    )
+    names = F.array(*[F.lit(d) for d in mixing.DOMAINS])
+    return mix.rows.select(
+        "doc_id",
+        "n_tokens",
+        F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"),
+        *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)],
+        "rate",
+    )
