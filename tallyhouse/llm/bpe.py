@@ -131,6 +131,10 @@ def _digests(codec: Codec, ids: np.ndarray) -> tuple:
     )
 
 
+def _digests_and_ids(codec: Codec, ids: np.ndarray) -> tuple:
+    return *_digests(codec, ids), ids
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -151,12 +155,16 @@ def round_trip(
     text_col: str = "text",
     chunk: int = 1 << 15,
     overlap: int = 1 << 10,
+    with_ids: bool = False,
 ) -> DataFrame:
     """doc_id, n_tokens, and the digests of the ids (as little-endian unsigned
     32-bit integers) and of the bytes they decode to. The ids are decoded where
-    they were made, so that they need not travel."""
+    they were made, so that they need not travel; ``with_ids`` returns them, too."""
     shape = (id_col, text_col, chunk, overlap)
     columns = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+    if with_ids:
+        columns["ids"] = "array<int>"
+        return _encoded(docs, vocabulary, *shape, columns, _digests_and_ids)
     return _encoded(docs, vocabulary, *shape, columns, _digests)
 
 

@@ -15,7 +15,7 @@ equal scores, the language that comes first in code point order wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -248,40 +248,62 @@ def temperature(calibration: pd.DataFrame) -> float:
     return float(grid[int(np.argmin(losses))])
 
 
+def best(texts: Iterable[str | None], model: Model) -> tuple[list[str], list[float]]:
+    """Languages and scores of texts; None stands for a text without a letter."""
+    names, scores = [], []
+    for text in texts:
+        if text is None or not model.languages:
+            names.append(UNDETERMINED)
+            scores.append(0.0)
+            continue
+        places, values = vector(text, model.idf, model.settings)
+        chances = softmax(model.weights[:, places] @ values / model.temperature)
+        first = int(np.argmax(chances))
+        names.append(model.languages[first])
+        scores.append(float(chances[first]))
+    return names, scores
+
+
+def lettered(text: Column) -> Column:
+    return F.when(text.rlike(LETTER), text)
+
+
 def predict(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, lang_pred and score of every row's whole text."""
-    text = column(text_col)
     rows = docs.select(
-        column(id_col).alias("doc_id"), F.when(text.rlike(LETTER), text).alias("text")
+        column(id_col).alias("doc_id"), lettered(column(text_col)).alias("text")
     )
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, scores = [], []
-            for text in batch["text"]:
-                if text is None or not known.languages:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                places, values = vector(text, known.idf, known.settings)
-                chances = softmax(known.weights[:, places] @ values / known.temperature)
-                first = int(np.argmax(chances))
-                names.append(known.languages[first])
-                scores.append(float(chances[first]))
-            if names:
+            if len(batch):
+                names, scores = best(batch["text"], sent.value)
                 yield pd.DataFrame(
                     {"doc_id": batch["doc_id"], "lang_pred": names, "score": scores}
                 )
 
     return rows.mapInPandas(
-        best, f"doc_id {id_type(docs, id_col)}, lang_pred string, score double"
+        told, f"doc_id {id_type(docs, id_col)}, lang_pred string, score double"
     )
 
 
+def accepted(
+    docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5
+) -> DataFrame:
+    """The rows of ``docs`` whose language is told with at least that score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("boolean")
+    def sure(text: pd.Series) -> pd.Series:
+        names, scores = best(text, sent.value)
+        return pd.Series([n != UNDETERMINED and s >= least_score for n, s in zip(names, scores)])
+
+    return docs.filter(sure(lettered(column(text_col))))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows that no model may learn from: crc32 of the id's text, modulo 3, is 1."""
     text = F.coalesce(column(id_col).cast("string"), F.lit(""))

@@ -30,7 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import column, texts, written
+from tallyhouse.llm.common import column, written
 from tallyhouse.llm.fingerprint import words_of
 
 DOMAINS = ("good", "poor", "toxic")
@@ -61,7 +61,13 @@ class Settings:
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("words", words_of(F.lower("text")))
+    """Adds ``words``, the letters of each word in lower case."""
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]++", "")
+    return rows.withColumn("words", words_of(letters))
+
+
+def n_tokens() -> Column:
+    return F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")).cast("long").alias("n_tokens")
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -72,8 +78,7 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     """doc_id, n_tokens and features of rows that have ``words``: the text's
     surface, and what share of its distinct words each lexicon holds."""
     n = F.greatest(F.length("text"), F.lit(1))
-    distinct = F.array_distinct(F.transform("words", lambda w: F.regexp_replace(w, r"[^\p{L}]", "")))
-    named = rows.withColumn("distinct", distinct).withColumn("n_tokens", F.size("words").cast("long"))
+    named = rows.withColumn("distinct", F.array_distinct("words")).withColumn("n_tokens", n_tokens())
     tokens = F.greatest(F.col("n_tokens"), F.lit(1))
     kinds = F.greatest(F.size("distinct"), F.lit(1))
     held = [
@@ -104,19 +109,28 @@ def posteriors(
     id_col: str = "doc_id",
     text_col: str = "text",
     settings: Settings = Settings(),
+    carry: bool = False,
 ) -> DataFrame:
-    """doc_id, row, n_tokens and ``p``, the chances of the domains in order.
-    ``domain`` is a column of ``labels``, which share ``id_col`` with ``docs``."""
+    """doc_id, n_tokens and ``p``, the chances of the domains in order, and with
+    ``carry`` the whole row of ``docs``. ``domain`` is a column of ``labels``,
+    which share ``id_col`` with ``docs``."""
+    kept = ["doc_id", *["carried"] * carry]
     known = labels.select(column(id_col).alias("id"), domain.alias("domain"))
     known = known.filter(F.col("id").isNotNull() & F.col("domain").isin(*domains))
     known = known.groupBy("id").agg(F.min("domain").alias("domain"))
     sizes = {r["domain"]: r["count"] for r in known.groupBy("domain").count().collect()}
     total = sum(sizes.values())
-    rows = with_words(texts(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    whole = F.struct(*map(column, docs.columns)).alias("carried")
+    rows = docs.select(
+        column(id_col).alias("doc_id"),
+        F.coalesce(column(text_col), F.lit("")).alias("text"),
+        *[whole] * carry,
+    )
+    rows = with_words(rows)
     prior = [sizes.get(d, 0) / total if total else 1 / len(domains) for d in domains]
     constant = F.array(*[F.lit(float(p)) for p in prior])
     if len(sizes) < 2:
-        return rows.select("doc_id", "row", F.size("words").cast("long").alias("n_tokens"), constant.alias("p"))
+        return rows.select(*kept, n_tokens(), constant.alias("p"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(place < min(1.0, settings.labelled / total))
     # the sample's size is a setting, so it may be sent to every task
@@ -128,8 +142,6 @@ def posteriors(
     own = {d: F.sum((F.col("domain") == d).cast("double")) for d in present}
     counted = (
         learnt.select("domain", F.explode(F.array_distinct("words")).alias("word"))
-        .select("domain", F.regexp_replace("word", r"[^\p{L}]", "").alias("word"))
-        .filter("word <> ''")
         .groupBy("word")
         .agg(F.count("*").alias("n"), *[c.alias(f"n_{i}") for i, c in enumerate(own.values())])
         .filter(F.col("n") >= settings.least_documents)
@@ -154,9 +166,9 @@ def posteriors(
     ).fit(train)
     train.unpersist()
     scored = model.transform(assembler.transform(with_features(rows, lexicons)))
-    scored = scored.select("doc_id", "row", "n_tokens", vector_to_array("probability").alias("known"))
+    scored = scored.select(*kept, "n_tokens", vector_to_array("probability").alias("known"))
     p = [F.get("known", present.index(d)) if d in present else F.lit(0.0) for d in domains]
-    return scored.select("doc_id", "row", "n_tokens", F.array(*p).alias("p"))
+    return scored.select(*kept, "n_tokens", F.array(*p).alias("p"))
 
 
 def rate(p: list[Column], residuals: list[list[float]], step: float, ridge: float) -> Column:
@@ -170,7 +182,7 @@ def rate(p: list[Column], residuals: list[list[float]], step: float, ridge: floa
 
 @dataclass(frozen=True)
 class Mix:
-    """``rows``: doc_id, row, n_tokens, p, rate. ``shares``: what the rates make
+    """``rows``: doc_id, n_tokens, p, rate (and carried). ``shares``: what the rates make
     of the tokens, domain by domain, as shares of all tokens."""
 
     rows: DataFrame
@@ -223,8 +235,9 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     settings: Settings = Settings(),
+    carry: bool = False,
 ) -> Mix:
-    chances = posteriors(docs, labels, domain, domains, id_col, text_col, settings)
+    chances = posteriors(docs, labels, domain, domains, id_col, text_col, settings, carry)
     return fit_rates(written(chances, "chances"), targets, domains, total, settings)
 
 
@@ -233,3 +246,10 @@ def copies(rate_: Column, key: Column) -> Column:
     the rest, told by a hash of the key."""
     place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate_) + (place < rate_ - F.floor(rate_)).cast("long")).cast("int")
+
+
+def mixed_rows(found: Mix) -> DataFrame:
+    """The rows that a mix carries, as often as their rates ask."""
+    n = copies(F.col("rate"), F.col("doc_id"))
+    rows = found.rows.select("carried", n.alias("n")).filter("n > 0")
+    return rows.select(F.explode(F.array_repeat("carried", F.col("n"))).alias("row")).select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, fingerprint, langid, licenses, mixing, pii, quality, secrets, warc
+from tallyhouse.llm import bpe, fingerprint, langid, licenses, mixing, neardup, pii, quality, secrets, warc
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,8 @@ def mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)],
         "rate",
     )
+
+
+@query("op8_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

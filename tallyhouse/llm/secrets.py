@@ -24,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyhouse.llm.common import texts, written
+from tallyhouse.llm.common import column, texts, written
 
 CANDIDATE = (
     r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
@@ -247,3 +247,19 @@ def scan(
         F.coalesce(findings, nothing).alias("findings"),
         F.coalesce(masked, F.col("text")).alias("masked"),
     )
+
+
+def masked_rows(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the secrets of their text masked. Texts without
+    secrets stay as they are, null ones too."""
+    whole = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(text_col).alias("text"))
+    found = scan(whole, forest, "row", "text").select(F.col("doc_id").alias("row"), "findings", "masked")
+    any_secret = F.exists("findings", lambda f: f["secret"])
+    return found.select(
+        *[
+            F.when(any_secret, F.col("masked")).otherwise(F.col("row")[c]).alias(c)
+            if c == text_col
+            else F.col("row")[c].alias(c)
+            for c in docs.columns
+        ]
+    )
