@@ -57,7 +57,7 @@ class Settings:
     iterations: int = 25
     steps: int = 40
     ridge: float = 1e-3
-    tolerance: float = 1e-4
+    tolerance: float = 1e-3
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -173,11 +173,15 @@ def posteriors(
 
 def rate(p: list[Column], residuals: list[list[float]], step: float, ridge: float) -> Column:
     """The rate after the steps whose residuals are given; all start at 1."""
-    r = F.lit(1.0)
-    for gradient in residuals:
-        pull = sum((x * g for x, g in zip(p, gradient)), F.lit(0.0))
-        r = F.greatest(F.lit(0.0), r * (1 - step * ridge) - (pull - ridge) * step)
-    return r
+    if not residuals:
+        return F.lit(1.0)
+    history = F.array(*[F.array(*[F.lit(float(g)) for g in step_]) for step_ in residuals])
+
+    def next_rate(r: Column, gradient: Column) -> Column:
+        pull = sum((x * gradient[i] for i, x in enumerate(p)), F.lit(0.0))
+        return F.greatest(F.lit(0.0), r * (1 - step * ridge) - (pull - ridge) * step)
+
+    return F.aggregate(history, F.lit(1.0), next_rate)
 
 
 @dataclass(frozen=True)
