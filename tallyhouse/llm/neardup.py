@@ -12,9 +12,10 @@ work follows the number of darts that a signature needs.
 Equal texts are one node. Nodes that share a band meet in its bucket. In every
 bucket each node is compared with the bucket's first, in an order drawn by a
 hash; the similarity is computed exactly, and pairs of the least similarity or
-more are linked. Then the buckets that still hold several classes are drawn in
-another order, and nodes of unlike classes are compared, until a round links
-nothing new. So no bucket is capped and none emits all its pairs.
+more are linked. In the opening round a node meets a few of its buckets' firsts,
+which joins most copies. Then the buckets that still hold several classes are
+drawn in other orders, and nodes meet all firsts of another class, until a round
+links nothing new. So no bucket is capped and none emits all its pairs.
 
 Bounds: a task holds a batch of texts; bucket rows are ids; hot buckets are
 combined per task before they are shuffled, and their joins can be split. Links
@@ -47,7 +48,7 @@ U64 = np.uint64
 #: The multipliers of the splitmix64 finaliser and its increment.
 MIX_A, MIX_B, STEP = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 #: The first cell of ranks ends at 2 ** FIRST; each further one is twice as long.
-FIRST = -4
+FIRST = -1
 
 
 @dataclass(frozen=True)
@@ -146,10 +147,10 @@ def darts(
 def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     """The earliest dart of each of ``k`` coordinates."""
     with np.errstate(over="ignore"):
-        theta = k * (np.log(k) + 3) / float(weights.sum())
+        theta = k * (np.log(k) + 2) / float(weights.sum())
         while True:
             rank, draw, name = darts(keys, weights, theta)
-            order = np.lexsort((name, rank))[::-1]
+            order = np.argsort(rank)[::-1]
             first = np.full(k, -1, np.int64)
             # written from the latest to the earliest
             first[(draw[order] % U64(k)).astype(np.int64)] = order
@@ -217,28 +218,43 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     return members.select("doc_id", "node").distinct(), nodes
 
 
+#: Firsts that a node is compared with in the opening round; later rounds know no limit.
+OPENING = 4
+
+
 def drawn_pairs(bucket_rows: DataFrame, salt: int) -> DataFrame:
-    """Pairs (node, other) of each node with the first of its bucket, once each,
-    if their classes differ (``class`` is the node itself in the first round)."""
-    first = F.struct(F.xxhash64("node", F.lit(salt)).alias("at"), F.col("node"), F.col("class"))
+    """Pairs (node, other, class, other_class) of each node with the firsts of
+    its buckets, once each, if their classes differ. Firsts are drawn by one
+    order over all buckets, so that the same few serve a group of copies."""
+    at = F.xxhash64("node", F.lit(salt)).alias("at")
     heads = (
         bucket_rows.groupBy("bucket")
-        .agg(F.min(first).alias("first"), F.min("class").alias("low"), F.max("class").alias("high"))
+        .agg(
+            F.min(F.struct(at, F.col("node"), F.col("class"))).alias("first"),
+            F.min("class").alias("low"),
+            F.max("class").alias("high"),
+        )
         .filter("low <> high")
-        .select("bucket", F.col("first.node").alias("other"), F.col("first.class").alias("other_class"))
+        .select("bucket", "first")
     )
-    return (
+    met = (
         bucket_rows.join(heads, "bucket")
-        .filter(F.col("class") != F.col("other_class"))
-        .select(
-            F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")
-        )
+        .filter(F.col("class") != F.col("first.class"))
+        .select("node", "class", "first")
         .distinct()
     )
+    if salt == 0:
+        firsts = F.slice(F.sort_array(F.collect_list("first")), 1, OPENING)
+        met = met.groupBy("node", "class").agg(firsts.alias("firsts"))
+        met = met.select("node", "class", F.explode("firsts").alias("first"))
+    return met.select(
+        "node", "class", F.col("first.node").alias("other"), F.col("first.class").alias("other_class")
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs of at least the least similarity, computed exactly."""
+    """Links (class, other_class) by pairs of at least the least similarity,
+    which is computed exactly."""
     kind = id_type(pairs, "node")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +264,7 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
                     alike(np.frombuffer(c, "<u4"), np.frombuffer(d, "<u4")))
                 for a, b, c, d in zip(batch["a"], batch["b"], batch["plain_a"], batch["plain_b"])
             ]
-            found = batch[["node", "other"]].assign(similarity=near)
+            found = batch[["class", "other_class"]].assign(similarity=near)
             yield found[found["similarity"] >= settings.least]
 
     left = sets.select("node", F.col("all").alias("a"), F.col("plain").alias("plain_a"))
@@ -258,7 +274,9 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     return (
         pairs.join(left, "node")
         .join(right, "other")
-        .mapInPandas(compare, f"node {kind}, other {kind}, similarity double")
+        .mapInPandas(compare, f"class {kind}, other_class {kind}, similarity double")
+        .select(F.col("class").alias("node"), F.col("other_class").alias("other"))
+        .distinct()
     )
 
 
@@ -266,25 +284,23 @@ def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that links lead to. Labels are taken from
     neighbours and then from the label's own label, until none changes."""
     both = written(
-        links.select("node", "other").unionByName(
-            links.select(F.col("other").alias("node"), F.col("node").alias("other"))
-        ),
+        links.unionByName(links.select(F.col("other").alias("node"), F.col("node").alias("other"))),
         "links",
     )
-    labels = written(
-        both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("class")), "classes"
-    )
+    labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("class"))
+    labels = written(labels, "classes")
     while True:
-        of_other = labels.select(F.col("node").alias("other"), F.col("class").alias("seen"))
-        lowest = both.join(of_other, "other").groupBy("node").agg(F.min("seen").alias("seen"))
-        taken = labels.join(lowest, "node").select(
-            "node", F.least("class", "seen").alias("next"), F.col("class").alias("before")
+        of_other = labels.select(F.col("node").alias("other"), "class")
+        seen = both.join(of_other, "other").select("node", "class", F.lit(None).alias("before"))
+        own = labels.select("node", "class", F.col("class").alias("before"))
+        lowest = (
+            own.unionByName(seen)
+            .groupBy("node")
+            .agg(F.min("class").alias("next"), F.max("before").alias("before"))
         )
         jump = labels.select(F.col("node").alias("next"), F.col("class").alias("jumped"))
         moved = written(
-            taken.join(jump, "next").select(
-                "node", F.least("next", "jumped").alias("class"), "before"
-            ),
+            lowest.join(jump, "next").select("node", F.least("next", "jumped").alias("class"), "before"),
             "classes",
         )
         labels = moved.select("node", "class")
@@ -327,19 +343,31 @@ def near_duplicates(
         .mapInPandas(sets_of, f"node {kind}, all binary, plain binary"),
         "sets",
     )
-    links, classes, salt = None, None, 0
+    # links join classes: what earlier rounds have linked is one node to later ones
+    classes, salt = None, 0
+    rows = bucket_rows.withColumn("class", F.col("node"))
     while True:
+        found = written(verified(drawn_pairs(rows, salt), sets, settings), "similar")
+        if found.isEmpty():
+            if salt:
+                break
+            salt = 1  # the opening round sees but some of the pairs
+            continue
+        joined = components(found).select(F.col("node").alias("class"), F.col("class").alias("into"))
         if classes is None:
-            rows = bucket_rows.withColumn("class", F.col("node"))
+            classes = joined.select(F.col("class").alias("node"), F.col("into").alias("class"))
         else:
-            rows = bucket_rows.join(classes, "node", "left").withColumn(
-                "class", F.coalesce("class", "node")
+            kept = classes.join(joined, "class", "left").select(
+                "node", F.coalesce("into", "class").alias("class")
             )
-        found = written(verified(drawn_pairs(rows, salt), sets, settings), "similar")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        classes = components(links)
+            fresh = joined.join(classes, joined["class"] == classes["node"], "left_anti")
+            classes = kept.unionByName(
+                fresh.select(F.col("class").alias("node"), F.col("into").alias("class"))
+            )
+        classes = written(classes, "classes")
+        rows = bucket_rows.join(classes, "node", "left").withColumn(
+            "class", F.coalesce("class", "node")
+        )
         salt += 1
     if classes is None:
         classes = members.select("node", F.col("node").alias("class")).limit(0)
