@@ -35,7 +35,7 @@ from tallyhouse.llm.fingerprint import words_of
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
-SURFACE = ("marks", "upper", "bars", "digits", "word_length", "variety", "size")
+SURFACE = ("marks", "word_length", "variety", "size")
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -86,10 +86,7 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
         for words in lexicons
     ]
     surface = {
-        "marks": _count(F.col("text"), "#*$%&<>!") / n,
-        "upper": F.regexp_count("text", F.lit(r"\p{Lu}")) / n,
-        "bars": _count(F.col("text"), "|") / n,
-        "digits": _count(F.col("text"), "0123456789") / n,
+        "marks": _count(F.col("text"), "#*$%&<>|!") / n,
         "word_length": n / tokens,
         "variety": kinds / tokens,
         "size": F.log(tokens.cast("double")),
