@@ -126,16 +126,17 @@ def posteriors(
     rows = with_words(rows)
     prior = [sizes.get(d, 0) / total if total else 1 / len(domains) for d in domains]
     constant = F.array(*[F.lit(float(p)) for p in prior])
-    if len(sizes) < 2:
-        return rows.select(*kept, n_tokens(), constant.alias("p"))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.filter(place < min(1.0, settings.labelled / total))
+    sample = known.filter(place < min(1.0, settings.labelled / max(total, 1)))
     # the sample's size is a setting, so it may be sent to every task
     learnt = written(
         rows.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "words", "domain"),
         "labelled",
     )
-    present = [d for d in domains if d in sizes]
+    found = {r["domain"] for r in learnt.select("domain").distinct().collect()}
+    if len(found) < 2:
+        return rows.select(*kept, n_tokens(), constant.alias("p"))
+    present = [d for d in domains if d in found]
     own = {d: F.sum((F.col("domain") == d).cast("double")) for d in present}
     counted = (
         learnt.select("domain", F.explode(F.array_distinct("words")).alias("word"))
