@@ -115,7 +115,7 @@ def outer_braces(text: Column) -> Column:
 def title_case(name: Column) -> Column:
     """First letter of every word in upper case, the others unchanged."""
     parts = F.transform(
-        F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100000))
+        F.split(name, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))
     )
     return F.array_join(parts, " ")
 

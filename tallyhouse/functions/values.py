@@ -10,15 +10,22 @@ from tallyhouse.functions.text import strip
 
 
 NUMBER_SHAPE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Infinity)\z"
-HEX_SHAPE = r"^0[xX][0-9a-fA-F]{1,15}\z"
+BASED_SHAPE = r"^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)\z"
 
 
 def number_from_text(value: Column) -> Column:
     """The number a text stands for, as a double; NULL when it stands for none."""
     text = strip(value.cast("string"))
-    hexadecimal = F.conv(F.substring(text, 3, 15), 16, 10).cast("double")
+    lower = F.lower(text)
+    base = F.when(lower.startswith("0x"), 16.0).when(lower.startswith("0o"), 8.0).otherwise(2.0)
+    digits = F.split(F.substring(lower, F.lit(3), F.length(lower)), "")
+    based = F.aggregate(
+        F.array_remove(digits, ""),
+        F.lit(0.0),
+        lambda n, d: n * base + F.instr(F.lit("0123456789abcdef"), d) - 1,
+    )
     return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double")).when(
-        text.rlike(HEX_SHAPE), hexadecimal
+        text.rlike(BASED_SHAPE), based
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 3
@@ -27,8 +27,13 @@ def data_summary(combined: DataFrame, source: str, order: list) -> DataFrame:
         F.array_join(lines, ""),
         F.when(F.col("total") > 0, F.lit(f"\nSample Data Structure:\n{structure}")).otherwise(""),
     )
-    first = combined.orderBy(*order).limit(SAMPLE_ROWS).select(F.to_json(F.struct(*columns)).alias("row"))
-    sample = first.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("row")), ","), F.lit("]")))
+    # the window orders the few rows that are left, so that the list keeps the order
+    place = F.row_number().over(Window.orderBy(*order)).alias("place")
+    first = combined.orderBy(*order).limit(SAMPLE_ROWS).select(
+        F.struct(place, F.to_json(F.struct(*columns)).alias("row")).alias("row")
+    )
+    rows = F.array_sort(F.collect_list("row"))["row"]
+    sample = first.agg(F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]")))
     return per_source.select(
         F.coalesce("total", F.lit(0)).alias("total"), overview.alias("overview"), sample.scalar().alias("sample")
     )

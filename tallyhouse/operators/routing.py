@@ -128,24 +128,20 @@ def _expand(
     return typed.join(_connected(sources), "type").select(key, "source_id", "type", "priority")
 
 
-# Connected sources up to this number are looked up within the row.
-MAX_LISTED = 1000
-
-
 def _split_by_request(
     df: DataFrame, key: str, requested: str, connected: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(question, source) pairs of the connected sources asked for, and the other questions."""
-    asked_for = F.array_distinct(F.col(requested))
-    listed = [r.source_id for r in connected.select("source_id").limit(MAX_LISTED + 1).collect()]
-    if len(listed) <= MAX_LISTED:
-        ids = F.array(*[F.lit(i) for i in listed]).cast(df.schema[requested].dataType)
-        none = F.array().cast(df.schema[requested].dataType)
-        marked = df.withColumn("_asked", F.coalesce(F.array_intersect(asked_for, ids), none))
-        pairs = marked.select(key, F.explode("_asked").alias("source_id"))
-        return pairs.join(connected, "source_id"), marked.filter(F.size("_asked") == 0).drop("_asked")
-    pairs = df.select(key, F.explode(asked_for).alias("source_id")).join(connected, "source_id")
-    return pairs, df.join(pairs.select(key).distinct(), key, "left_anti")
+    """(question, source) pairs of the connected sources asked for, and the other questions.
+
+    The ids of the registry are one value to every row, so that rows which
+    share a key, or have none, are each split by their own request.
+    """
+    wanted = df.schema[requested].dataType
+    ids = connected.agg(F.collect_set("source_id")).scalar().cast(wanted)
+    asked = F.array_intersect(F.array_distinct(F.col(requested)), ids)
+    marked = df.withColumn("_asked", F.coalesce(asked, F.array().cast(wanted)))
+    pairs = marked.select(key, F.explode("_asked").alias("source_id"))
+    return pairs.join(connected, "source_id"), marked.filter(F.size("_asked") == 0).drop("_asked")
 
 
 def route_queries(

@@ -76,18 +76,24 @@ def embed_texts(df: DataFrame, text: str, dimensions: int = DIMENSIONS, column:
 
 
 def upsert(stored: DataFrame, new: DataFrame, id: str, version: str) -> DataFrame:
-    """Stored and new vectors, of which the latest version of each id remains.
+    """Stored and new vectors, of which the latest version of each id remains,
+    in each collection if the vectors have one.
 
     Ranking keeps one row per id in each task before the shuffle.
     """
-    latest = Window.partitionBy(id).orderBy(F.desc(version))
+    latest = Window.partitionBy(id, *_collection(stored, new)).orderBy(F.desc(version))
     both = stored.unionByName(new, allowMissingColumns=True)
     return both.withColumn("_n", F.row_number().over(latest)).filter("_n <= 1").drop("_n")
 
 
 def delete(stored: DataFrame, ids: DataFrame, id: str) -> DataFrame:
-    """Stored vectors whose id is not listed."""
-    return stored.join(ids.select(id), id, "left_anti")
+    """Stored vectors whose id is not listed, in its collection if both name one."""
+    by = [id, *_collection(stored, ids)]
+    return stored.join(ids.select(*by), by, "left_anti")
+
+
+def _collection(*tables: DataFrame) -> list[str]:
+    return ["collection"] if all("collection" in t.columns for t in tables) else []
 
 
 def drop_collection(stored: DataFrame, name: str) -> DataFrame:

@@ -12,12 +12,13 @@ from tallyhouse.session import run_folder
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: StructType, files_per_trigger: int = 1000
 ) -> DataFrame:
-    """A parquet table as a stream; the intake of one micro-batch is bounded."""
+    """A parquet table, a file or a folder of files, as a stream; the intake of
+    one micro-batch is bounded."""
+    # as a pattern, because a plain path would have to be a folder
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
         .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
+        .parquet(f"{folder}/{{{name}}}")
     )
 
 
@@ -26,11 +27,14 @@ def drain(stream: DataFrame, mode: str, name: str) -> tuple[DataFrame, str]:
 
     Every micro-batch is written to a folder of its own below the shared
     folder; a repeated batch overwrites itself, so nothing is written twice.
+    Without any batch the table is empty.
     """
     spark = stream.sparkSession
     folder = run_folder(spark, name)
     table, progress = f"{folder}/table", f"{folder}/progress"
 
+    spark.createDataFrame([], stream.schema).write.parquet(f"{table}/batch_id=-1")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 

@@ -81,9 +81,17 @@ def sources(spark, *rows):
     return spark.createDataFrame(list(rows), "id string, type string, status string")
 
 
-@pytest.mark.parametrize("listed", [1000, 1])
-def test_routing(spark, monkeypatch, listed):
-    monkeypatch.setattr(routing, "MAX_LISTED", listed)
+def test_requests_are_split_row_by_row(spark):
+    """Rows that share a key, or have none, and a registry of more than 1000 sources."""
+    known = sources(spark, *[(f"s{i}", "postgres", "connected") for i in range(1200)])
+    rows = [(1, "x", ["s7"]), (1, "x", ["gone"]), (None, "x", ["s8", "s8"])]
+    df = spark.createDataFrame(rows, "id int, text string, want array<string>")
+    got = [(r.id, r.source_id) for r in routing.route_queries(df, "id", "text", known, "want").collect()]
+    assert got.count((1, "s7")) == 2 and (None, "s8") in got
+    assert len(got) == 1 + 1200 + 1
+
+
+def test_routing(spark):
     known = sources(
         spark,
         ("bi", "superset", "connected"),

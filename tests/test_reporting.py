@@ -244,3 +244,10 @@ def test_lenient_number(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.v for r in df.orderBy("i").select(values.lenient_number(F.col("t")).alias("v")).collect()]
     assert got == [12.0, 1000.0, 0.5, 5.0, 0.0, 31.0, float("inf"), 0.0, 0.0, 0.0, 0.0, -2.0]
+
+
+def test_based_numbers_of_any_length(spark):
+    texts = ["0x1fffffffffffffff", "0b11", "0o17", "0b2", "0x" + "0" * 40 + "a", "0x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = [r.v for r in df.orderBy("i").select(values.lenient_number(F.col("t")).alias("v")).collect()]
+    assert got == [float(2**61), 3.0, 15.0, 0.0, 10.0, 0.0]

@@ -63,6 +63,6 @@ def stream_user_stats(wh):
         FROM log GROUP BY 1, 2""",
 )
 def stream_windowed_stats(wh):
-    stream = jobs.windowed_user_stats(as_history(event_stream(wh)), "1 hour", "1 day")
+    stream = jobs.windowed_user_stats(as_history(event_stream(wh)), "1 hour")
     written, _ = tables.drain(stream, "update", "windowed-stats")
     return plain(tables.latest(written, ["user_id", "window_start"]))

@@ -565,8 +565,8 @@ def route_by_intent(wh):
     f"""WITH {QUESTION_SQL}, {planner_sql('questions', 'id', 'text')},
        c AS (SELECT 'orders' AS source, o_orderpriority AS kind, o_orderkey AS amount FROM orders
              UNION ALL SELECT 'customers', c_mktsegment, c_custkey FROM customer),
-       s AS (SELECT '[' || string_agg(j, ',' ORDER BY j) || ']' AS sample FROM (
-               SELECT to_json({{'kind': kind, 'amount': amount}})::VARCHAR AS j FROM c
+       s AS (SELECT '[' || string_agg(j, ',' ORDER BY amount DESC, kind) || ']' AS sample FROM (
+               SELECT to_json({{'kind': kind, 'amount': amount}})::VARCHAR AS j, kind, amount FROM c
                ORDER BY amount DESC, kind LIMIT 3))
        SELECT p.id, 'Enhanced Data Analysis Context:' || chr(10) || 'User Query: ' || q.text || chr(10) ||
          'Detected Intent: ' || intent || format(' (Confidence: {{:.2f}})', confidence) || chr(10) || 'Main Action: ' || main_action
