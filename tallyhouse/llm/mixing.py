@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import column, written
-from tallyhouse.llm.fingerprint import words_of
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
@@ -48,7 +47,8 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 @dataclass(frozen=True)
 class Settings:
     """``labelled``: about so many labelled documents are learnt from.
-    ``lexicon``: words kept for each domain."""
+    ``lexicon``: words kept for each domain. ``replayed``: rates are written
+    after so many steps."""
 
     labelled: int = 10_000
     lexicon: int = 100
@@ -56,22 +56,18 @@ class Settings:
     penalty: float = 1e-3
     iterations: int = 25
     steps: int = 40
+    replayed: int = 6
     ridge: float = 1e-3
     tolerance: float = 1e-3
 
 
 def with_words(rows: DataFrame) -> DataFrame:
-    """Adds ``words``, the letters of each word in lower case."""
-    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s]++", "")
-    return rows.withColumn("words", words_of(letters))
+    """Adds ``words``, the runs of letters in lower case."""
+    return rows.withColumn("words", F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""))
 
 
 def n_tokens() -> Column:
-    return F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")).cast("long").alias("n_tokens")
-
-
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count("text", F.lit(r"\S++")).cast("long").alias("n_tokens")
 
 
 def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
@@ -79,20 +75,25 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     surface, and what share of its distinct words each lexicon holds."""
     n = F.greatest(F.length("text"), F.lit(1))
     named = rows.withColumn("distinct", F.array_distinct("words")).withColumn("n_tokens", n_tokens())
+
+    def listed(words: list[str]) -> Column:
+        return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+    # few words are in any lexicon, so each is compared with those alone
+    named = named.withColumn(
+        "known_words", F.array_intersect("distinct", listed(sorted({w for words in lexicons for w in words})))
+    )
     tokens = F.greatest(F.col("n_tokens"), F.lit(1))
     kinds = F.greatest(F.size("distinct"), F.lit(1))
-    held = [
-        F.size(F.array_intersect("distinct", F.array(*[F.lit(w) for w in words]).cast("array<string>"))) / kinds
-        for words in lexicons
-    ]
+    held = [F.size(F.array_intersect("known_words", listed(words))) / kinds for words in lexicons]
     surface = {
-        "marks": _count(F.col("text"), "#*$%&<>|!") / n,
+        "marks": F.regexp_count("text", F.lit(r"[#*$%&<>|!]")) / n,
         "word_length": n / tokens,
         "variety": kinds / tokens,
         "size": F.log(tokens.cast("double")),
     }
     return named.select(
-        *[c for c in named.columns if c not in ("text", "words", "distinct")],
+        *[c for c in named.columns if c not in ("text", "words", "distinct", "known_words")],
         *[c.cast("double").alias(name) for name, c in surface.items()],
         *[c.cast("double").alias(f"lexicon_{i}") for i, c in enumerate(held)],
     )
@@ -169,17 +170,20 @@ def posteriors(
     return scored.select(*kept, "n_tokens", F.array(*p).alias("p"))
 
 
-def rate(p: list[Column], residuals: list[list[float]], step: float, ridge: float) -> Column:
-    """The rate after the steps whose residuals are given; all start at 1."""
+def rate(
+    p: list[Column], residuals: list[list[float]], step: float, ridge: float, start: Column | None = None
+) -> Column:
+    """The rate after the steps whose residuals are given, from ``start`` (1) on."""
+    start = F.lit(1.0) if start is None else start
     if not residuals:
-        return F.lit(1.0)
+        return start
     history = F.array(*[F.array(*[F.lit(float(g)) for g in step_]) for step_ in residuals])
 
     def next_rate(r: Column, gradient: Column) -> Column:
         pull = sum((x * gradient[i] for i, x in enumerate(p)), F.lit(0.0))
         return F.greatest(F.lit(0.0), r * (1 - step * ridge) - (pull - ridge) * step)
 
-    return F.aggregate(history, F.lit(1.0), next_rate)
+    return F.aggregate(history, start, next_rate)
 
 
 @dataclass(frozen=True)
@@ -199,8 +203,9 @@ def fit_rates(
     total: float = 1.0,
     settings: Settings = Settings(),
 ) -> Mix:
-    """Rates for ``total`` times the corpus's tokens. ``chances`` is read once
-    for each step, so it should be a written table."""
+    """Rates for ``total`` times the corpus's tokens. ``chances`` should be a
+    written table. Rates are written after every few steps, as a table of numbers
+    alone, so that a step replays few of those before it."""
     p = [F.get("p", i) for i in range(len(domains))]
     tokens = F.col("n_tokens").cast("double")
     base = chances.agg(F.sum(tokens), *[F.sum(tokens * x) for x in p]).first()
@@ -213,13 +218,17 @@ def fit_rates(
     step = 1.0 / (1.0 + settings.ridge)
     residuals: list[list[float]] = []
     shares = mass
+    at, done = chances.select("p", "n_tokens", F.lit(1.0).alias("rate")), 0
     for _ in range(settings.steps):
         gradient = [(s - w) / m if m > 0 else 0.0 for s, w, m in zip(shares, wanted, mass)]
         if max(abs(s - w) for s, w in zip(shares, wanted)) < settings.tolerance:
             break
+        if len(residuals) - done == settings.replayed:
+            r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"))
+            at, done = written(at.select("p", "n_tokens", r.alias("rate")), "rates"), len(residuals)
         residuals.append(gradient)
-        r = rate(p, residuals, step, settings.ridge)
-        sums = chances.select(F.col("p"), (tokens * r / all_tokens).alias("w")).agg(
+        r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"))
+        sums = at.select(F.col("p"), (tokens * r / all_tokens).alias("w")).agg(
             *[F.sum(F.col("w") * x) for x in p]
         )
         shares = list(sums.first())
