@@ -31,7 +31,7 @@ id are never near copies of others; they keep their place, without a class.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -106,69 +106,117 @@ def _chances(mean: float) -> np.ndarray:
 
 
 def darts(
-    keys: np.ndarray, weights: np.ndarray, theta: float
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rank, coordinate draw, name) of all darts that hit the set below rank
-    ``theta``. Which darts there are depends on the cells alone."""
-    ranks, draws, names = [], [], []
+    keys: np.ndarray, weights: np.ndarray, theta: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, coordinate draw, name, element) of all darts that hit an element's
+    weight below its rank ``theta``. Which darts there are depends on the cells
+    alone."""
+    ranks, draws, names, elements_hit = [], [], [], []
     top = 0.0
     cell = 0
-    while top < theta:
+    while True:
+        reach = np.flatnonzero(theta > top)
+        if not len(reach):
+            break
         low, high = (0.0, 2.0**FIRST) if cell == 0 else (top, top * 2)
         level = 0
         while True:
             base, width = 2.0**level - 1, 2.0**level
-            reach = keys if level == 0 else keys[weights > base]
+            reach = reach[weights[reach] > base]
             if not len(reach):
                 break
-            limit = weights if level == 0 else weights[weights > base]
-            seeds = mixed(reach + U64(cell + 1) * STEP + U64(level + 1) * MIX_A)
+            seeds = mixed(keys[reach] + U64(cell + 1) * STEP + U64(level + 1) * MIX_A)
             u = (mixed(seeds ^ MIX_B) >> U64(11)) * 2.0**-53
             counts = np.searchsorted(_chances((high - low) * width), u, side="right")
-            total = int(counts.sum())
-            if total:
-                owner = np.repeat(np.arange(len(reach)), counts)
-                place = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-                name = mixed(seeds[owner] + (place.astype(U64) + U64(1)) * MIX_B)
-                second = mixed(name + STEP)
-                rank = low + (name >> U64(11)) * 2.0**-53 * (high - low)
-                weight = base + (second >> U64(32)) * 2.0**-32 * width
-                hit = (rank < theta) & (weight < limit[owner])
-                ranks.append(rank[hit])
-                draws.append(second[hit] & U64(0xFFFFFFFF))
-                names.append(name[hit])
+            owner = np.repeat(np.arange(len(reach)), counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            name = mixed(seeds[owner] + (place.astype(U64) + U64(1)) * MIX_B)
+            rank = low + (name >> U64(11)) * 2.0**-53 * (high - low)
+            element = reach[owner]
+            early = rank < theta[element]
+            rank, name, element = rank[early], name[early], element[early]
+            second = mixed(name + STEP)
+            hit = base + (second >> U64(32)) * 2.0**-32 * width < weights[element]
+            ranks.append(rank[hit])
+            draws.append(second[hit] & U64(0xFFFFFFFF))
+            names.append(name[hit])
+            elements_hit.append(element[hit])
             level += 1
         top, cell = high, cell + 1
-    if not ranks:
-        return np.empty(0), np.empty(0, U64), np.empty(0, U64)
-    return np.concatenate(ranks), np.concatenate(draws), np.concatenate(names)
+    return tuple(map(np.concatenate, (ranks, draws, names, elements_hit)))
 
 
-def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """The earliest dart of each of ``k`` coordinates."""
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+    """The earliest dart of each of ``k`` coordinates, a row for each set of keys
+    and weights. No set is empty. Sets are only computed together, each row
+    follows from its own set."""
+    found = np.empty((len(sets), k), U64)
+    theta = np.array([k * (np.log(k) + 2) / float(weights.sum()) for _, weights in sets])
+    left = np.arange(len(sets))
     with np.errstate(over="ignore"):
-        theta = k * (np.log(k) + 2) / float(weights.sum())
-        while True:
-            rank, draw, name = darts(keys, weights, theta)
-            order = np.argsort(rank)[::-1]
-            first = np.full(k, -1, np.int64)
-            # written from the latest to the earliest
-            first[(draw[order] % U64(k)).astype(np.int64)] = order
-            if (first >= 0).all():
-                return name[first]
-            theta *= 2
+        while len(left):
+            keys = np.concatenate([sets[i][0] for i in left])
+            weights = np.concatenate([sets[i][1] for i in left])
+            of = np.repeat(np.arange(len(left)), [len(sets[i][0]) for i in left])
+            rank, draw, name, element = darts(keys, weights, theta[left][of])
+            slot = of[element] * k + (draw % U64(k)).astype(np.int64)
+            earliest = np.full(len(left) * k, np.inf)
+            np.minimum.at(earliest, slot, rank)
+            first = rank == earliest[slot]
+            values = np.zeros(len(left) * k, U64)
+            values[slot[first]] = name[first]
+            whole = np.isfinite(earliest).reshape(-1, k).all(axis=1)
+            found[left[whole]] = values.reshape(-1, k)[whole]
+            # the others look further up, for their later darts
+            left = left[~whole]
+            theta[left] *= 2
+    return found
+
+
+def signature(keys: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    return signatures([(keys, weights)], k)[0]
 
 
 def buckets(values: np.ndarray, settings: Settings) -> np.ndarray:
-    """One key for each band, of its number and values."""
+    """One key for each band, of its number and values; a row for each signature."""
     with np.errstate(over="ignore"):
-        rows = values.reshape(settings.bands, settings.rows)
+        rows = values.reshape(-1, settings.bands, settings.rows)
         keys = np.arange(1, settings.bands + 1, dtype=U64) * MIX_B
         for i in range(settings.rows):
-            keys = mixed(keys + rows[:, i] + STEP)
+            keys = mixed(keys + rows[:, :, i] + STEP)
         return keys.view(np.int64)
 
 
+#: Texts whose signatures are computed together, and their shingles at most
+#: (a longer text is alone).
+TOGETHER, TOGETHER_SHINGLES = 32, 1 << 17
+
+
+def signed(texts_: Iterable[str], settings: Settings) -> Iterator[np.ndarray]:
+    """The bucket keys of each text in turn; none for a text without words."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> Iterator[np.ndarray]:
+        filled = [i for i, (keys, _) in enumerate(waiting) if len(keys)]
+        keys = [np.empty(0, np.int64)] * len(waiting)
+        if filled:
+            rows = buckets(signatures([waiting[i] for i in filled], settings.coordinates), settings)
+            for i, row in zip(filled, rows):
+                keys[i] = row
+        waiting.clear()
+        yield from keys
+
+    size = 0
+    for text in texts_:
+        keys, counts = shingles(text, settings.shingle)
+        if waiting and (len(waiting) == TOGETHER or size + len(keys) > TOGETHER_SHINGLES):
+            yield from flush()
+            size = 0
+        waiting.append((keys, counts.astype(float)))
+        size += len(keys)
+    yield from flush()
+
+
 def elements(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The weighted set as a plain one (the first, second, … occurrence of a
     shingle are elements of their own), in 32 bits, and where the first are."""
@@ -194,26 +242,19 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
-            for text in batch["text"]:
-                keys, counts = shingles(text, settings.shingle)
-                if len(keys):
-                    values = signature(keys, counts.astype(float), settings.coordinates)
-                    found.append(buckets(values, settings))
-                else:
-                    found.append(np.empty(0, np.int64))
+            found = list(signed(batch["text"], settings))
             if found:
                 yield batch[["doc_id", "digest"]].assign(buckets=found)
 
     rows = texts(docs, id_col, text_col).withColumn("digest", F.unhex(F.sha1("text")))
-    signed = written(
+    with_buckets = written(
         rows.filter("doc_id IS NOT NULL").mapInPandas(
             sign, f"doc_id {kind}, digest binary, buckets array<bigint>"
         ),
         "signatures",
     )
-    firsts = signed.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = written(signed.join(firsts, "digest").select("doc_id", "node", "buckets"), "members")
+    firsts = with_buckets.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    members = written(with_buckets.join(firsts, "digest").select("doc_id", "node", "buckets"), "members")
     nodes = members.filter("doc_id = node").select("node", "buckets")
     return members.select("doc_id", "node").distinct(), nodes
 
