@@ -94,6 +94,15 @@ def test_classify_questions_by_predefined_contexts(spark):
     assert rows[0].semantic_intent == "analytics" and rows[0].keywords == ["sales"]
 
 
+def test_predefined_contexts_keep_their_members(spark):
+    rows = {r.domain: r for r in contexts.predefined_contexts(spark).collect()}
+    assert rows["gaming"].keywords[1:3] == ["video games", "game sales"]
+    assert rows["marketing"].glossary[0].synonyms == ["acquisition cost", "customer cost"]
+    assert rows["slack"].glossary == [] and rows["slack"].patterns[0].pattern == "slack analytics"
+    assert rows["covid"].metrics[0] == "vaccinated" and rows["finance"].dimensions[0] == "account"
+    assert {d: r.search_text for d, r in rows.items()} == dict(contexts.predefined_texts())
+
+
 def test_upsert_delete_and_collections(spark):
     old = spark.createDataFrame([(1, "x", 1), (2, "x", 1)], "id long, collection string, version int")
     new = spark.createDataFrame([(2, "y", 2), (3, "y", 2)], "id long, collection string, version int")
