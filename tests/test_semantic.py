@@ -158,6 +158,8 @@ def test_context_vectors_round_trip(spark, catalog, tags, tmp_path):
     assert row.id == "domain_sales_shop" and round(row.confidence, 3) == 0.575 and row.auto_generated
     slim = stored.select("id", F.struct("metadata.domain").alias("metadata"))
     assert contexts.contexts_from_vectors(slim).first().keywords == []
+    nameless = stored.select("id", F.struct(F.lit(None).cast("string").alias("domain")).alias("metadata"))
+    assert contexts.contexts_from_vectors(nameless).count() == 0
 
 
 def test_ingest_sources(spark):
