@@ -15,7 +15,11 @@ hash; the similarity is computed exactly, and pairs of the least similarity or
 more are linked. In the opening round a node meets a few of its buckets' firsts,
 which joins most copies. Then the buckets that still hold several classes are
 drawn in other orders, and nodes meet all firsts of another class, until a round
-links nothing new. So no bucket is capped and none emits all its pairs.
+links nothing new. What the draws have left open is finished exactly: nodes of
+buckets that still hold several classes are joined on the rarest of the shingles
+that several classes share. Two sets of the least similarity have one in common
+among the first few of them, and are of like sizes, so that no pair is missed.
+Pairs of one class, or without such a shingle, are never made.
 
 Bounds: a task holds a batch of texts; bucket rows are ids; hot buckets are
 combined per task before they are shuffled, and their joins can be split. Links
@@ -321,6 +325,84 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
     )
 
 
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """Buckets (bucket) that hold several classes."""
+    of = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    return of.filter("low <> high").select("bucket")
+
+
+def left_pairs(rows: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs (node, other, class, other_class) of different classes that can
+    be of the least similarity, among the nodes of buckets of several classes.
+
+    A set of n elements shares n * least of them at least with any that is near
+    it. Ordered alike in all sets, those that two classes share by how many sets
+    hold them, the first elements of two near sets so have one in common: s -
+    ceil(n * least) + 1 of a set's s shared ones. Places in that order bound how
+    many more can be common."""
+    least = settings.least
+    nodes = rows.join(mixed_buckets(rows), "bucket", "left_semi").select("node", "class").distinct()
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for node, class_, all_, plain in zip(*(batch[c] for c in ("node", "class", "all", "plain"))):
+                # by occurrence and by distinct shingles are two kinds of sets; without
+                # repetition by one of the two, the plain similarity is the larger
+                kinds = [(1, np.frombuffer(plain, "<u4"))]
+                if len(all_) > len(plain):
+                    kinds.append((2, np.frombuffer(all_, "<u4")))
+                for kind, own in kinds:
+                    yield pd.DataFrame(
+                        {
+                            "node": node,
+                            "class": class_,
+                            "n": len(own),
+                            "element": own.astype(np.int64) * 2 + kind - 1,
+                        }
+                    )
+
+    id_ = id_type(rows, "node")
+    held = written(
+        sets.join(nodes, "node").mapInPandas(
+            listed, f"node {id_}, class {id_}, n bigint, element bigint"
+        ),
+        "elements",
+    )
+    shared = (
+        held.groupBy("element")
+        .agg(F.count("*").alias("held"), F.min("class").alias("low"), F.max("class").alias("high"))
+        .filter("low <> high")
+        .select("element", "held")
+    )
+    of_set = Window.partitionBy("node", F.col("element") % 2)
+    ordered = of_set.orderBy("held", "element")
+    needed = F.ceil(F.col("n") * least - 1e-9)
+    first = written(
+        held.join(shared, "element")
+        .withColumn("s", F.count("*").over(of_set))
+        .withColumn("place", F.row_number().over(ordered))
+        .filter(F.col("place") <= F.col("s") - needed + 1)
+        .select("element", "node", "class", "n", (F.col("s") - F.col("place")).alias("after")),
+        "firsts",
+    )
+    others = first.select(
+        "element",
+        F.col("node").alias("other"),
+        F.col("class").alias("other_class"),
+        F.col("n").alias("other_n"),
+        F.col("after").alias("other_after"),
+    )
+    common = F.ceil((F.col("n") + F.col("other_n")) * (least / (1 + least)) - 1e-9)
+    return (
+        first.join(others, "element")
+        .filter((F.col("node") < F.col("other")) & (F.col("class") != F.col("other_class")))
+        .filter((F.col("n") >= F.col("other_n") * least - 1e-9) & (F.col("other_n") >= F.col("n") * least - 1e-9))
+        .filter(F.least("after", "other_after") + 1 >= common)
+        .select("node", "other", "class", "other_class")
+        .distinct()
+    )
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, class): the smallest node that links lead to. Labels are taken from
     neighbours and then from the label's own label, until none changes."""
@@ -385,14 +467,16 @@ def near_duplicates(
         "sets",
     )
     # links join classes: what earlier rounds have linked is one node to later ones
-    classes, salt = None, 0
+    classes, salt, drawing = None, 0, True
     rows = bucket_rows.withColumn("class", F.col("node"))
     while True:
-        found = written(verified(drawn_pairs(rows, salt), sets, settings), "similar")
+        pairs = drawn_pairs(rows, salt) if drawing else left_pairs(rows, sets, settings)
+        found = written(verified(pairs, sets, settings), "similar")
         if found.isEmpty():
-            if salt:
+            if not drawing:
                 break
-            salt = 1  # the opening round sees but some of the pairs
+            # the opening round sees but some of the pairs, and draws may miss some
+            drawing, salt = salt == 0, salt + 1
             continue
         joined = components(found).select(F.col("node").alias("class"), F.col("class").alias("into"))
         if classes is None:
@@ -409,6 +493,8 @@ def near_duplicates(
         rows = bucket_rows.join(classes, "node", "left").withColumn(
             "class", F.coalesce("class", "node")
         )
+        if not drawing:
+            break  # all pairs of different classes were compared
         salt += 1
     if classes is None:
         classes = members.select("node", F.col("node").alias("class")).limit(0)

@@ -280,6 +280,25 @@ def test_near_duplicates(spark, documents, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_pair_among_unlike_texts_of_one_bucket(spark):
+    """Forty texts that share two thirds, of which two are near."""
+    rng = np.random.default_rng(11)
+    passage = [f"p{i}" for i in rng.integers(0, 10**6, 300)]
+    texts = [" ".join(passage + [f"t{i}x{j}" for j in range(70)]) for i in range(40)]
+    texts[31] = texts[17].rsplit(" ", 30)[0] + " " + " ".join(f"u{j}" for j in range(30))
+    sets = [plain_shingles(t) for t in texts]
+    near = [
+        (i, j)
+        for i, j in itertools.combinations(range(40), 2)
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    assert near == [(17, 31)]
+    # a single band of one value: most of the unlike texts are in one bucket
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = neardup.near_duplicates(docs, settings=neardup.Settings(bands=1, rows=1)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: 17 if i == 31 else i for i in range(40)}
+
+
 PAGES = [(1, "u", "<p>"), (2, "u", "<p>"), (3, None, None), (4, "v", ""), (9, "u", "<p>"), (9, "u", "<p>"),
          (None, "w", "<p>"), (5, "x\r\ny", "é" * 9000)]
 
