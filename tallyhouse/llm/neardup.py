@@ -9,6 +9,10 @@ weighted Jaccard similarity. The plane is cut into cells that are the same for
 all texts, and a cell's darts are made only when a text reaches into it, so the
 work follows the number of darts that a signature needs.
 
+A text in which a shingle repeats has a second signature, with all weights 1, so
+that texts alike by distinct shingles alone meet as well. In other texts the two
+signatures are the same.
+
 Equal texts are one node. Nodes that share a band meet in its bucket. In every
 bucket each node is compared with the bucket's first, in an order drawn by a
 hash; the similarity is computed exactly, and pairs of the least similarity or
@@ -197,16 +201,22 @@ TOGETHER, TOGETHER_SHINGLES = 32, 1 << 17
 
 
 def signed(texts_: Iterable[str], settings: Settings) -> Iterator[np.ndarray]:
-    """The bucket keys of each text in turn; none for a text without words."""
+    """The bucket keys of each text in turn, by occurrence and, if a shingle
+    repeats, by distinct shingles too; none for a text without words."""
     waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[np.ndarray]:
         filled = [i for i, (keys, _) in enumerate(waiting) if len(keys)]
+        repeating = [i for i in filled if waiting[i][1].max() > 1]
         keys = [np.empty(0, np.int64)] * len(waiting)
         if filled:
-            rows = buckets(signatures([waiting[i] for i in filled], settings.coordinates), settings)
+            sets = [waiting[i] for i in filled]
+            sets += [(waiting[i][0], np.ones(len(waiting[i][0]))) for i in repeating]
+            rows = buckets(signatures(sets, settings.coordinates), settings)
             for i, row in zip(filled, rows):
                 keys[i] = row
+            for i, row in zip(repeating, rows[len(filled) :]):
+                keys[i] = np.unique(np.concatenate([keys[i], row]))
         waiting.clear()
         yield from keys
 

@@ -299,6 +299,17 @@ def test_near_pair_among_unlike_texts_of_one_bucket(spark):
     assert {r.doc_id: r.class_id for r in found} == {i: 17 if i == 31 else i for i in range(40)}
 
 
+def test_near_by_distinct_shingles_alone(spark):
+    """Copies that differ in how often a passage repeats share no weighted band."""
+    rows, want = [], {}
+    for i in range(0, 20, 2):
+        words = [f"g{i}w{j}" for j in range(200)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words + words[70:130] * 6))]
+        want |= {i: i, i + 1: i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == want
+
+
 PAGES = [(1, "u", "<p>"), (2, "u", "<p>"), (3, None, None), (4, "v", ""), (9, "u", "<p>"), (9, "u", "<p>"),
          (None, "w", "<p>"), (5, "x\r\ny", "é" * 9000)]
 
