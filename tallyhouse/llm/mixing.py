@@ -34,7 +34,7 @@ from tallyhouse.llm.common import column, written
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.08, "toxic": 0.02}
-SURFACE = ("marks", "word_length", "variety", "size")
+SURFACE = ("marks", "upper", "bars", "digits", "word_length", "variety", "size")
 
 
 def label_domain(quality: Column, toxic: Column) -> Column:
@@ -58,7 +58,7 @@ class Settings:
     steps: int = 40
     replayed: int = 6
     ridge: float = 1e-3
-    tolerance: float = 1e-3
+    tolerance: float = 1e-4
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -74,7 +74,13 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     """doc_id, n_tokens and features of rows that have ``words``: the text's
     surface, and what share of its distinct words each lexicon holds."""
     n = F.greatest(F.length("text"), F.lit(1))
-    named = rows.withColumn("distinct", F.array_distinct("words")).withColumn("n_tokens", n_tokens())
+    # one pass over the text for all kinds of signs, which are then told apart
+    signs = F.array_join(F.regexp_extract_all("text", F.lit(r"[#*$%&<>!|0-9\p{Lu}]++"), 0), "")
+    named = (
+        rows.withColumn("distinct", F.array_distinct("words"))
+        .withColumn("n_tokens", n_tokens())
+        .withColumn("signs", signs)
+    )
 
     def listed(words: list[str]) -> Column:
         return F.array(*[F.lit(w) for w in words]).cast("array<string>")
@@ -87,13 +93,16 @@ def with_features(rows: DataFrame, lexicons: list[list[str]]) -> DataFrame:
     kinds = F.greatest(F.size("distinct"), F.lit(1))
     held = [F.size(F.array_intersect("known_words", listed(words))) / kinds for words in lexicons]
     surface = {
-        "marks": F.regexp_count("text", F.lit(r"[#*$%&<>|!]")) / n,
+        "marks": F.regexp_count("signs", F.lit(r"[#*$%&<>!]")) / n,
+        "upper": F.regexp_count("signs", F.lit(r"\p{Lu}")) / n,
+        "bars": F.regexp_count("signs", F.lit(r"\|")) / n,
+        "digits": F.regexp_count("signs", F.lit(r"[0-9]")) / n,
         "word_length": n / tokens,
         "variety": kinds / tokens,
         "size": F.log(tokens.cast("double")),
     }
     return named.select(
-        *[c for c in named.columns if c not in ("text", "words", "distinct", "known_words")],
+        *[c for c in named.columns if c not in ("text", "words", "distinct", "known_words", "signs")],
         *[c.cast("double").alias(name) for name, c in surface.items()],
         *[c.cast("double").alias(f"lexicon_{i}") for i, c in enumerate(held)],
     )
@@ -189,11 +198,14 @@ def rate(
 @dataclass(frozen=True)
 class Mix:
     """``rows``: doc_id, n_tokens, p, rate (and carried). ``shares``: what the rates make
-    of the tokens, domain by domain, as shares of all tokens."""
+    of the tokens, domain by domain, as shares of all tokens. ``residuals``: what
+    the shares miss the targets by; above the tolerance if the steps ran out or the
+    targets cannot be met."""
 
     rows: DataFrame
     shares: dict[str, float]
     steps: int
+    residuals: dict[str, float]
 
 
 def fit_rates(
@@ -211,7 +223,7 @@ def fit_rates(
     base = chances.agg(F.sum(tokens), *[F.sum(tokens * x) for x in p]).first()
     all_tokens = base[0] or 0.0
     if not all_tokens:
-        return Mix(chances.withColumn("rate", F.lit(1.0)), dict.fromkeys(domains, 0.0), 0)
+        return Mix(chances.withColumn("rate", F.lit(1.0)), dict.fromkeys(domains, 0.0), 0, dict.fromkeys(domains, 0.0))
     mass = [b / all_tokens for b in base[1:]]
     wanted = [targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(domains, mass)]
     wanted = [total * w / (sum(wanted) or 1.0) for w in wanted]
@@ -233,7 +245,8 @@ def fit_rates(
         )
         shares = list(sums.first())
     r = rate(p, residuals, step, settings.ridge)
-    return Mix(chances.withColumn("rate", r), dict(zip(domains, shares)), len(residuals))
+    missed = {d: s - w for d, s, w in zip(domains, shares, wanted)}
+    return Mix(chances.withColumn("rate", r), dict(zip(domains, shares)), len(residuals), missed)
 
 
 def mix(

@@ -116,6 +116,8 @@ def mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(names, F.array_position("p", F.array_max("p")).cast("int") - 1).alias("domain"),
         *[F.get("p", i).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)],
         "rate",
+        F.lit(mix.steps).alias("steps"),
+        *[F.lit(float(mix.residuals[d])).alias(f"residual_{d}") for d in mixing.DOMAINS],
     )
 
 

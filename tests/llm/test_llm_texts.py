@@ -230,6 +230,29 @@ def test_mixing(spark, documents, odd, none):
     assert mixing.mix(none, labels, domain, mixing.TARGETS).rows.count() == 0
 
 
+def test_mixing_looks_at_capitals_digits_and_tables(spark):
+    texts = ["plain words here", "PLAIN WORDS HERE", "plain 12345 here", "plain | words | here", "plain # words"]
+    docs = mixing.with_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = mixing.with_features(docs, [["plain"]]).orderBy("doc_id").collect()
+    assert [(r.upper > 0, r.digits > 0, r.bars > 0, r.marks > 0) for r in rows] == [
+        (False,) * 4, (True, False, False, False), (False, True, False, False),
+        (False, False, True, False), (False, False, False, True),
+    ]
+    assert rows[1].upper == 14 / 16 and rows[2].digits == 5 / 16
+
+
+def test_mixing_tells_what_is_missed(spark):
+    rows = [(i, 100, [0.5, 0.3, 0.2] if i % 2 else [0.9, 0.1, 0.0]) for i in range(40)]
+    chances = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    for steps in (2, 40):
+        mix = mixing.fit_rates(chances, mixing.TARGETS, settings=mixing.Settings(steps=steps))
+        got = mix.rows.collect()
+        for i, name in enumerate(mixing.DOMAINS):
+            share = sum(r.rate * r.n_tokens * r.p[i] for r in got) / 4000
+            assert abs(share - mixing.TARGETS[name] - mix.residuals[name]) < 1e-9
+    assert mixing.Settings().tolerance == 1e-4
+
+
 def test_dart_signatures():
     """Shared values follow the weighted similarity, and need no other text."""
     rng = np.random.default_rng(5)
