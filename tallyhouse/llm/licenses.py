@@ -1,6 +1,8 @@
 """License scans: a paragraph classifier confirmed by templates.
 
-A paragraph is a line; longer ones are read in overlapping windows of words.
+A paragraph is what stands between lines without letters or digits, its lines
+joined; signs that mark comments are no words. Each of its lines is one as well.
+Longer ones are read in overlapping windows of words.
 Its word n-grams are hashed into a sparse vector, from which a multinomial
 logistic regression tells the licence family or "unknown". It learns from parts
 of the templates (families) and from paragraphs of the corpus (unknown). Its
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from tallyhouse.llm.common import texts, written
 
 UNKNOWN = "unknown"
+LINE_END = "[\\r\\n\u2028\u2029]+"
+#: A line end, signs alone, and the next line end.
+BETWEEN = "(?>\\r\\n|[\\r\\n\u2028\u2029])[^\\p{L}\\p{N}]*(?>\\r\\n|[\\r\\n\u2028\u2029])"
 
 # Notices by which texts are put under a licence, by family.
 TEMPLATES = {
@@ -126,13 +131,25 @@ def ngrams(words: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
-    """(doc_id, row, words) of every line or window of one."""
+    """(doc_id, row, block, whole, words) of every block of lines and every line,
+    or window of one. ``whole`` tells blocks of several lines."""
     step = settings.window - settings.overlap
-    lines = (
+    blocks = (
         texts(docs, id_col, text_col)
         .withColumn("row", F.monotonically_increasing_id())
-        .select("doc_id", "row", F.explode(F.split("text", r"[\r\n  ]+")).alias("line"))
-        .select("doc_id", "row", words_of(F.col("line")).alias("words"))
+        .select("doc_id", "row", F.posexplode(F.split("text", BETWEEN)).alias("block", "lines"))
+        .withColumn("of", F.filter(F.split("lines", LINE_END), lambda x: x.rlike(r"[\p{L}\p{N}]")))
+    )
+    several = F.transform("of", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("line")))
+    joined = F.array(F.struct(F.lit(True).alias("whole"), F.array_join("of", " ").alias("line")))
+    lines = (
+        blocks.select(
+            "doc_id",
+            "row",
+            "block",
+            F.explode(F.when(F.size("of") > 1, F.concat(joined, several)).otherwise(several)).alias("l"),
+        )
+        .select("doc_id", "row", "block", "l.whole", words_of(F.col("l.line")).alias("words"))
         .filter(F.size("words") > 0)
     )
     starts = F.sequence(
@@ -142,6 +159,8 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, settings: Settings)
     return lines.select(
         "doc_id",
         "row",
+        "block",
+        "whole",
         F.explode(
             F.when(F.size("words") <= settings.window, F.array("words")).otherwise(windows)
         ).alias("words"),
@@ -270,8 +289,8 @@ def scan_paragraphs(
     # projection, and the model be evaluated again for every mention of it
     scored = (
         with_best(model.regression.transform(rows), n)
-        .select("doc_id", "row", "words", F.explode(F.array(told)).alias("told"))
-        .select("doc_id", "row", "words", "told.score", "told.family")
+        .select("doc_id", "row", "block", "whole", "words", F.explode(F.array(told)).alias("told"))
+        .select("doc_id", "row", "block", "whole", "words", "told.score", "told.family")
     )
     scored = scored.withColumn(
         "family", F.when(F.col("score") >= model.least_score, F.col("family")).otherwise(UNKNOWN)
@@ -285,13 +304,21 @@ def scan_paragraphs(
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: number of confirmed paragraphs, families, and
-    the highest score and agreement of those."""
+    the highest score and agreement of those. A block counts for a family if none
+    of its lines does."""
+    lines, wholes = F.count_if(~F.col("whole")), F.count_if("whole")
     hits = (
         scan_paragraphs(docs, model, id_col, text_col)
         .filter("confirmed")
+        .groupBy("row", "block", "family")
+        .agg(
+            F.when(lines > 0, lines).otherwise(wholes).alias("n"),
+            F.max("score").alias("score"),
+            F.max("agreement").alias("agreement"),
+        )
         .groupBy("row")
         .agg(
-            F.count("*").alias("n_license"),
+            F.sum("n").alias("n_license"),
             F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"),
             F.max("score").alias("score"),
             F.max("agreement").alias("agreement"),
