@@ -216,7 +216,7 @@ _BRACKETED = re.compile(
     rf"_(?:({_AT})|({_DOT}))_)[ \t]{{0,3}}",
     re.IGNORECASE,
 )
-# Last parts of host names that end a spoken address.
+# Last parts of host names that end a spoken address in any case.
 TOP_DOMAINS = (
     "com org net edu gov mil int info biz name io ai app dev co me tv eu uk us ca au nz ie de at ch "
     "fr be lu nl es pt it mx ar cl br se no dk fi pl cz ru in jp cn example test invalid"
@@ -230,6 +230,19 @@ _SPOKEN = re.compile(
     rf"{_NAME}[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}{_HOST}[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}{_TLD}",
     re.IGNORECASE,
 )
+# the same with any last label, where it is no plain prose: "at the dot of", "at
+# this point in" are left to the list above
+_SPOKEN_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{0,3}}"
+_LABEL = r"[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_PROSE = (
+    rf"(?:the|an?|this|that|each|every|one)[ \t]{{1,3}}(?:{_DOT})[ \t]|"
+    rf"[A-Za-z0-9-]{{1,63}}[ \t]{{1,3}}point[ \t]{{1,3}}{_LABEL}(?![ \t]{{1,3}}(?:{_DOT})[ \t])"
+)
+_SPOKEN_ANY = re.compile(
+    rf"{_NAME}[ \t]{{1,3}}(?:(?!at[ \t])(?:{_AT})[ \t]{{1,3}}|at[ \t]{{1,3}}(?!{_PROSE}))"
+    rf"{_SPOKEN_HOST}[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}{_LABEL}",
+    re.IGNORECASE,
+)
 _HALF_SPOKEN = re.compile(rf"{_NAME}[ \t]{{0,2}}@[ \t]{{0,2}}{_HOST}{_SPOKEN_DOT}{_TLD}", re.IGNORECASE)
 # name dot name@: the spoken dots before an address
 _SPOKEN_NAME = re.compile(
@@ -258,7 +271,7 @@ def disguised_signs(copy: Copy) -> Copy:
         return "@" if any(m.groups()[::2]) else "."
 
     copy = copy.rewrite([(*m.span(), sign(m)) for m in _BRACKETED.finditer(copy.text)])
-    for whole in (_SPOKEN, _HALF_SPOKEN, _SPACED):
+    for whole in (_SPOKEN_ANY, _SPOKEN, _HALF_SPOKEN, _SPACED):
         edits = []
         for run in whole.finditer(copy.text):
             edits += [
