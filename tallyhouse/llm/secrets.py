@@ -1,15 +1,17 @@
 """Secret scans: candidates by a pattern, false positives out by a random forest.
 
 A candidate is a run of at least 16 letters, digits or ``+ / _ -`` with a digit
-in it (and up to two ``=`` at its end). The forest looks at its length, its
+in it (and up to two ``=`` at its end), whatever of six characters or more is
+assigned to a name of a credential, or the password of a URL. The forest looks at its length, its
 character classes and their transitions, how much of it a dictionary covers,
 and at the path and the words beside it. It learns from labelled findings. The
 trees are laid out as SQL, so that a text is scanned and masked within its row:
 nothing is shuffled, whichever source or copy a text belongs to.
 
 What the driver holds is bounded: the sample of findings and the dictionary
-have sizes of their own. Null texts are empty ones; texts without candidates,
-and all texts if no findings could be learnt from, keep every character.
+have sizes of their own. If all labelled findings are of one class, so are all
+others. Null texts are empty ones; texts without candidates, and all texts if no
+findings could be learnt from, keep every character.
 """
 
 from __future__ import annotations
@@ -26,16 +28,33 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm.common import column, texts, written
 
-CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
-)
 #: Characters before and after a candidate that count as beside it.
 BESIDE = 80
 CREDENTIAL = r"token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
 ASSIGNED = r"[:=]\s*[\"'`]?$"
+#: Names end with the word, a digit, or a further part as in ``secret_key`` and
+#: ``accessToken1``; an author is no credential. Lookbehinds need bounds.
+_ASSIGNED_TO = (
+    rf"(?<=[:=\s\"'`])(?<=[:=][ \t]{{0,4}}[\"'`]?)"
+    rf"(?<=(?i:{CREDENTIAL})(?!(?i:ors?\b|ored\b|orship))(?:s|[A-Z0-9_\-][\w\-]{{0,15}})?[\"'`]?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"'`]?)"
+)
+#: The password of user:password@host.
+_URL_USER = r"://[^\s/:@\"'`]{0,256}:"
+CANDIDATE = (
+    # quoted values up to their quote, others up to a space, quote or next parameter
+    rf"{_ASSIGNED_TO}(?:(?<=\")[^\"\r\n]{{6,}}+(?=\")|(?<=')[^'\r\n]{{6,}}+(?=')|(?<=`)[^`\r\n]{{6,}}+(?=`)"
+    rf"|(?<![\"'`])(?:[^\s\"'`&]|&(?!\w{{1,32}}=)){{5,}}[^\s\"'`&,;])"
+    rf"|(?<=:)(?<={_URL_USER})[^\s/@\"'`]++(?=@)"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+)
 TRANSITION = (
     r"(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 )
+#: Values that stand for a secret to come, or are read from elsewhere.
+PLACEHOLDER = (
+    r"(?i)^(?:required|optional|undefined|string|boolean|example|changeme|hidden|redacted|invalid|missing|x{6,}|\*{6,}"
+    r"|<.*>|\$[({].*|\{\{.*|(?:[a-z_]\w*\.)+[a-z_]\w*[(\[].*)$"
+)
 MASK = "[SECRET]"
 
 
@@ -78,7 +97,8 @@ def features(value: Column, before: Column, after: Column, dictionary: list[str]
         "path_before": before.rlike(r"[/\\.:@#?&]$").cast("double"),
         "assigned": before.rlike(ASSIGNED).cast("double"),
         "quoted": before.rlike(r"[\"'`]$").cast("double"),
-        "credential": before.rlike(f"(?i)(?:{CREDENTIAL})").cast("double"),
+        # a URL's password is assigned to its user
+        "credential": before.rlike(f"(?i)(?:{CREDENTIAL})|{_URL_USER}$").cast("double"),
         "words_beside": F.size(F.array_intersect(_lower_runs(F.concat_ws(" ", before, after)), known)).cast(
             "double"
         ),
@@ -87,16 +107,21 @@ def features(value: Column, before: Column, after: Column, dictionary: list[str]
 
 def label(value: Column, before: Column) -> Column:
     """1 for a value assigned to a name of a credential, 0 for what is plainly a
-    number, a UUID, a part of a path, or text; null for findings nobody can tell."""
+    number, a UUID, a part of a path, a placeholder, or text; null for findings
+    nobody can tell. Passwords of URLs are 1."""
+    url = before.rlike(_URL_USER + "$")
     credential = before.rlike(rf"(?i)(?:{CREDENTIAL})[\w\-]{{0,16}}[\"'`]?\s*{ASSIGNED}")
     uuid = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+    placeholder = value.rlike(PLACEHOLDER)
     plain = (
-        value.rlike(r"^[0-9+/_\-]+$")
+        placeholder
+        | value.rlike(r"^[0-9+/_\-]+$")
         | value.rlike(uuid)
         | before.rlike(r"(?:://|/|\\)[^\s\"']*$")
         | (~before.rlike(ASSIGNED) & value.rlike("[A-Za-z]{8,}"))
     )
-    return F.when(credential & ~value.rlike(r"^[0-9]+$"), 1.0).when(plain, 0.0)
+    told = url | (credential & ~value.rlike(r"^[0-9]+$"))
+    return F.when(told & ~placeholder, 1.0).when(plain, 0.0)
 
 
 def with_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,7 +208,8 @@ def train(
     known = features(F.col("value"), F.col("before"), F.col("after"), list(dictionary))
     names = tuple(known)
     if len(sizes) < 2:
-        return Forest(names, (), dictionary, settings.least_score)
+        # one class is the verdict on all findings; none, without labels
+        return Forest(names, tuple(sizes), dictionary, settings.least_score)
     share = min(1.0, settings.findings / sum(sizes.values()))
     place = F.pmod(F.xxhash64("value", "before", "after"), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.filter(place < share).select(*[c.alias(n) for n, c in known.items()], "label")
