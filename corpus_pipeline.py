@@ -34,14 +34,15 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates ask; good ones once at least as a rule,
-    since they get more weight than they have."""
+    """Documents as often as their rates ask; those most likely good once at least,
+    and more than once where good ones are to get more weight than they have."""
     mix = mixing.mix(
         docs,
         table(spark, sf_dir, "labels"),
         mixing.label_domain(F.col("quality"), F.col("toxic")),
         mixing.TARGETS,
         carry=True,
+        whole="good",
     )
     return mixing.mixed_rows(mix)
 

@@ -180,17 +180,24 @@ def posteriors(
 
 
 def rate(
-    p: list[Column], residuals: list[list[float]], step: float, ridge: float, start: Column | None = None
+    p: list[Column],
+    residuals: list[list[float]],
+    step: float,
+    ridge: float,
+    start: Column | None = None,
+    least: Column | None = None,
 ) -> Column:
-    """The rate after the steps whose residuals are given, from ``start`` (1) on."""
+    """The rate after the steps whose residuals are given, from ``start`` (1) on,
+    and never below ``least`` (0)."""
     start = F.lit(1.0) if start is None else start
+    least = F.lit(0.0) if least is None else least
     if not residuals:
         return start
     history = F.array(*[F.array(*[F.lit(float(g)) for g in step_]) for step_ in residuals])
 
     def next_rate(r: Column, gradient: Column) -> Column:
         pull = sum((x * gradient[i] for i, x in enumerate(p)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r * (1 - step * ridge) - (pull - ridge) * step)
+        return F.greatest(least, r * (1 - step * ridge) - (pull - ridge) * step)
 
     return F.aggregate(history, start, next_rate)
 
@@ -214,10 +221,14 @@ def fit_rates(
     domains: tuple[str, ...] = DOMAINS,
     total: float = 1.0,
     settings: Settings = Settings(),
+    whole: str | None = None,
 ) -> Mix:
     """Rates for ``total`` times the corpus's tokens. ``chances`` should be a
     written table. Rates are written after every few steps, as a table of numbers
-    alone, so that a step replays few of those before it."""
+    alone, so that a step replays few of those before it.
+
+    Documents that most likely belong to the domain ``whole`` have a rate of 1 at
+    least; ``total`` then grows to what the domain needs for that."""
     p = [F.get("p", i) for i in range(len(domains))]
     tokens = F.col("n_tokens").cast("double")
     base = chances.agg(F.sum(tokens), *[F.sum(tokens * x) for x in p]).first()
@@ -226,7 +237,14 @@ def fit_rates(
         return Mix(chances.withColumn("rate", F.lit(1.0)), dict.fromkeys(domains, 0.0), 0, dict.fromkeys(domains, 0.0))
     mass = [b / all_tokens for b in base[1:]]
     wanted = [targets.get(d, 0.0) if m > 0 else 0.0 for d, m in zip(domains, mass)]
-    wanted = [total * w / (sum(wanted) or 1.0) for w in wanted]
+    wanted = [w / (sum(wanted) or 1.0) for w in wanted]
+    least = F.lit(0.0)
+    if whole is not None:
+        of = domains.index(whole)
+        if wanted[of] > 0:
+            total = max(total, mass[of] / wanted[of])
+        least = F.when(p[of] >= F.array_max("p"), 1.0).otherwise(0.0)
+    wanted = [total * w for w in wanted]
     step = 1.0 / (1.0 + settings.ridge)
     residuals: list[list[float]] = []
     shares = mass
@@ -236,15 +254,15 @@ def fit_rates(
         if max(abs(s - w) for s, w in zip(shares, wanted)) < settings.tolerance:
             break
         if len(residuals) - done == settings.replayed:
-            r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"))
+            r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"), least)
             at, done = written(at.select("p", "n_tokens", r.alias("rate")), "rates"), len(residuals)
         residuals.append(gradient)
-        r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"))
+        r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"), least)
         sums = at.select(F.col("p"), (tokens * r / all_tokens).alias("w")).agg(
             *[F.sum(F.col("w") * x) for x in p]
         )
         shares = list(sums.first())
-    r = rate(p, residuals, step, settings.ridge)
+    r = rate(p, residuals, step, settings.ridge, least=least)
     missed = {d: s - w for d, s, w in zip(domains, shares, wanted)}
     return Mix(chances.withColumn("rate", r), dict(zip(domains, shares)), len(residuals), missed)
 
@@ -260,9 +278,10 @@ def mix(
     text_col: str = "text",
     settings: Settings = Settings(),
     carry: bool = False,
+    whole: str | None = None,
 ) -> Mix:
     chances = posteriors(docs, labels, domain, domains, id_col, text_col, settings, carry)
-    return fit_rates(written(chances, "chances"), targets, domains, total, settings)
+    return fit_rates(written(chances, "chances"), targets, domains, total, settings, whole)
 
 
 def copies(rate_: Column, key: Column) -> Column:
