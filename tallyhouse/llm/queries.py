@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, fingerprint, langid, licenses, mixing, neardup, pii, quality, secrets, warc
+from tallyhouse.llm import bpe, fingerprint, langid, licenses, merkle, merkle_sql, mixing, neardup, pii
+from tallyhouse.llm import quality, secrets, warc, whitening
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,17 @@ def mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_merkle_manifest", merkle_sql.MANIFEST)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        changed=merkle.tampered(),
+        changes={"n_chars": F.col("n_chars") + 1},
+    )
