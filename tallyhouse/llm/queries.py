@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import bpe, fingerprint, langid, licenses, merkle, merkle_sql, mixing, neardup, pii
-from tallyhouse.llm import quality, secrets, warc, whitening
+from tallyhouse.llm import quality, secrets, substrings, warc, whitening
 from tallyhouse.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,23 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         changed=merkle.tampered(),
         changes={"n_chars": F.col("n_chars") + 1},
     )
+
+
+@query(
+    "op13_substring_dedup",
+    r"""WITH words AS (SELECT row_number() OVER () AS r, doc_id,
+          coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        windows AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS window
+          FROM words, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p)),
+        firsts AS (SELECT window, min(doc_id) AS first FROM windows GROUP BY window),
+        hits AS (SELECT r, p FROM windows JOIN firsts USING (window) WHERE doc_id > first),
+        gone AS (SELECT r, list(DISTINCT p + i) AS at
+          FROM hits, LATERAL (SELECT unnest(range(50)) AS i) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
+          sha256(CASE WHEN at IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+            list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(at, i)),
+              lambda i: w[i]), ' ') END) AS kept_sha256
+        FROM words LEFT JOIN gone USING (r)""",
+)
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"))
