@@ -145,15 +145,15 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op13_substring_dedup",
     r"""WITH words AS (SELECT row_number() OVER () AS r, doc_id,
           coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-        windows AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS window
+        windows AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS passage
           FROM words, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS p)),
-        firsts AS (SELECT window, min(doc_id) AS first FROM windows GROUP BY window),
-        hits AS (SELECT r, p FROM windows JOIN firsts USING (window) WHERE doc_id > first),
-        gone AS (SELECT r, list(DISTINCT p + i) AS at
+        firsts AS (SELECT passage, min(doc_id) AS first FROM windows GROUP BY passage),
+        hits AS (SELECT r, p FROM windows JOIN firsts USING (passage) WHERE doc_id > first),
+        gone AS (SELECT r, list(DISTINCT p + i) AS cut
           FROM hits, LATERAL (SELECT unnest(range(50)) AS i) GROUP BY r)
-        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(at), 0)::BIGINT AS n_removed,
-          sha256(CASE WHEN at IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
-            list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(at, i)),
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(cut), 0)::BIGINT AS n_removed,
+          sha256(CASE WHEN cut IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(
+            list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(cut, i)),
               lambda i: w[i]), ' ') END) AS kept_sha256
         FROM words LEFT JOIN gone USING (r)""",
 )
