@@ -1,24 +1,24 @@
 """Vector operators: embedding, upsert, delete and cosine search.
 
-Vectors are tables with an id and an array column. Scores are rounded to nine
+Vectors are tables with an id of any type and an array column. Scores are rounded to nine
 places, so that ties do not depend on the order of a floating-point sum; equal
 scores are ordered by id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tallyhouse.session import run_folder
-
-# A slice of query vectors or contexts is held by every task at once.
+# A slice of contexts is held by every task at once.
 MAX_SLICE = 1024
 DIMENSIONS = 384
 
@@ -70,9 +70,75 @@ def hash_embedding(dimensions: int = DIMENSIONS):
     return embed
 
 
-def embed_texts(df: DataFrame, text: str, dimensions: int = DIMENSIONS, column: str = "embedding") -> DataFrame:
-    """Add the embedding of a text column; an empty text has none."""
-    return df.withColumn(column, hash_embedding(dimensions)(F.col(text)))
+#: Loads a model: from then on, a list of texts gives a matrix with a row for each.
+EmbeddingLoader = Callable[[], Callable[[list[str]], np.ndarray]]
+
+EMPTY_TEXT = "text cannot be empty"
+
+
+def model_embedding(load: EmbeddingLoader):
+    """Embedding by a user's own model, as a vectorised function to ``embedding`` and
+    ``error``.
+
+    ``load`` is called once in each worker that has texts. Texts go to the model by
+    batches; if a batch fails, its texts are tried one by one, and the message of a
+    text's own failure becomes its error. An empty or null text is an error.
+    """
+
+    @F.pandas_udf("embedding array<double>, error string")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = None
+        for texts in batches:
+            vectors: list = [None] * len(texts)
+            errors: list = [EMPTY_TEXT] * len(texts)
+            filled = [i for i, t in enumerate(texts) if t]
+            if filled and model is None:
+                model = load()
+
+            def put(rows: list[int]) -> None:
+                found = np.asarray(model([texts.iat[i] for i in rows]), dtype=np.float64)
+                if found.ndim != 2 or len(found) != len(rows):
+                    raise ValueError(f"{len(rows)} texts gave embeddings of shape {found.shape}")
+                for i, v in zip(rows, found):
+                    vectors[i], errors[i] = v, None
+
+            try:
+                if filled:
+                    put(filled)
+            except Exception:
+                for i in filled:
+                    try:
+                        put([i])
+                    except Exception as error:  # of this text alone
+                        vectors[i], errors[i] = None, str(error) or type(error).__name__
+            yield pd.DataFrame(
+                {"embedding": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)}
+            )
+
+    return embed
+
+
+def embed_texts(
+    df: DataFrame,
+    text: str,
+    dimensions: int = DIMENSIONS,
+    column: str = "embedding",
+    embedding: EmbeddingLoader | None = None,
+    error: str | None = None,
+) -> DataFrame:
+    """Add the embedding of a text column; an empty text has none.
+
+    Without ``embedding``, the loader of a model, texts are embedded by their hash.
+    ``error`` names a column that says why a row has no embedding.
+    """
+    if embedding is None:
+        out = df.withColumn(column, hash_embedding(dimensions)(F.col(text)))
+        return out.withColumn(error, F.when(F.col(column).isNull(), EMPTY_TEXT)) if error else out
+    both = df.withColumn("_embedded", model_embedding(embedding)(F.col(text)))
+    made = {column: F.col("_embedded.embedding")}
+    if error:
+        made[error] = F.col("_embedded.error")
+    return both.withColumns(made).drop("_embedded")
 
 
 def upsert(stored: DataFrame, new: DataFrame, id: str, version: str) -> DataFrame:
@@ -137,76 +203,232 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
+# Query vectors a task holds at once, and scores it computes at once.
+CELL_QUERIES = 1024
+CELL_SCORES = 1 << 20
+# Up to so many queries are sent to every task.
+BROADCAST_QUERIES = 2048
+
+
 def top_k(
-    vectors: DataFrame, queries: DataFrame, k: int, id: str, vector: str, query_id: str, query_vector: str
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int,
+    id: str,
+    vector: str,
+    query_id: str,
+    query_vector: str,
+    collection: str | None = None,
+    payload: Sequence[str] = (),
+    broadcast_queries: int = BROADCAST_QUERIES,
 ) -> DataFrame:
-    """The ``k`` most similar vectors for each query vector.
-
-    Each slice of queries is broadcast as one matrix and multiplied with Arrow
-    batches of vectors. A task keeps only its best ``k`` per query, so tasks x
-    queries x k rows are shuffled for the final ranking, never pairs. More
-    queries than a slice holds are searched slice by slice, each written to
-    the shared folder before the next is read, so neither the driver nor the
-    plan grows with the number of queries.
+    """The ``k`` most similar vectors for each query vector: query_id, id, score and
+    rank; the ``collection`` if one is named, and ``payload``, the named columns of the
+    vector that was found.
+
+    With ``collection``, a column of both tables, queries search the vectors of their
+    own collection. Ids are of any type that has an order. Vectors and queries without
+    id, components or collection, and those with a component that is no finite number,
+    are left out; a vector of zeros has the score 0. Queries of one id (and collection)
+    share their ``k``.
+
+    Few queries go to every task that scans vectors, which are then not shuffled. More
+    queries are laid out in a grid: rows of vectors by columns of queries, each cell a
+    group of at most about ``CELL_QUERIES`` queries and a share of the vectors. Both
+    ways multiply in blocks and keep the best ``k`` of a query per task, so tasks x
+    queries x k rows are ranked, never pairs. Either way it is one job, however many
+    queries there are.
     """
     spark = vectors.sparkSession
-    table = vectors.filter(F.col(vector).isNotNull()).select(
-        F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")
+    place = F.col(_name(collection)).cast("string") if collection else F.lit("")
+    extra = F.struct(*[F.col(_name(c)) for c in payload]) if payload else F.lit(None).cast("string")
+    table = _usable(
+        vectors.select(
+            place.alias("collection"),
+            F.col(_name(id)).alias("id"),
+            F.col(_name(vector)).cast("array<double>").alias("v"),
+            extra.alias("payload"),
+        ),
+        "id",
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-
-    def search(ids: list, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((ids, matrix))
-        found = table.mapInArrow(_best_in_task(shared, k), "query_id long, id long, score double")
-        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-    slices = _slices(queries, query_id, query_vector)
-    first, second = next(slices, None), next(slices, None)
-    if first is None:
-        raise ValueError("there are no query vectors")
-    if second is None:
-        return search(*first)
-    folder = run_folder(spark, "top-k")
-    for number, part in enumerate(chain([first, second], slices)):
-        search(*part).write.mode("overwrite").parquet(f"{folder}/slice={number}")
-    return spark.read.parquet(folder).drop("slice")
-
-
-def _best_in_task(shared, k: int):
+    asked = _usable(
+        queries.select(
+            place.alias("collection"),
+            F.col(_name(query_id)).alias("query_id"),
+            F.col(_name(query_vector)).cast("array<double>").alias("v"),
+        ),
+        "query_id",
+    )
+    schema = T.StructType(
+        [
+            T.StructField("collection", T.StringType()),
+            asked.schema["query_id"],
+            table.schema["id"],
+            T.StructField("score", T.DoubleType()),
+            table.schema["payload"],
+        ]
+    )
+    few = asked.limit(broadcast_queries + 1).collect()
+    if len(few) <= broadcast_queries:
+        shared = spark.sparkContext.broadcast(_by_collection(few))
+        found = table.mapInArrow(_search_shared(shared, k, schema), schema)
+    else:
+        columns = -(-asked.count() // CELL_QUERIES)
+        rows = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // columns)
+        found = _cells(table, asked, rows, columns).mapInArrow(_search_cells(k, schema), schema)
+    best = Window.partitionBy("collection", "query_id").orderBy(F.desc("score"), F.asc("id"))
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    unused = [c for c, used in (("collection", collection), ("payload", payload)) if not used]
+    return ranked.drop(*unused)
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _usable(df: DataFrame, id: str) -> DataFrame:
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    return df.filter(F.col(id).isNotNull() & F.col("collection").isNotNull() & finite & (F.size("v") > 0))
+
+
+def _cells(table: DataFrame, asked: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Queries and vectors of every cell of the grid, queries first."""
+
+    def share(name: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    nothing = F.lit(None)
+    of_queries = asked.select(
+        "collection",
+        every(rows).alias("row"),
+        share("query_id", columns).alias("column"),
+        "query_id",
+        nothing.cast(table.schema["id"].dataType).alias("id"),
+        "v",
+        nothing.cast(table.schema["payload"].dataType).alias("payload"),
+    )
+    of_vectors = table.select(
+        "collection",
+        share("id", rows).alias("row"),
+        every(columns).alias("column"),
+        nothing.cast(asked.schema["query_id"].dataType).alias("query_id"),
+        "id",
+        "v",
+        "payload",
+    )
+    keys = ["collection", "row", "column"]
+    dealt = of_queries.unionByName(of_vectors).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, F.col("query_id").isNull())
+
+
+def _by_collection(rows: list) -> dict[str, tuple[list, np.ndarray]]:
+    grouped: dict[str, tuple[list, list]] = {}
+    for name, query, v in rows:
+        ids, of_ids = grouped.setdefault(name, ([], []))
+        ids.append(query)
+        of_ids.append(v)
+    return {name: (ids, _unit(np.array(v, dtype=np.float64))) for name, (ids, v) in grouped.items()}
+
+
+class _Best:
+    """The best ``k`` vectors so far for each query of a cell."""
+
+    def __init__(self, queries: list, matrix: np.ndarray, k: int) -> None:
+        self.queries, self.matrix, self.k = queries, matrix, k
+        self.query, self.score = np.empty(0, dtype=np.int64), np.empty(0)
+        self.ids = self.payload = None
+        self.least = np.full(len(queries), -np.inf)
+
+    def add(self, ids: pa.Array, vectors: pa.Array, payload: pa.Array) -> None:
+        dimensions = self.matrix.shape[1]
+        if (vectors.value_lengths().to_numpy(zero_copy_only=False) != dimensions).any():
+            raise ValueError(f"vectors need {dimensions} components")
+        data = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions))
+        step = max(1, CELL_SCORES // len(self.queries))
+        for start in range(0, len(data), step):
+            scores = np.round(self.matrix @ data[start : start + step].T, 9)
+            if scores.shape[1] > self.k:
+                limit = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            else:
+                limit = np.full(len(scores), -np.inf)
+            query, row = np.nonzero(scores >= np.maximum(limit, self.least)[:, None])
+            at = pa.array(start + row)
+            self._merge(query, scores[query, row], ids.take(at), payload.take(at))
+
+    def _merge(self, query: np.ndarray, score: np.ndarray, ids: pa.Array, payload: pa.Array) -> None:
+        query, score = np.append(self.query, query), np.append(self.score, score)
+        if self.ids is not None:
+            ids, payload = pa.concat_arrays([self.ids, ids]), pa.concat_arrays([self.payload, payload])
+        order = np.lexsort((pc.rank(ids, tiebreaker="dense").to_numpy(), -score, query))
+        sorted_query = query[order]
+        place = np.arange(len(order)) - np.searchsorted(sorted_query, sorted_query)
+        order = order[place < self.k]
+        self.query, self.score = query[order], score[order]
+        self.ids, self.payload = ids.take(pa.array(order)), payload.take(pa.array(order))
+        last = np.append(self.query[1:] != self.query[:-1], True)[: len(order)]
+        full = last & (place[place < self.k] == self.k - 1)
+        self.least[self.query[full]] = self.score[full]
+
+    def rows(self, collection: str, query_type: pa.DataType) -> pa.RecordBatch | None:
+        if self.ids is None or not len(self.ids):
+            return None
+        queries = pa.array(self.queries, query_type).take(pa.array(self.query))
+        names = pa.array([collection] * len(self.query), pa.string())
+        return pa.RecordBatch.from_arrays(
+            [names, queries, self.ids, pa.array(self.score), self.payload],
+            names=["collection", "query_id", "id", "score", "payload"],
+        )
+
+
+def _search_shared(shared, k: int, schema: T.StructType):
+    query_type = to_arrow_type(schema["query_id"].dataType)
+
     def search(batches):
-        ids, matrix = shared.value
-        n_queries, dimensions = matrix.shape
-        best_scores = [np.empty(0) for _ in range(n_queries)]
-        best_ids = [np.empty(0, dtype=np.int64) for _ in range(n_queries)]
+        bests = {name: _Best(*asked, k) for name, asked in shared.value.items()}
         for batch in batches:
-            column = batch.column(1)
-            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-            rows = column.flatten().to_numpy(zero_copy_only=False)
-            if (sizes != dimensions).any():
-                raise ValueError(f"vectors need {dimensions} components")
-            data = rows.reshape(len(sizes), dimensions)
-            norms = np.linalg.norm(data, axis=1, keepdims=True)
-            data = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
-            scores = np.round(data @ matrix.T, 9)
-            vector_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for q in range(n_queries):
-                s = np.concatenate([best_scores[q], scores[:, q]])
-                i = np.concatenate([best_ids[q], vector_ids])
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = s >= least
-                    s, i = s[keep], i[keep]
-                order = np.lexsort((i, -s))[:k]
-                best_scores[q], best_ids[q] = s[order], i[order]
-        lengths = [len(s) for s in best_scores]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.array(ids, dtype=np.int64), lengths)),
-                pa.array(np.concatenate(best_ids)),
-                pa.array(np.concatenate(best_scores)),
-            ],
-            names=["query_id", "id", "score"],
-        )
+            names = batch.column(0)
+            for name in names.unique().to_pylist():
+                if name in bests:
+                    of_name = batch.filter(pc.equal(names, name))
+                    bests[name].add(of_name.column(1), of_name.column(2), of_name.column(3))
+        for name, best in bests.items():
+            if (rows := best.rows(name, query_type)) is not None:
+                yield rows
+
+    return search
+
+
+def _search_cells(k: int, schema: T.StructType):
+    query_type = to_arrow_type(schema["query_id"].dataType)
+
+    def search(batches):
+        cell, asked, best = None, [], None
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            is_query = batch.column(3).is_valid().to_pylist()
+            start = 0
+            while start < len(keys):
+                end = start + 1
+                while end < len(keys) and keys[end] == keys[start] and is_query[end] == is_query[start]:
+                    end += 1
+                if keys[start] != cell:
+                    if best is not None and (rows := best.rows(cell[0], query_type)) is not None:
+                        yield rows
+                    cell, asked, best = keys[start], [], None
+                part = batch.slice(start, end - start)
+                if is_query[start]:
+                    asked += zip(part.column(3).to_pylist(), part.column(5).to_pylist())
+                elif asked:
+                    if best is None:
+                        ids, v = zip(*asked)
+                        best = _Best(list(ids), _unit(np.array(v, dtype=np.float64)), k)
+                    best.add(part.column(4), part.column(5), part.column(6))
+                start = end
+        if best is not None and (rows := best.rows(cell[0], query_type)) is not None:
+            yield rows
 
     return search
 
@@ -217,41 +439,43 @@ def nearest_contexts(
     """Add ``hits``: the ``k`` contexts most similar to each row's vector.
 
     Contexts are few (one per domain). They are broadcast in slices of bounded
-    size and each row keeps its best ``k`` so far, so rows are never shuffled.
-    Rows without a vector have no hits.
+    size; of each slice a row gets its best ``k`` alone, so rows are never shuffled
+    and other scores never leave the worker. Rows without a vector have no hits.
     """
     spark_context = df.sparkSession.sparkContext
     kind = f"array<struct<score:double,{context_id}:string>>"
     ranked = df.withColumn("hits", F.array().cast(kind))
 
-    def score_with(shared):
-        @F.arrow_udf("array<double>")
-        def scores(vectors: pa.Array) -> pa.Array:
-            matrix = shared.value
+    def best_of(shared):
+        @F.arrow_udf("array<struct<score:double,name:string>>")
+        def best(vectors: pa.Array) -> pa.Array:
+            names, matrix = shared.value
             known = vectors.is_valid().to_numpy(zero_copy_only=False)
             rows = vectors.drop_null()
             data = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            data = data.reshape(len(rows), matrix.shape[1])
-            norms = np.linalg.norm(data, axis=1, keepdims=True)
-            data = np.divide(data, norms, out=np.zeros_like(data), where=norms > 0)
-            result = np.round(data @ matrix.T, 9)
-            offsets = np.append(0, np.cumsum(np.where(known, matrix.shape[0], 0))).astype(np.int32)
-            return pa.ListArray.from_arrays(
-                pa.array(offsets), pa.array(result.ravel()), mask=pa.array(~known)
+            scores = np.round(_unit(data.reshape(len(rows), matrix.shape[1])) @ matrix.T, 9)
+            # names ascend, so equal scores stay in their order
+            first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            offsets = np.append(0, np.cumsum(np.where(known, first.shape[1], 0))).astype(np.int32)
+            pairs = pa.StructArray.from_arrays(
+                [
+                    pa.array(np.take_along_axis(scores, first, axis=1).ravel()),
+                    pa.array(names).take(pa.array(first.ravel())),
+                ],
+                names=["score", "name"],
             )
+            return pa.ListArray.from_arrays(pa.array(offsets), pairs, mask=pa.array(~known))
 
-        return scores
+        return best
 
     for ids, matrix in _slices(contexts, context_id, context_vector):
-        names = F.array(*[F.lit(str(i)) for i in ids])
-        scores = score_with(spark_context.broadcast(matrix))(F.col(vector))
-        pairs = F.transform(
-            F.arrays_zip(scores.alias("s"), names.alias("n")),
-            lambda p: F.struct(p["s"].alias("score"), p["n"].alias(context_id)),
-        ).cast(kind)
+        names = np.array([str(i) for i in ids], dtype=object)
+        order = np.argsort(names, kind="stable")
+        shared = spark_context.broadcast((names[order].tolist(), matrix[order]))
+        found = F.coalesce(best_of(shared)(F.col(vector)), F.array()).cast(kind)
         # hits of one score stay in the order of the context names
         both = F.array_sort(
-            F.concat("hits", F.coalesce(pairs, F.array().cast(kind))),
+            F.concat("hits", found),
             lambda a, b: F.when(a["score"] > b["score"], -1)
             .when(a["score"] < b["score"], 1)
             .when(a[context_id] < b[context_id], -1)

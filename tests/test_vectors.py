@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.operators import contexts, vectors
 
@@ -48,20 +49,106 @@ def brute(data, queries, k):
     }
 
 
-@pytest.mark.parametrize("slice_size", [2, 1024])
-def test_top_k_with_ties_and_slices(spark, monkeypatch, slice_size):
-    monkeypatch.setattr(vectors, "MAX_SLICE", slice_size)
+@pytest.mark.parametrize("few", [0, 1024])
+@pytest.mark.parametrize("cell", [(2, 16), (1024, 1 << 20)])
+def test_top_k_with_ties_and_cells(spark, monkeypatch, few, cell):
+    monkeypatch.setattr(vectors, "CELL_QUERIES", cell[0])
+    monkeypatch.setattr(vectors, "CELL_SCORES", cell[1])
     data, asked = random_vectors(1, 200), random_vectors(2, 5)
     data[10:40] = data[9]  # copies
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, v array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q long, v array<double>")
-    found = vectors.top_k(table.repartition(5), queries, 7, "id", "v", "q", "v").collect()
+    found = vectors.top_k(
+        table.repartition(5), queries, 7, "id", "v", "q", "v", broadcast_queries=few
+    ).collect()
     got = {}
     for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.id)
     assert got == brute(data, asked, 7)
 
 
+@pytest.mark.parametrize("few", [0, 1024])
+def test_top_k_in_collections_with_text_ids_and_payload(spark, few):
+    data, asked = random_vectors(5, 90), random_vectors(6, 8)
+    names = ["a", "b", "c"]
+    rows = [(f"v{i:02}", names[i % 3], v.tolist(), f"text {i}") for i, v in enumerate(data)]
+    rows += [
+        ("bad1", "a", None, "x"),
+        ("bad2", "a", [], "x"),
+        ("bad3", "a", [1.0, None], "x"),
+        ("bad4", "a", [float("nan")] * 8, "x"),
+        (None, "a", [1.0] * 8, "x"),
+        ("bad5", None, [1.0] * 8, "x"),
+    ]
+    table = spark.createDataFrame(rows, "id string, place string, v array<double>, query_id string")
+    wanted = [(f"q{i}", names[i % 2], v.tolist()) for i, v in enumerate(asked)]
+    wanted += [("lost", "nowhere", asked[0].tolist()), ("none", "a", None)]
+    queries = spark.createDataFrame(wanted, "q string, place string, v array<double>")
+    found = vectors.top_k(
+        table.repartition(4),
+        queries.repartition(3),
+        4,
+        "id",
+        "v",
+        "q",
+        "v",
+        collection="place",
+        payload=["query_id", "place"],
+        broadcast_queries=few,
+    ).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        assert r.payload.query_id == f"text {int(r.id[1:])}" and r.payload.place == r.collection
+        got.setdefault(r.query_id, []).append(r.id)
+    for i in range(8):
+        own = [j for j in range(90) if j % 3 == i % 2]
+        best = brute(data[own], asked[i : i + 1], 4)[0]
+        assert got.pop(f"q{i}") == [f"v{own[j]:02}" for j in best]
+    assert got == {}
+
+
+def test_top_k_without_queries_or_vectors(spark):
+    table = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
+    nothing = table.limit(0)
+    assert vectors.top_k(table, nothing, 3, "id", "v", "id", "v").count() == 0
+    assert vectors.top_k(nothing, table, 3, "id", "v", "id", "v", broadcast_queries=0).count() == 0
+
+
+def test_many_queries_shuffle_no_pairs(spark):
+    """Rows that leave the search are at most rows of the grid x queries x k."""
+    table = spark.range(4000).select("id", F.array(F.sin("id"), F.cos("id")).alias("v")).repartition(7)
+    found = vectors.top_k(table, table, 2, "id", "v", "id", "v")
+    assert found.count() == 8000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_own_embedding(spark):
+    def loaded_lengths():
+        """A model of one's own: counts of letters, and no embedding of the word bad."""
+
+        def model(texts):
+            if "bad" in texts:
+                raise ValueError("bad text")
+            return np.array([[len(t), t.count("a")] for t in texts], dtype=float)
+
+        return model
+
+    texts = ["a", "banana", "", None, "bad", "x" * 9]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").coalesce(1)
+    embedded = vectors.embed_texts(df, "text", embedding=loaded_lengths, error="problem").orderBy("id")
+    assert [(r.embedding, r.problem) for r in embedded.collect()] == [
+        ([1.0, 1.0], None),
+        ([6.0, 3.0], None),
+        (None, vectors.EMPTY_TEXT),
+        (None, vectors.EMPTY_TEXT),
+        (None, "bad text"),
+        ([9.0, 0.0], None),
+    ]
+    hashed = vectors.embed_texts(df, "text", 4, error="problem").orderBy("id").collect()
+    assert [r.problem is None for r in hashed] == [True, True, False, False, True, True]
+
+
 @pytest.mark.parametrize("slice_size", [2, 1024])
 def test_nearest_contexts(spark, monkeypatch, slice_size):
     monkeypatch.setattr(vectors, "MAX_SLICE", slice_size)

@@ -49,6 +49,31 @@ def vector_topk(wh):
     return plain(found.withColumn("score", F.round("score", 6)))
 
 
+@query(
+    "vector_search",
+    """WITH t AS (SELECT 'v' || vec_id AS id, CASE WHEN label % 2 = 0 THEN 'even' ELSE 'odd' END AS collection,
+            'domain_' || label AS domain, embedding::DOUBLE[] AS e FROM embeddings),
+       s AS (SELECT collection, q.id AS query_id, v.id, v.domain, round(list_cosine_similarity(q.e, v.e), 9) AS score
+             FROM t q JOIN t v USING (collection)),
+       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+       SELECT collection, query_id, id, domain, round(score, 6) AS score, rank FROM r WHERE rank <= 3""",
+)
+def vector_search(wh):
+    """The three nearest of every vector in its collection, itself among them."""
+    stored = wh.table("embeddings").select(
+        F.concat(F.lit("v"), "vec_id").alias("id"),
+        F.when(F.col("label") % 2 == 0, "even").otherwise("odd").alias("collection"),
+        F.concat(F.lit("domain_"), "label").alias("domain"),
+        "embedding",
+    )
+    found = vectors.top_k(
+        stored, stored, 3, "id", "embedding", "id", "embedding", collection="collection", payload=["domain"]
+    )
+    return plain(
+        found.select("collection", "query_id", "id", "payload.domain", F.round("score", 6).alias("score"), "rank")
+    )
+
+
 @query(
     "domain_vector",
     f"""WITH {CENTROIDS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label::VARCHAR) AS n
