@@ -23,8 +23,8 @@ windows of one anchor are a piece. Then
    through them (``matched``). All automata together have no bound, so this is a join;
 6. matches go back to all documents with those pieces.
 
-Hashes have 64 bits and choose what is compared. What is removed, the automata decide on
-the words' own hashes.
+Hashes have 64 bits and only choose what is compared. What is removed, the automata
+decide on the words themselves.
 
 - A null text has no words. A text of fewer words than a window keeps all.
 - Windows of a document with a null id are neither removed nor a reason to remove.
@@ -102,7 +102,7 @@ class Hashes:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         runs = (self.sums[ends] - self.sums[starts]) * self.up[starts]
-        return mixed(runs + (ends - starts).astype(np.uint64))
+        return mixed(runs + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
 def least_in_runs(values: np.ndarray, n: int) -> np.ndarray:
@@ -115,14 +115,23 @@ def least_in_runs(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(values[:-rest], values[rest:]) if rest else values
 
 
-def cut(hashes: Hashes, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors, starts and numbers of windows of the pieces of a document."""
+def cut(hashes: Hashes, settings: Settings) -> tuple[np.ndarray, ...]:
+    """Anchors, hashes of the words, starts and numbers of windows of a document's pieces."""
     n = len(hashes.words)
     starts = np.arange(n - settings.gram + 1)
     grams = hashes.of(starts, starts + settings.gram)
     anchors = least_in_runs(grams, settings.window - settings.gram + 1)
     first = np.append(0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1)
-    return anchors[first], first, np.diff(np.append(first, len(anchors)))
+    windows = np.diff(np.append(first, len(anchors)))
+    return anchors[first], hashes.of(first, first + windows + settings.window - 1), first, windows
+
+
+def found_at(parts: tuple[np.ndarray, ...]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Starts and numbers of windows of a document's pieces, by anchor and words."""
+    places: dict = {}
+    for anchor, body, start, n in zip(*[p.tolist() for p in parts]):
+        places.setdefault((anchor, body), []).append((start, n))
+    return places
 
 
 def split_texts(texts: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -153,7 +162,8 @@ class Automaton:
     """Of several word sequences; each state knows the smallest document it occurs in."""
 
     def __init__(self) -> None:
-        self.follow: list[dict] = [{}]
+        self.place: dict[bytes, int] = {}
+        self.follow: list[dict[int, int]] = [{}]
         self.link, self.length, self.least = [-1], [0], [None]
         self.words = 0
 
@@ -169,10 +179,10 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def add(self, words: Sequence[int], document) -> None:
-        follow, link, length, least = self.follow, self.link, self.length, self.least
+    def add(self, words: Sequence[bytes], document) -> None:
+        follow, link, length, least, place = self.follow, self.link, self.length, self.least, self.place
         last = 0
-        for word in words:
+        for word in (place.setdefault(w, len(place)) for w in words):
             q, target = follow[last].get(word), length[last] + 1
             if q is None:
                 new = len(length)
@@ -205,12 +215,11 @@ class Automaton:
             if parent and (least[parent] is None or least[state] < least[parent]):
                 least[parent] = least[state]
         sizes = [len(f) for f in self.follow]
-        codes = np.fromiter((w for f in self.follow for w in f), dtype=np.int64, count=sum(sizes))
-        targets = np.fromiter((t for f in self.follow for t in f.values()), dtype=np.int32, count=len(codes))
-        words, place = np.unique(codes, return_inverse=True)
-        keys = np.repeat(np.arange(len(sizes)), sizes) * len(words) + place
-        arrays = (words, keys, targets, np.array(link, np.int32), np.array(self.length, np.int32))
-        return pickle.dumps((*arrays, least), protocol=5)
+        words = np.fromiter((w for f in self.follow for w in f), dtype=np.int64, count=sum(sizes))
+        targets = np.fromiter((t for f in self.follow for t in f.values()), dtype=np.int32, count=len(words))
+        keys = np.repeat(np.arange(len(sizes)), sizes) * len(self.place) + words
+        arrays = (keys, targets, np.array(link, np.int32), np.array(self.length, np.int32))
+        return pickle.dumps((list(self.place), *arrays, least), protocol=5)
 
 
 class Matcher:
@@ -218,33 +227,36 @@ class Matcher:
 
     def __init__(self, packed: bytes, window: int) -> None:
         words, keys, targets, link, length, self.least = pickle.loads(packed)
-        self.words, self.window = words, window
+        self.place, self.window = {w: i for i, w in enumerate(words)}, window
         self.edges = dict(zip(keys.tolist(), targets.tolist()))
         self.link, self.length = link.tolist(), length.tolist()
 
-    def smallest(self, words: np.ndarray) -> list:
+    def smallest(self, words: Sequence[bytes]) -> list:
         """For every window its smallest document in the automaton, or None.
 
         ``size`` is the length of the longest match that ends at a word (as far as a
         window's), ``state`` the state of that match.
         """
-        place = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[place] == words
-        edges, link, length, n, window = self.edges, self.link, self.length, len(self.words), self.window
+        edges, link, length, least = self.edges.get, self.link, self.length, self.least
+        n, window = len(self.place), self.window
         found, state, size = [], 0, 0
-        for word, in_words in zip(place.tolist(), known.tolist()):
-            target = edges.get(state * n + word) if in_words else None
+        for place in map(self.place.get, words):
+            if place is None:
+                state = size = 0
+                found.append(None)
+                continue
+            target = edges(state * n + place)
             while target is None and state:
-                state = link[state] if in_words else 0
+                state = link[state]
                 size = length[state]
-                target = edges.get(state * n + word) if in_words else None
+                target = edges(state * n + place)
             if target is not None:
                 state, size = target, size + 1
             if size >= window:
                 size = window
                 while length[link[state]] >= window:
                     state = link[state]
-                found.append(self.least[state])
+                found.append(least[state])
             else:
                 found.append(None)
         return found[window - 1 :]
@@ -254,8 +266,8 @@ class Matcher:
 
 
 def pieces(docs: DataFrame, settings: Settings) -> DataFrame:
-    """Pieces of all documents: id, digest of the text, anchor, hash of the piece's words
-    (``body``), start and number of windows."""
+    """Pieces of all documents: id and digest of the text, anchor, and hash of the
+    piece's words (``body``)."""
 
     def find(batches):
         powers = Powers()
@@ -264,50 +276,41 @@ def pieces(docs: DataFrame, settings: Settings) -> DataFrame:
                 found = []
                 for i, codes in enumerate(coded(words)):
                     if len(codes) >= settings.window:
-                        hashes = Hashes(codes, powers)
-                        anchors, starts, windows = cut(hashes, settings)
-                        bodies = hashes.of(starts, starts + windows + settings.window - 1)
-                        rows = np.full(len(starts), first + i)
-                        found.append((rows, anchors, bodies, starts, windows))
+                        anchors, bodies, _, _ = cut(Hashes(codes, powers), settings)
+                        found.append((np.full(len(anchors), first + i), anchors, bodies))
                 if found:
-                    rows, anchors, bodies, starts, windows = map(np.concatenate, zip(*found))
+                    rows, anchors, bodies = map(np.concatenate, zip(*found))
                     rows = pa.array(rows)
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(rows),
-                            batch.column(1).take(rows),
-                            pa.array(anchors.view(np.int64)),
-                            pa.array(bodies.view(np.int64)),
-                            pa.array(starts.astype(np.int32)),
-                            pa.array(windows.astype(np.int32)),
-                        ],
-                        names=["doc_id", "digest", "anchor", "body", "start", "windows"],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(anchors), pa.array(bodies)],
+                        names=["doc_id", "digest", "anchor", "body"],
                     )
 
     schema = T.StructType([docs.schema["doc_id"], docs.schema["digest"]])
-    schema = schema.add("anchor", "long").add("body", "long").add("start", "integer").add("windows", "integer")
+    schema = schema.add("anchor", "long").add("body", "long")
     known = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "digest", "text")
     return written(known.mapInArrow(find, schema), "pieces")
 
 
-def worded(docs: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct pieces whose anchor is in two documents: their first and last document,
-    their words and, if pieces of the anchor differ, the hashes of their windows."""
-    distinct = written(
-        parts.groupBy("anchor", "body").agg(
-            F.min(F.struct("doc_id", "digest", "start", "windows")).alias("first"),
-            F.max("doc_id").alias("last"),
-        ),
-        "distinct-pieces",
-    )
-    shared = distinct.groupBy("anchor").agg(
-        F.min("first.doc_id").alias("_least"), F.max("last").alias("_most"), (F.count("*") > 1).alias("several")
+def candidates(parts: DataFrame) -> DataFrame:
+    """Pieces whose anchor is in two documents; ``several``, if pieces of it differ."""
+    shared = parts.groupBy("anchor").agg(
+        F.min("doc_id").alias("_least"),
+        F.max("doc_id").alias("_most"),
+        (F.min("body") != F.max("body")).alias("several"),
     )
     shared = shared.filter("_least < _most").select("anchor", "several")
-    wanted = (
-        distinct.join(shared, "anchor")
-        .groupBy("first.doc_id", "first.digest")
-        .agg(F.collect_list(F.struct("anchor", "body", "last", "first.start", "first.windows", "several")).alias("wanted"))
+    return written(parts.join(shared, "anchor"), "shared-pieces")
+
+
+def worded(docs: DataFrame, shared: DataFrame, settings: Settings) -> DataFrame:
+    """Distinct pieces with their first and last document, their words and, if pieces of
+    the anchor differ, the hashes of their windows."""
+    distinct = shared.groupBy("anchor", "body", "several").agg(
+        F.min(F.struct("doc_id", "digest")).alias("first"), F.max("doc_id").alias("last")
+    )
+    wanted = distinct.groupBy("first.doc_id", "first.digest").agg(
+        F.collect_list(F.struct("anchor", "body", "last", "several")).alias("wanted")
     )
     kind = docs.schema["doc_id"].dataType
 
@@ -315,7 +318,6 @@ def worded(docs: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:
         powers, seen = Powers(), set()
         for batch in batches:
             ids, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(3)
             for first, words in split_texts(batch.column(2)):
                 rows = []
                 for i, codes in enumerate(coded(words), first):
@@ -323,41 +325,32 @@ def worded(docs: DataFrame, parts: DataFrame, settings: Settings) -> DataFrame:
                         continue
                     seen.add((ids[i], digests[i]))
                     hashes = Hashes(codes, powers)
-                    for p in wanted[i].as_py():
-                        starts = p["start"] + np.arange(p["windows"])
-                        end = starts[-1] + settings.window
+                    places = found_at(cut(hashes, settings))
+                    for p in batch.column(3)[i].as_py():
+                        start, n = places[p["anchor"], p["body"]][0]
+                        starts = start + np.arange(n)
                         windows = hashes.of(starts, starts + settings.window) if p["several"] else None
-                        rows.append(
-                            (
-                                p["anchor"],
-                                p["body"],
-                                ids[i],
-                                p["last"],
-                                codes[p["start"] : end].view(np.int64),
-                                None if windows is None else windows.view(np.int64),
-                            )
-                        )
+                        text = b" ".join(words[i - first][start : start + n + settings.window - 1])
+                        rows.append((p["anchor"], p["body"], ids[i], p["last"], text.decode(), windows))
                 if rows:
+                    id_type = batch.column(0).type
+                    kinds = [pa.int64(), pa.int64(), id_type, id_type, pa.string(), pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays(
-                        _columns(rows, batch.column(0).type),
+                        [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)],
                         names=["anchor", "body", "doc_id", "last", "words", "hashes"],
                     )
 
     schema = T.StructType().add("anchor", "long").add("body", "long").add("doc_id", kind).add("last", kind)
-    schema = schema.add("words", T.ArrayType(T.LongType())).add("hashes", T.ArrayType(T.LongType()))
+    schema = schema.add("words", "string").add("hashes", T.ArrayType(T.LongType()))
     texts = docs.select("doc_id", "digest", "text").join(wanted, ["doc_id", "digest"])
     return written(texts.mapInArrow(take, schema), "worded-pieces")
 
 
-def _columns(rows: list[tuple], id_type: pa.DataType) -> list[pa.Array]:
-    kinds = [pa.int64(), pa.int64(), id_type, id_type, pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)]
-
-
 def referenced(worded_pieces: DataFrame, settings: Settings) -> DataFrame:
     """Pieces to be streamed, with ``own``: the windows they add to the reference text."""
     alone = worded_pieces.filter(F.col("hashes").isNull())
-    whole = F.sequence(F.lit(0), F.size("words") - settings.window)
+    words = F.size(F.split("words", " "))
+    whole = F.sequence(F.lit(0), words - settings.window)
     several = worded_pieces.filter(F.col("hashes").isNotNull())
     windows = several.select(
         "anchor", "body", "doc_id", "last", F.posexplode("hashes").alias("place", "window")
@@ -406,7 +399,7 @@ def automata(streamed: DataFrame, settings: Settings) -> DataFrame:
                         yield ended()
                     part = part + 1 if of_shard == shard else 0
                     shard, automaton = of_shard, Automaton()
-                words = batch.column(2)[i].values.to_pylist()
+                words = batch.column(2)[i].as_py().encode().split()
                 own = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
                 for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
                     automaton.add(words[run[0] : run[-1] + settings.window], ids[i])
@@ -436,7 +429,7 @@ def matched(streamed: DataFrame, built: DataFrame, settings: Settings) -> DataFr
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         nothing.cast("long").alias("anchor"),
         nothing.cast("long").alias("body"),
-        nothing.cast("array<long>").alias("words"),
+        nothing.cast("string").alias("words"),
         "automaton",
     )
     keys = ["shard", "part", "block"]
@@ -452,7 +445,7 @@ def matched(streamed: DataFrame, built: DataFrame, settings: Settings) -> DataFr
                 if table is not None:  # the first row of a block
                     matcher = Matcher(table, settings.window)
                     continue
-                found = matcher.smallest(batch.column(5)[i].values.to_numpy())
+                found = matcher.smallest(batch.column(5)[i].as_py().encode().split())
                 if any(m is not None for m in found):
                     rows.append(i)
                     smallest.append(found)
@@ -482,19 +475,21 @@ def without_repeats(
     docs = docs.select(
         column(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")
     )
-    parts = pieces(docs, settings)
-    chosen = written(referenced(worded(docs, parts, settings), settings), "reference-pieces")
-    total = chosen.agg(F.sum(F.size("own") + F.when(F.size("own") > 0, settings.window).otherwise(0))).first()[0]
+    shared = candidates(pieces(docs, settings))
+    chosen = written(referenced(worded(docs, shared, settings), settings), "reference-pieces")
+    own_words = F.size("own") + F.when(F.size("own") > 0, settings.window).otherwise(0)
+    total = chosen.agg(F.sum(own_words)).first()[0]
     shards = max(1, -(-(total or 0) // settings.shard_words))
     streamed = chosen.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("long"))
-    built = automata(streamed, settings)
-    found = matched(streamed, built, settings)
+    found = matched(streamed, automata(streamed, settings), settings)
     hit = F.transform("smallest", lambda m: F.coalesce(m < F.col("doc_id"), F.lit(False)))
-    hits = parts.join(found, ["anchor", "body"]).select("doc_id", "digest", "start", hit.alias("hit"))
+    hits = shared.join(found, ["anchor", "body"]).select(
+        "doc_id", "digest", F.struct("anchor", "body", hit.alias("hit")).alias("mark")
+    )
     marks = (
-        hits.filter(F.exists("hit", lambda h: h))
+        hits.filter(F.exists("mark.hit", lambda h: h))
         .groupBy("doc_id", "digest")
-        .agg(F.collect_set(F.struct("start", "hit")).alias("marks"))
+        .agg(F.collect_set("mark").alias("marks"))
     )
     schema = T.StructType([docs.schema["doc_id"]])
     schema = schema.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
@@ -504,28 +499,30 @@ def without_repeats(
     return marked.mapInArrow(_removed(settings, texts), schema).withColumnRenamed("doc_id", id_col)
 
 
-def covered(n_words: int, marks: pa.Scalar, window: int) -> np.ndarray:
+def covered(codes: np.ndarray, marks: list[dict], powers: Powers, settings: Settings) -> np.ndarray:
     """Words that lie in a window marked by one of the document's pieces."""
-    begins = np.zeros(n_words + 1, dtype=np.int64)
-    if marks.is_valid:
-        starts = marks.values.field("start").to_numpy()
-        hits = marks.values.field("hit")
-        sizes = hits.value_lengths().to_numpy()
-        offsets = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        chosen = hits.flatten().to_numpy(zero_copy_only=False).astype(bool)
-        begins[(np.repeat(starts, sizes) + offsets)[chosen]] = 1
-    upto = np.cumsum(begins[:n_words])
-    return upto > np.append(np.zeros(window, dtype=np.int64), upto)[:n_words]
+    begins = np.zeros(len(codes), dtype=np.int64)
+    places = found_at(cut(Hashes(codes, powers), settings))
+    for mark in marks:
+        for start, n in places[mark["anchor"], mark["body"]]:
+            begins[start : start + n] |= mark["hit"]
+    upto = np.cumsum(begins)
+    return upto > np.append(np.zeros(settings.window, dtype=np.int64), upto)[: len(codes)]
 
 
 def _removed(settings: Settings, texts: bool) -> Callable:
     def remove(batches):
+        powers = Powers()
         for batch in batches:
             for first, split in split_texts(batch.column(1)):
+                marks = batch.column(2).slice(first, len(split)).to_pylist()
+                codes = iter(coded([w for w, m in zip(split, marks) if m]))
                 sizes, removed, sums, kept_texts, spans = [], [], [], [], []
-                for i, words in enumerate(split, first):
-                    gone = covered(len(words), batch.column(2)[i], settings.window)
-                    stays = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+                for words, marked in zip(split, marks):
+                    gone = np.zeros(len(words), dtype=bool)
+                    if marked:
+                        gone = covered(next(codes), marked, powers, settings)
+                    stays = [w for w, g in zip(words, gone.tolist()) if not g] if marked else words
                     kept = b" ".join(stays)
                     sizes.append(len(words))
                     removed.append(len(words) - len(stays))
