@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,76 +10,120 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import text as tx
 from tallyhouse.operators.questions import extract_keywords
 
-TITLES_PER_BLOCK = 500
+GRAM = 3
 
 
-def _best_of_block(keywords: Column, block: list[tuple[int, str]]) -> Column:
-    """Best (score, -position, title) among a block of titles.
-
-    A keyword scores 2 when the title contains it and 1 for every title word
-    that contains it or is contained in it.
-    """
-    catalog = F.array(
-        *[
-            F.struct(
-                F.lit(-i).alias("rank"),
-                F.lit(title).alias("title"),
-                F.lit(title.lower()).alias("low"),
-                F.array(*[F.lit(w) for w in title.lower().split()]).cast("array<string>").alias("words"),
-            )
-            for i, title in block
-        ]
-    )
-
-    def points(entry: Column, keyword: Column) -> Column:
-        whole = F.when(entry["low"].contains(keyword), 2).otherwise(0)
-        part = F.size(F.filter(entry["words"], lambda w: w.contains(keyword) | keyword.contains(w)))
-        return whole + part
-
-    scored = F.transform(
-        catalog,
-        lambda e: F.struct(
-            F.aggregate(keywords, F.lit(0), lambda n, k: n + points(e, k)).alias("score"),
-            e["rank"].alias("rank"),
-            e["title"].alias("title"),
-        ),
+def _grams(word: Column) -> Column:
+    """Distinct parts of a word of up to ``GRAM`` characters: about ``GRAM`` per character."""
+    sizes = F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length(word)))
+    parts = F.transform(
+        sizes,
+        lambda n: F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)),
     )
-    return F.array_max(scored)
+    return F.array_distinct(F.flatten(parts))
 
 
-def match_datasets(df: DataFrame, text: str, titles: list[str]) -> DataFrame:
-    """The best dataset title for each question, and its score.
+def containing(needles: DataFrame, needle: str, haystacks: DataFrame, haystack: str) -> DataFrame:
+    """Pairs of distinct words of which the second contains the first.
 
-    The titles are a list of dashboards, held as constants; each block of them
-    is scored within the row, so questions are neither joined nor shuffled.
-    Keywords unrelated to any title are dropped first. Equal scores go to the
-    title listed first. Without a hit, title and score are NULL and 0.
+    An inverted index: a word is listed under all its grams, and looked up by its
+    first one. So only words that share a gram are compared.
     """
-    all_words = sorted({w for t in titles for w in t.lower().split()})
-    joined = F.lit("\n".join(t.lower() for t in titles))
+    listed = haystacks.select(haystack, F.explode(_grams(F.col(haystack))).alias("_gram"))
+    sought = needles.select(needle, F.substring(needle, 1, GRAM).alias("_gram"))
+    found = sought.join(listed, "_gram").filter(F.col(haystack).contains(F.col(needle)))
+    return found.select(needle, haystack)
+
+
+def dataset_words(catalog: DataFrame, id: str, titles: Sequence[str], order: str | None) -> DataFrame:
+    """The words of each distinct title, and the first dataset that has it. A dataset's
+    title is the first of its ``titles`` that is not NULL."""
+    named = catalog.select(
+        F.struct(F.col(order or id).alias("order"), F.col(id).alias("id")).alias("_dataset"),
+        F.coalesce(*[F.col(t) for t in titles]).alias("title"),
+    )
+    first = named.filter(F.col("title").isNotNull()).groupBy("title").agg(F.min("_dataset").alias("_dataset"))
+    spelled = first.withColumn("_word", F.explode(tx.words(F.lower("title"))))
+    return spelled.groupBy("_dataset", "title", "_word").agg(F.count("*").alias("_times"))
 
-    def related(k: Column) -> Column:
-        return joined.contains(k) | F.exists(F.array(*[F.lit(w) for w in all_words]), lambda w: k.contains(w))
 
-    keyed = (
-        extract_keywords(df, text)
-        .withColumn("_related", F.filter("keywords", related))
-        .drop("keywords")
+def match_datasets(
+    df: DataFrame,
+    text: str,
+    catalog: DataFrame,
+    id: str = "id",
+    titles: Sequence[str] = ("dashboard_title", "title"),
+    order: str | None = None,
+) -> DataFrame:
+    """Add the best dataset of ``catalog`` for each question: ``dataset_id``, ``title``
+    and ``score``.
+
+    A keyword of the question scores 2 when the title contains it and 1 for every
+    title word that contains it or is contained in it; a keyword that is said twice
+    counts twice. Of equal scores the dataset that is first by ``order`` (and id) wins.
+    Without a hit, dataset and title are NULL and the score 0. Datasets without any
+    title are never found.
+
+    Keywords and title words are compared as distinct words through an index of
+    their grams; equal titles, and questions of the same keywords, are scored once. Both sides may
+    be large; what grows is the number of (set of keywords, title) pairs that share
+    a word.
+    """
+    spelled = dataset_words(catalog, id, titles, order)
+    keyed = extract_keywords(df, text)
+    if "keywords" in df.columns:
+        raise ValueError("questions must not have a column keywords")
+    keyed = keyed.withColumn("_bag", F.concat_ws("\n", F.array_sort("keywords")))
+    bags = keyed.select("_bag").filter("_bag <> ''").distinct()
+    counted = (
+        bags.select("_bag", F.explode(F.split("_bag", "\n")).alias("_keyword"))
+        .groupBy("_bag", "_keyword")
+        .agg(F.count("*").alias("_said"))
+    )
+    keywords, vocabulary = counted.select("_keyword").distinct(), spelled.select("_word").distinct()
+    pairs = (
+        containing(keywords, "_keyword", vocabulary, "_word")
+        .select("_keyword", "_word", F.lit(2).alias("_whole"))
+        .unionByName(
+            containing(vocabulary, "_word", keywords, "_keyword").select("_keyword", "_word", F.lit(0).alias("_whole"))
+        )
+        .groupBy("_keyword", "_word")
+        .agg(F.max("_whole").alias("_whole"))
+    )
+    dataset = ["_dataset", "title"]
+    points = (
+        pairs.join(spelled, "_word")
+        .groupBy("_keyword", *dataset)
+        .agg((F.max("_whole") + F.sum("_times")).alias("_points"))
+    )
+    best = (
+        counted.join(points, "_keyword")
+        .groupBy("_bag", *dataset)
+        .agg(F.sum(F.col("_said") * F.col("_points")).alias("_score"))
+        .groupBy("_bag")
+        .agg(F.min(F.struct((-F.col("_score")).alias("_score"), *dataset)).alias("_best"))
     )
-    numbered = list(enumerate(titles))
-    blocks = [numbered[i : i + TITLES_PER_BLOCK] for i in range(0, len(numbered), TITLES_PER_BLOCK)]
-    bests = [_best_of_block(F.col("_related"), block) for block in blocks]
-    best = F.greatest(*bests) if len(bests) > 1 else bests[0]
     return (
-        keyed.withColumn("_best", F.when(F.size("_related") > 0, best))
+        keyed.join(best, "_bag", "left")
         .withColumns(
             {
-                "title": F.when(F.col("_best.score") > 0, F.col("_best.title")),
-                "score": F.coalesce(F.col("_best.score"), F.lit(0)),
+                "dataset_id": F.col("_best._dataset.id"),
+                "title": F.col("_best.title"),
+                "score": F.coalesce(-F.col("_best._score"), F.lit(0)),
             }
         )
-        .drop("_related", "_best")
+        .drop("_bag", "_best", "keywords")
+    )
+
+
+def dataset_rows(df: DataFrame, wanted: str, catalog: DataFrame, id: str = "id", order: str | None = None) -> DataFrame:
+    """Add ``dataset``, the catalog's row of the id in column ``wanted``, as a struct;
+    NULL if the catalog has no such id. Of several rows of an id the first counts."""
+    whole = F.struct(*[F.col(c) for c in catalog.columns])
+    first = catalog.groupBy(F.col(id).alias("_id")).agg(
+        F.min_by(whole, F.col(order or id)).alias("dataset")
     )
+    return df.join(first, F.col(wanted) == F.col("_id"), "left").drop("_id")
 
 
 # Words that call for a source type.

@@ -67,14 +67,73 @@ def test_entities(spark):
     assert (last.time_expressions, last.metric_expressions) == (["today"], ["rate"])
 
 
-def test_match_datasets(spark, monkeypatch):
-    titles = ["Slack Dashboard", "World Bank's Data", "Video Game Sales", "Sales"]
-    df = texts(spark, "Give me unique insight on World Bank's Data", "sales of games", "zzz", "the")
-    want = [("World Bank's Data", 6), ("Video Game Sales", 4), (None, 0), (None, 0)]
-    for block in (500, 2):
-        monkeypatch.setattr(routing, "TITLES_PER_BLOCK", block)
-        rows = routing.match_datasets(df, "text", titles).orderBy("id").collect()
-        assert [(r.title, r.score) for r in rows] == want
+def dataset_catalog(spark, *rows):
+    return spark.createDataFrame(list(rows), "place int, id string, dashboard_title string, title string")
+
+
+def slow_match(text, catalog):
+    """Score of every dataset, keyword by keyword, in the catalog's order."""
+    stop = set(questions.STOP_WORDS)
+    said = [w.strip(".,!?;:'\"") for w in text.lower().split()]
+    said = [w for w in said if w not in stop and len(w.encode()) > 2]
+    best, most = (None, None), 0
+    for _, id, first, second in sorted(catalog):
+        title = (first if first is not None else second) or ""
+        low = title.lower()
+        score = sum(2 * (k in low) + sum(k in w or w in k for w in low.split()) for k in said)
+        if score > most:
+            best, most = (id, title), score
+    return (*best, most)
+
+
+def test_match_datasets(spark):
+    rows = [
+        (3, "a", "Slack Dashboard", None),
+        (1, "b", None, "World Bank's Data"),
+        (2, "c", "Video Game Sales", "ignored data"),
+        (4, "d", "Sales", "x"),
+        (5, "e", None, None),
+        (6, "f", "", "sales sales"),
+        (0, "g", "sales sales", None),
+        (7, "h", "A de salesforce é日本語", None),
+    ]
+    asked = [
+        "Give me unique insight on World Bank's Data",
+        "sales of games",
+        "sales sales of presales",
+        "zzz",
+        "the",
+        "",
+        "Déjà 日本 salesforce",
+        "dashboards dashboards slack",
+        "sales of games",
+    ]
+    df = texts(spark, *asked).repartition(3)
+    found = routing.match_datasets(df, "text", dataset_catalog(spark, *rows).repartition(2), order="place")
+    got = {r.id: (r.dataset_id, r.title, r.score) for r in found.collect()}
+    assert got == {i: slow_match(t, rows) for i, t in enumerate(asked)}
+    assert got[0] == ("b", "World Bank's Data", 6) and got[3] == (None, None, 0)
+    empty = routing.match_datasets(df, "text", dataset_catalog(spark), order="place")
+    assert {(r.dataset_id, r.score) for r in empty.collect()} == {(None, 0)}
+
+
+def test_match_datasets_keeps_titles_out_of_the_plan(spark):
+    rows = [(i, f"d{i}", f"title number{i} of area{i % 50}", None) for i in range(3000)]
+    catalog = dataset_catalog(spark, *rows)
+    asked = ["area7 number77", "area49", "number2999 area1"]
+    found = routing.match_datasets(texts(spark, *asked), "text", catalog, order="place")
+    assert {r.id: r.dataset_id for r in found.collect()} == {
+        i: slow_match(t, rows)[0] for i, t in enumerate(asked)
+    }
+    assert "number77" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dataset_rows(spark):
+    catalog = dataset_catalog(spark, (2, "a", "second", None), (1, "a", "first", "x"), (3, "b", None, "y"))
+    wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "gone"), (4, None)], "n int, want string")
+    got = {r.n: r.dataset for r in routing.dataset_rows(wanted, "want", catalog, order="place").collect()}
+    assert got[1].dashboard_title == "first" and got[2].title == "y"
+    assert got[3] is None and got[4] is None
 
 
 def sources(spark, *rows):

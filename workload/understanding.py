@@ -257,21 +257,68 @@ DASHBOARDS = [
 ]
 
 
+DASHBOARD_ROWS = ", ".join(
+    "(%d, 'board%d', %s, %s)" % ((i, i) + ((f"'{q}'", "NULL") if i % 2 else ("NULL", f"'{q}'")))
+    for i, q in enumerate(t.replace("'", "''") for t in DASHBOARDS)
+)
+DASHBOARD_SQL = f"""boards AS (SELECT * FROM (VALUES {DASHBOARD_ROWS}) v(place, id, dashboard_title, title)
+    UNION ALL SELECT 100 + n_nationkey, 'nation' || n_nationkey, 'Orders of ' || n_name, NULL FROM nation
+    UNION ALL SELECT 1000 + p_partkey, 'part' || p_partkey, NULL, p_type || ' ' || p_name FROM part)"""
+
+
+def dashboards(wh):
+    """Titled boards, one per nation and part; every second fixed one has its title in another column."""
+    fixed = [(i, f"board{i}", t if i % 2 else None, None if i % 2 else t) for i, t in enumerate(DASHBOARDS)]
+    schema = "place long, id string, dashboard_title string, title string"
+    place, text = F.col("n_nationkey"), F.lit(None).cast("string")
+    of_nations = wh.table("nation").select(
+        (place + 100).cast("long").alias("place"),
+        F.concat(F.lit("nation"), place).alias("id"),
+        F.concat(F.lit("Orders of "), "n_name").alias("dashboard_title"),
+        text.alias("title"),
+    )
+    of_parts = wh.table("part").select(
+        (F.col("p_partkey") + 1000).cast("long").alias("place"),
+        F.concat(F.lit("part"), "p_partkey").alias("id"),
+        text.alias("dashboard_title"),
+        F.concat_ws(" ", "p_type", "p_name").alias("title"),
+    )
+    return wh.spark.createDataFrame(fixed, schema).unionByName(of_nations).unionByName(of_parts)
+
+
 @query(
     "match_datasets",
-    f"""WITH {QUESTION_SQL}, k AS (SELECT id, unnest({KEYWORDS_SQL}) AS k FROM questions),
-       c AS (SELECT k, n, title, low, string_split(low, ' ') AS ws FROM (SELECT DISTINCT k FROM k),
-             (SELECT ord AS n, title, lower(title) AS low FROM (VALUES
-               {", ".join("(%d, '%s')" % (i, t.replace("'", "''")) for i, t in enumerate(DASHBOARDS))}) v(ord, title))),
-       p AS (SELECT k, n, title, 2 * contains(low, k)::INT
+    f"""WITH {QUESTION_SQL}, {DASHBOARD_SQL}, k AS (SELECT id, unnest({KEYWORDS_SQL}) AS k FROM questions),
+       t AS (SELECT id AS dataset_id, place AS n, coalesce(dashboard_title, title) AS title FROM boards),
+       c AS (SELECT k, n, dataset_id, title, lower(title) AS low, string_split(lower(title), ' ') AS ws
+             FROM (SELECT DISTINCT k FROM k), t),
+       p AS (SELECT k, n, dataset_id, title, 2 * contains(low, k)::INT
                + len(list_filter(ws, lambda w: contains(w, k) OR contains(k, w))) AS p FROM c),
-       s AS (SELECT id, n, title, sum(p) AS score FROM k JOIN p USING (k) WHERE p > 0 GROUP BY 1, 2, 3),
+       s AS (SELECT id, n, dataset_id, title, sum(p) AS score FROM k JOIN p USING (k) WHERE p > 0 GROUP BY 1, 2, 3, 4),
        b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, n) AS r FROM s)
-       SELECT q.id, b.title, CAST(coalesce(b.score, 0) AS BIGINT) AS score
+       SELECT q.id, b.dataset_id, b.title, CAST(coalesce(b.score, 0) AS BIGINT) AS score
        FROM questions q LEFT JOIN b ON b.id = q.id AND b.r = 1""",
 )
 def match_datasets(wh):
-    return plain(routing.match_datasets(question_log(wh), "text", DASHBOARDS).drop("text"))
+    return plain(routing.match_datasets(question_log(wh), "text", dashboards(wh), order="place").drop("text"))
+
+
+@query(
+    "dataset_by_id",
+    f"""WITH {DASHBOARD_SQL} SELECT o_orderkey, b.id IS NOT NULL AS found, b.id AS dataset_id,
+         coalesce(b.dashboard_title, b.title) AS title
+       FROM orders LEFT JOIN boards b ON b.id = 'part' || (o_custkey * 3)""",
+)
+def dataset_by_id(wh):
+    """The board that each order's customer asks for by id, if there is one."""
+    asked = wh.table("orders").select("o_orderkey", F.concat(F.lit("part"), F.col("o_custkey") * 3).alias("want"))
+    found = routing.dataset_rows(asked, "want", dashboards(wh), order="place")
+    return found.select(
+        "o_orderkey",
+        F.col("dataset").isNotNull().alias("found"),
+        F.col("dataset.id").alias("dataset_id"),
+        F.coalesce("dataset.dashboard_title", "dataset.title").alias("title"),
+    )
 
 
 def entity_sql(patterns):
