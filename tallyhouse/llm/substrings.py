@@ -14,13 +14,12 @@ windows of one anchor are a piece. Then
    one from here on, however many copies there are;
 2. only pieces whose anchor occurs in two documents go on, with the words of their
    first document (``worded``);
-3. a piece that is the only one of its anchor is reference text as a whole. Where pieces
-   of an anchor differ, windows in two documents are found by hash, and the first piece
-   with such a window has it as reference text; pieces without one are done;
-4. reference text is dealt to shards by anchor, and every shard becomes one automaton
-   or more of at most ``shard_words`` words (``automata``);
-5. a shard's automata are broadcast to all blocks of its pieces, which are streamed
-   through them (``matched``). All automata together have no bound, so this is a join;
+3. a piece that is the only one of its anchor is reference text. Where pieces of an
+   anchor differ, windows in two documents are found by hash, and the first piece with
+   such a window is reference text; pieces without one are done (``referenced``);
+4. reference text is dealt to shards by anchor, and every shard becomes an automaton;
+5. a shard is broadcast to all blocks of its pieces, which are streamed through its
+   automaton (``matched``). All shards together have no bound, so this is a shuffle;
 6. matches go back to all documents with those pieces.
 
 Hashes have 64 bits and only choose what is compared. What is removed, the automata
@@ -36,7 +35,6 @@ decide on the words themselves.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
@@ -44,7 +42,7 @@ from hashlib import sha256
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -56,7 +54,9 @@ from tallyhouse.llm.common import column, written
 class Settings:
     window: int = 50
     gram: int = 10
-    #: Words in an automaton at most (a last piece may exceed it).
+    #: Windows in a piece at most.
+    piece_windows: int = 256
+    #: Words in an automaton, about.
     shard_words: int = 100_000
     #: Pieces that are streamed through an automaton by one task, about.
     block_pieces: int = 20_000
@@ -122,6 +122,9 @@ def cut(hashes: Hashes, settings: Settings) -> tuple[np.ndarray, ...]:
     grams = hashes.of(starts, starts + settings.gram)
     anchors = least_in_runs(grams, settings.window - settings.gram + 1)
     first = np.append(0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1)
+    run = np.arange(len(anchors)) - np.repeat(first, np.diff(np.append(first, len(anchors))))
+    # one word again and again has one anchor: such runs are cut, windows meet by anchor
+    first = np.flatnonzero(run % settings.piece_windows == 0)
     windows = np.diff(np.append(first, len(anchors)))
     return anchors[first], hashes.of(first, first + windows + settings.window - 1), first, windows
 
@@ -165,7 +168,6 @@ class Automaton:
         self.place: dict[bytes, int] = {}
         self.follow: list[dict[int, int]] = [{}]
         self.link, self.length, self.least = [-1], [0], [None]
-        self.words = 0
 
     def _clone(self, q: int, length: int, p: int, word: int) -> int:
         clone = len(self.length)
@@ -205,31 +207,22 @@ class Automaton:
                 last = q if length[q] == target else self._clone(q, target, last, word)
             if least[last] is None or document < least[last]:
                 least[last] = document
-        self.words += len(words)
 
-    def packed(self) -> bytes:
-        """For ``Matcher``; documents are handed on to the suffixes of their states."""
-        least, link = self.least, self.link
+    def handed_on(self) -> list:
+        """The smallest document of every state, also of those it is a suffix of."""
+        least, link = self.least.copy(), self.link
         for state in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
             parent = link[state]
             if parent and (least[parent] is None or least[state] < least[parent]):
                 least[parent] = least[state]
-        sizes = [len(f) for f in self.follow]
-        words = np.fromiter((w for f in self.follow for w in f), dtype=np.int64, count=sum(sizes))
-        targets = np.fromiter((t for f in self.follow for t in f.values()), dtype=np.int32, count=len(words))
-        keys = np.repeat(np.arange(len(sizes)), sizes) * len(self.place) + words
-        arrays = (keys, targets, np.array(link, np.int32), np.array(self.length, np.int32))
-        return pickle.dumps((list(self.place), *arrays, least), protocol=5)
+        return least
 
 
 class Matcher:
     """Streams words through an automaton."""
 
-    def __init__(self, packed: bytes, window: int) -> None:
-        words, keys, targets, link, length, self.least = pickle.loads(packed)
-        self.place, self.window = {w: i for i, w in enumerate(words)}, window
-        self.edges = dict(zip(keys.tolist(), targets.tolist()))
-        self.link, self.length = link.tolist(), length.tolist()
+    def __init__(self, automaton: Automaton, window: int) -> None:
+        self.automaton, self.least, self.window = automaton, automaton.handed_on(), window
 
     def smallest(self, words: Sequence[bytes]) -> list:
         """For every window its smallest document in the automaton, or None.
@@ -237,19 +230,15 @@ class Matcher:
         ``size`` is the length of the longest match that ends at a word (as far as a
         window's), ``state`` the state of that match.
         """
-        edges, link, length, least = self.edges.get, self.link, self.length, self.least
-        n, window = len(self.place), self.window
+        follow, link, length = self.automaton.follow, self.automaton.link, self.automaton.length
+        least, window = self.least, self.window
         found, state, size = [], 0, 0
-        for place in map(self.place.get, words):
-            if place is None:
-                state = size = 0
-                found.append(None)
-                continue
-            target = edges(state * n + place)
+        for place in map(self.automaton.place.get, words):
+            target = follow[state].get(place)
             while target is None and state:
                 state = link[state]
                 size = length[state]
-                target = edges(state * n + place)
+                target = follow[state].get(place)
             if target is not None:
                 state, size = target, size + 1
             if size >= window:
@@ -346,119 +335,91 @@ def worded(docs: DataFrame, shared: DataFrame, settings: Settings) -> DataFrame:
     return written(texts.mapInArrow(take, schema), "worded-pieces")
 
 
-def referenced(worded_pieces: DataFrame, settings: Settings) -> DataFrame:
-    """Pieces to be streamed, with ``own``: the windows they add to the reference text."""
-    alone = worded_pieces.filter(F.col("hashes").isNull())
-    words = F.size(F.split("words", " "))
-    whole = F.sequence(F.lit(0), words - settings.window)
+def referenced(worded_pieces: DataFrame) -> DataFrame:
+    """Pieces to be streamed; ``own``, if they are reference text."""
+    alone = worded_pieces.filter(F.col("hashes").isNull()).withColumn("own", F.lit(True))
     several = worded_pieces.filter(F.col("hashes").isNotNull())
-    windows = several.select(
-        "anchor", "body", "doc_id", "last", F.posexplode("hashes").alias("place", "window")
-    )
+    windows = several.select("body", "doc_id", "last", F.explode("hashes").alias("window"))
     repeated = (
         windows.groupBy("window")
-        .agg(
-            F.min(F.struct("doc_id", "anchor", "body", "place")).alias("first"),
-            F.max("last").alias("_most"),
-        )
+        .agg(F.min(F.struct("doc_id", "body")).alias("first"), F.max("last").alias("_most"))
         .filter("first.doc_id < _most")
+        .select("window", F.col("first.body").alias("_first"))
     )
-    is_first = (F.struct("doc_id", "anchor", "body", "place")) == F.col("first")
     own = (
-        windows.join(repeated, "window")
-        .groupBy("anchor", "body")
-        .agg(F.array_sort(F.collect_set(F.when(is_first, F.col("place")))).alias("own"))
+        windows.select("window", "body")
+        .join(repeated, "window")
+        .groupBy("body")
+        .agg(F.max(F.col("body") == F.col("_first")).alias("own"))
     )
     columns = ["anchor", "body", "doc_id", "words", "own"]
-    return alone.withColumn("own", whole).select(columns).unionByName(
-        several.join(own, ["anchor", "body"]).select(columns)
-    )
+    return alone.select(columns).unionByName(several.join(own, "body").select(columns))
 
 
-def automata(streamed: DataFrame, settings: Settings) -> DataFrame:
-    """The automata of every shard: ``shard``, ``part``, ``automaton``."""
+def matched(chosen: DataFrame, settings: Settings) -> DataFrame:
+    """For pieces with a match, ``smallest``: the smallest document of each of their
+    windows (null if the automaton has none). A piece has a row per automaton it met.
+
+    Reference text is dealt to shards by anchor. A shard of much text is in parts, one of
+    many pieces in blocks; every block meets every part, and has its automaton built
+    where it is streamed, from text much smaller than the automaton.
+    """
+    n_words = F.size(F.split("words", " "))
+    own_words = F.sum(F.when(F.col("own"), n_words).otherwise(0))
+    total = chosen.agg(own_words).first()[0]
+    shards = max(1, -(-(total or 0) // settings.shard_words))
+    dealt = chosen.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    sizes = dealt.groupBy("shard").agg(
+        F.greatest(F.lit(1), F.ceil(own_words / (2 * settings.shard_words))).cast("int").alias("parts"),
+        F.ceil(F.count("*") / settings.block_pieces).cast("int").alias("blocks"),
+    )
 
-    def build(batches):
-        shard, part, automaton = None, 0, Automaton()
+    def share(n: str) -> Column:
+        return F.pmod(F.xxhash64("body"), F.col(n)).cast("int")
 
-        def ended():
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([shard], pa.int64()),
-                    pa.array([part], pa.int32()),
-                    pa.array([automaton.packed()], pa.binary()),
-                ],
-                names=["shard", "part", "automaton"],
-            )
+    def places(kind: int, part: Column, block: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), part.cast("int").alias("part"), block.cast("int").alias("block"))
 
-        for batch in batches:
-            ids = batch.column(1).to_pylist()
-            for i, of_shard in enumerate(batch.column(0).to_pylist()):
-                if of_shard != shard or automaton.words >= settings.shard_words:
-                    if automaton.words:
-                        yield ended()
-                    part = part + 1 if of_shard == shard else 0
-                    shard, automaton = of_shard, Automaton()
-                words = batch.column(2)[i].as_py().encode().split()
-                own = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                for run in np.split(own, np.flatnonzero(np.diff(own) > 1) + 1):
-                    automaton.add(words[run[0] : run[-1] + settings.window], ids[i])
-        if automaton.words:
-            yield ended()
-
-    rows = streamed.filter(F.size("own") > 0).select("shard", "doc_id", "words", "own")
-    dealt = rows.repartition("shard").sortWithinPartitions("shard")
-    return written(dealt.mapInArrow(build, "shard long, part int, automaton binary"), "automata")
-
-
-def matched(streamed: DataFrame, built: DataFrame, settings: Settings) -> DataFrame:
-    """For pieces with a match, ``smallest``: the smallest document of each of their
-    windows (null if the automaton has none). A piece has a row per automaton it met."""
-    sizes = streamed.groupBy("shard").agg(
-        F.ceil(F.count("*") / settings.block_pieces).cast("int").alias("blocks")
-    )
-    units = built.select("shard", "part").join(sizes, "shard")
-    block = F.pmod(F.xxhash64("body"), F.col("blocks")).cast("int")
-    nothing = F.lit(None)
-    texts = streamed.join(units, "shard").select(
-        "shard", "part", block.alias("block"), "anchor", "body", "words", nothing.cast("binary").alias("automaton")
-    )
-    tables = built.join(sizes, "shard").select(
-        "shard",
-        "part",
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-        nothing.cast("long").alias("anchor"),
-        nothing.cast("long").alias("body"),
-        nothing.cast("string").alias("words"),
-        "automaton",
-    )
+    of_text = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: places(0, share("parts"), b))
+    of_piece = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: places(1, p, share("blocks")))
     keys = ["shard", "part", "block"]
-    both = tables.unionByName(texts).repartition(*keys)
-    both = both.sortWithinPartitions(*keys, F.col("automaton").isNull())
+    rows = (
+        dealt.join(sizes, "shard")
+        .withColumn("place", F.explode(F.when(F.col("own"), F.concat(of_text, of_piece)).otherwise(of_piece)))
+        .select("shard", "place.part", "place.block", "place.kind", "anchor", "body", "doc_id", "words")
+        .repartition(*keys)
+        .sortWithinPartitions(*keys, "kind")
+    )
 
     def stream(batches):
-        matcher = None
+        unit, automaton, matcher = None, None, None
         for batch in batches:
+            units = list(zip(*[batch.column(i).to_pylist() for i in range(3)]))
+            ids = batch.column(6).to_pylist()
             rows, smallest = [], []
-            for i in range(batch.num_rows):
-                table = batch.column(6)[i].as_py()
-                if table is not None:  # the first row of a block
-                    matcher = Matcher(table, settings.window)
+            for i, kind in enumerate(batch.column(3).to_pylist()):
+                if units[i] != unit:
+                    unit, automaton, matcher = units[i], Automaton(), None
+                words = batch.column(7)[i].as_py().encode().split()
+                if kind == 0:
+                    automaton.add(words, ids[i])
                     continue
-                found = matcher.smallest(batch.column(5)[i].as_py().encode().split())
+                if matcher is None:
+                    matcher = Matcher(automaton, settings.window)
+                found = matcher.smallest(words)
                 if any(m is not None for m in found):
                     rows.append(i)
                     smallest.append(found)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3).take(at), batch.column(4).take(at), pa.array(smallest, arrow_ids)],
+                [batch.column(4).take(at), batch.column(5).take(at), pa.array(smallest, arrow_ids)],
                 names=["anchor", "body", "smallest"],
             )
 
-    kind = streamed.schema["doc_id"].dataType
+    kind = chosen.schema["doc_id"].dataType
     arrow_ids = pa.list_(to_arrow_type(kind))
     schema = T.StructType().add("anchor", "long").add("body", "long").add("smallest", T.ArrayType(kind))
-    return both.mapInArrow(stream, schema)
+    return rows.mapInArrow(stream, schema)
 
 
 def without_repeats(
@@ -476,12 +437,8 @@ def without_repeats(
         column(id_col).alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")
     )
     shared = candidates(pieces(docs, settings))
-    chosen = written(referenced(worded(docs, shared, settings), settings), "reference-pieces")
-    own_words = F.size("own") + F.when(F.size("own") > 0, settings.window).otherwise(0)
-    total = chosen.agg(F.sum(own_words)).first()[0]
-    shards = max(1, -(-(total or 0) // settings.shard_words))
-    streamed = chosen.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("long"))
-    found = matched(streamed, automata(streamed, settings), settings)
+    chosen = written(referenced(worded(docs, shared, settings)), "reference-pieces")
+    found = matched(chosen, settings)
     hit = F.transform("smallest", lambda m: F.coalesce(m < F.col("doc_id"), F.lit(False)))
     hits = shared.join(found, ["anchor", "body"]).select(
         "doc_id", "digest", F.struct("anchor", "body", hit.alias("hit")).alias("mark")

@@ -84,6 +84,9 @@ def test_odd_rows(spark):
 
 def test_text_ids_and_very_long_text(spark):
     random.seed(3)
+    same = "same " * 400_000
+    got = substrings.without_repeats(spark.createDataFrame([(1, same), (2, same[5:])], "doc_id int, text string"))
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {1: 0, 2: 399_999}
     long = " ".join(random.choice("abcdefgh") * 2 for _ in range(300_000))
     docs = spark.createDataFrame([("b", long), ("a", long[300_000:600_000]), ("c", "new words")], "doc_id string, text string")
     got = {r["doc_id"]: r["n_removed"] for r in substrings.without_repeats(docs).collect()}
@@ -113,7 +116,7 @@ def test_automata(seed):
         automaton.add([b"%d" % w for w in words], 10 - i)
     text = [random.randrange(4) for _ in range(500)]
     for window in (1, 3, 6):
-        matcher = substrings.Matcher(automaton.packed(), window)
+        matcher = substrings.Matcher(automaton, window)
         want = []
         for p in range(len(text) - window + 1):
             part = text[p : p + window]
