@@ -7,7 +7,7 @@ one summary row per column; the tables themselves are only aggregated.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -268,25 +268,130 @@ def table_relationships(catalog: DataFrame, key: Column | None = None) -> DataFr
     )
 
 
+# --- inclusion of values -----------------------------------------------------
+
+
+def _comparable(f: T.StructField) -> str | None:
+    """SQL text that is equal for equal values of comparable types, and for no others.
+
+    Numbers are compared with numbers, times with times. Long text is represented
+    by its SHA-256 digest. Nested values are not compared.
+    """
+    c, kind = _column(f.name), f.dataType
+    if isinstance(kind, T.IntegralType):
+        return f"concat('n', CAST({c} AS string))"
+    if isinstance(kind, T.NumericType):
+        number = f"CAST({c} AS double)"
+        whole = f"{number} = floor({number}) AND abs({number}) < 1e15"
+        return f"concat('n', CASE WHEN {whole} THEN CAST(CAST({c} AS bigint) AS string) ELSE CAST({number} AS string) END)"
+    if isinstance(kind, T.StringType):
+        return f"concat('t', CASE WHEN length({c}) > 32 THEN sha2({c}, 256) ELSE {c} END)"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return f"concat('d', CAST(CAST({c} AS timestamp) AS string))"
+    if isinstance(kind, T.BooleanType):
+        return f"concat('b', CAST({c} AS string))"
+    return None
+
+
+def shared_values(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Numbers of distinct values that pairs of columns share: ``a`` and ``b`` are
+    numbers of columns in the order of ``columns``; ``a = b`` counts a column's own.
+
+    Every table is scanned once for all of its columns. Values are tagged with their
+    column, grouped once to the set of columns that hold them, and counted from
+    these sets. Spark combines equal values before the shuffle, so a frequent value is
+    one row per task; a set has at most as many members as there are columns.
+    """
+    frames, tag = [], 0
+    for table, names in columns.items():
+        df, cells = tables[table], []
+        for name in names:
+            value = _comparable(df.schema[name])
+            if value is not None:
+                cells.append(f"struct({tag} AS tag, {value} AS value)")
+            tag += 1
+        if cells:
+            frames.append(df.select(F.explode(F.expr(f"array({', '.join(cells)})")).alias("cell")).select("cell.*"))
+    if not frames:
+        raise ValueError("there are no columns to compare")
+    values = reduce(DataFrame.unionAll, frames).filter("value IS NOT NULL")
+    sets = values.groupBy("value").agg(F.collect_set("tag").alias("tags"))
+    pairs = sets.select(F.explode("tags").alias("a"), "tags").select("a", F.explode("tags").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def inclusions(tables: Mapping[str, DataFrame], columns: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Pairs of columns that share values: how many distinct ones each has, how many
+    both, and the share of the ``to`` column's that the ``from`` column holds."""
+    names = [(t, c) for t, cs in columns.items() for c in cs]
+    spark = next(iter(tables.values())).sparkSession
+    counts = shared_values(tables, columns)
+    own = counts.filter("a = b")
+    known = spark.createDataFrame(
+        [(i, t, c) for i, (t, c) in enumerate(names)], "tag int, table_name string, column_name string"
+    )
+    sides = [
+        known.join(own, known["tag"] == own["a"]).select(
+            F.col("tag").alias(f"_{side}"),
+            F.col("table_name").alias(f"{side}_table"),
+            F.col("column_name").alias(f"{side}_column"),
+            F.col("shared").alias(f"{side}_keys"),
+        )
+        for side in ("from", "to")
+    ]
+    pairs = counts.filter("a <> b").select(F.col("a").alias("_from"), F.col("b").alias("_to"), "shared")
+    found = pairs.join(sides[0], "_from").join(sides[1], "_to")
+    return found.select(
+        "from_table",
+        "from_column",
+        "to_table",
+        "to_column",
+        "from_keys",
+        "to_keys",
+        F.col("shared").alias("found_keys"),
+        (F.col("shared") / F.col("to_keys")).alias("containment"),
+    )
+
+
 def containment(relationships: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """Share of the distinct ``to`` keys that occur among the ``from`` keys.
 
-    Both sides are reduced to distinct keys before they are joined.
+    All relationships together take one scan per table (``shared_values``).
     """
-    frames = []
-    for r in relationships.select("from_table", "from_column", "to_table", "to_column").collect():
-        parent = tables[r.from_table].select(F.col(r.from_column).alias("k")).distinct()
-        child = tables[r.to_table].select(F.col(r.to_column).alias("k")).distinct()
-        matched = parent.withColumn("m", F.lit(1))
-        frames.append(
-            child.filter(F.col("k").isNotNull())
-            .join(matched, "k", "left")
-            .agg(F.count("k").alias("child_keys"), F.count("m").alias("found_keys"))
-            .select(
-                *[F.lit(r[c]).alias(c) for c in r.__fields__],
-                "child_keys",
-                "found_keys",
-                F.try_divide(F.col("found_keys").cast("double"), F.col("child_keys")).alias("containment"),
-            )
+    ends = ["from_table", "from_column", "to_table", "to_column"]
+    wanted = [tuple(r) for r in relationships.select(*ends).distinct().collect()]
+    columns: dict[str, list[str]] = {}
+    for table, column in sorted({e for r in wanted for e in (r[:2], r[2:])}):
+        columns.setdefault(table, []).append(column)
+    schema = "from_table string, from_column string, to_table string, to_column string, a int, b int"
+    spark = relationships.sparkSession
+    if not wanted:
+        empty = spark.createDataFrame([], schema).select(*ends)
+        zero = F.lit(0).cast("long")
+        return empty.select(
+            *ends, zero.alias("child_keys"), zero.alias("found_keys"), F.lit(0.0).alias("containment")
         )
-    return reduce(DataFrame.unionAll, frames)
+    tags = {e: i for i, e in enumerate((t, c) for t, cs in columns.items() for c in cs)}
+    numbered = spark.createDataFrame([(*r, tags[r[:2]], tags[r[2:]]) for r in wanted], schema)
+    counts = shared_values(tables, columns).filter(F.col("a") <= F.col("b"))
+    own = counts.filter("a = b").select("b", F.col("shared").alias("child_keys"))
+    both = counts.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("shared").alias("found_keys"))
+    pair = (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))
+    found = numbered.join(own, "b", "left").join(both, pair, "left")
+    return found.select(
+        *ends, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("child_keys", "found_keys")]
+    ).withColumn("containment", F.try_divide(F.col("found_keys").cast("double"), F.col("child_keys")))
+
+
+def schema_ids(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The id columns of all tables as a catalog, from their schemas alone."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [
+        (i, table, p, f.name, True)
+        for i, (table, df) in enumerate(tables.items())
+        for p, f in enumerate(df.schema.fields, start=1)
+        if _is_id(f)
+    ]
+    return spark.createDataFrame(
+        rows, "table_idx int, table_name string, position int, column_name string, is_id boolean"
+    )

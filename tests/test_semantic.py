@@ -176,3 +176,66 @@ def test_ingest_sources(spark):
     made, failed = contexts.ingest_sources(registry, open_tables)
     assert failed == {"c": "unreachable"}
     assert {r.id for r in made.collect()} == {"domain_sales_a"}
+
+
+def brute_inclusions(tables):
+    values = {k: {v for v in vs if v is not None} for k, vs in tables.items()}
+    return {
+        (a, b): (len(values[a]), len(values[b]), len(values[a] & values[b]))
+        for a in values
+        for b in values
+        if a != b and values[a] & values[b]
+    }
+
+
+def test_inclusions(spark):
+    parents = [(i, f"p{i}" * 20, float(i)) for i in range(40)]
+    children = [(i % 30 if i % 7 else None, f"p{i % 50}" * 20, i / 2) for i in range(200)]
+    tables = {
+        "p": spark.createDataFrame(parents, "id long, name string, x double").repartition(3),
+        "c": spark.createDataFrame(children, "pid int, name string, y float").repartition(3),
+        "empty": spark.createDataFrame([], "id long"),
+    }
+    columns = {"p": ["id", "name", "x"], "c": ["pid", "name", "y"], "empty": ["id"]}
+    found = profile.inclusions(tables, columns)
+    got = {
+        ((r.from_table, r.from_column), (r.to_table, r.to_column)): (r.from_keys, r.to_keys, r.found_keys)
+        for r in found.collect()
+    }
+    want = {
+        ("p", "id"): [r[0] for r in parents],
+        ("p", "name"): [r[1] for r in parents],
+        ("p", "x"): [r[2] for r in parents],
+        ("c", "pid"): [r[0] for r in children],
+        ("c", "name"): [r[1] for r in children],
+        ("c", "y"): [r[2] for r in children],
+    }
+    assert got == brute_inclusions(want)
+    assert all(r.containment == r.found_keys / r.to_keys for r in found.collect())
+
+
+def test_inclusions_scan_each_table_once(spark, tmp_path):
+    tables = {}
+    for name in "abc":
+        spark.range(50).select("id", (F.col("id") * 2).alias("key"), F.lit(1).alias("x")).write.parquet(f"{tmp_path}/{name}")
+        tables[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    counts = profile.shared_values(tables, {t: ["id", "key", "x"] for t in tables})
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 3
+    # one shuffle of values, one of the counted pairs; combined before both
+    assert plan.count("Exchange hashpartitioning(value") == 1 and plan.count("Exchange") == 2
+    assert {(r.a, r.b): r.shared for r in counts.collect()}[0, 1] == 25
+
+
+def test_containment_of_relationships(spark):
+    tables = {
+        "a": spark.createDataFrame([(1,), (2,), (2,), (None,)], "id long"),
+        "b": spark.createDataFrame([(2,), (3,), (None,)], "a_id int"),
+        "none": spark.createDataFrame([], "a_id int"),
+    }
+    rows = [("a", "id", "b", "a_id"), ("a", "id", "none", "a_id"), ("b", "a_id", "a", "id"), ("a", "id", "b", "a_id")]
+    schema = "from_table string, from_column string, to_table string, to_column string"
+    wanted = spark.createDataFrame(rows, schema)
+    got = {(r.from_table, r.to_table): tuple(r)[4:] for r in profile.containment(wanted, tables).collect()}
+    assert got == {("a", "b"): (2, 1, 0.5), ("a", "none"): (0, 0, None), ("b", "a"): (2, 1, 0.5)}
+    assert profile.containment(wanted.limit(0), tables).count() == 0

@@ -113,10 +113,35 @@ KEY_PAIRS = [
     ),
 )
 def fk_containment(wh):
+    tables = all_tables(wh)
     key = profile.bare_name(F.col("column_name"))
     same = profile.bare_name(F.col("from_column")) == profile.bare_name(F.col("to_column"))
-    pairs = profile.table_relationships(catalog(wh), key).filter(same)
-    return profile.containment(pairs, all_tables(wh))
+    return profile.containment(profile.table_relationships(profile.schema_ids(tables), key).filter(same), tables)
+
+
+ID_COLUMNS = {
+    t: [c for c, kind in schema_columns(t) if kind in INTEGERS and c.endswith(("id", "key"))] for t in TABLES
+}
+
+
+@query(
+    "key_inclusions",
+    f"""WITH v AS ({" UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, {c}::BIGINT AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, cs in ID_COLUMNS.items() for c in cs)}),
+      n AS (SELECT t, c, count(*) AS keys FROM v GROUP BY 1, 2),
+      p AS (SELECT a.t AS at, a.c AS ac, b.t AS bt, b.c AS bc, count(*) AS found
+            FROM v a JOIN v b ON a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY 1, 2, 3, 4)
+      SELECT p.at AS from_table, ac AS from_column, bt AS to_table, bc AS to_column, f.keys AS from_keys,
+        n.keys AS to_keys, found AS found_keys, found / n.keys::DOUBLE AS containment
+      FROM p JOIN n f ON f.t = p.at AND f.c = ac JOIN n ON n.t = bt AND n.c = bc""",
+)
+def key_inclusions(wh):
+    """All pairs of id columns that share keys, from one scan of each table."""
+    tables = all_tables(wh)
+    return profile.inclusions(
+        tables, {t: [f.name for f in df.schema if profile._is_id(f)] for t, df in tables.items()}
+    )
 
 
 def rule_sql(rules, column, default):
