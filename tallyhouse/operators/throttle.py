@@ -170,16 +170,20 @@ def _reachable(links: DataFrame) -> DataFrame:
 def throttle(
     events: DataFrame, key: str, timestamp: str, id: str, max_events: int = 60, gap_seconds: int = 60
 ) -> DataFrame:
-    """The events with a column ``allowed``. Ids are unique; equal times go by id."""
+    """The events with a column ``allowed``. Ids are unique; equal times go by id.
+
+    Events without a key are those of one more key. Events without a time are rejected.
+    """
     gap = gap_seconds * 1_000_000
     reach = (max_events + 1) * gap
     width = BLOCK_REACHES * reach
     exits, passes = _block_functions(max_events, gap, reach, width)
-    key_type = events.schema[key].dataType.simpleString()
-
     time = F.unix_micros(F.col(timestamp).cast("timestamp"))
-    timed = events.withColumns({"_key": F.col(key), "_t": time})
-    runs = cut_lineage(timed.groupBy(F.col("_key").alias("key"), F.col("_t").alias("t")).agg(F.count("*").alias("n")))
+    # a text that is never NULL, so that NULL is a key like others
+    named = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    timed = events.withColumns({"_key": named, "_t": time})
+    known = timed.filter("_t IS NOT NULL")
+    runs = cut_lineage(known.groupBy(F.col("_key").alias("key"), F.col("_t").alias("t")).agg(F.count("*").alias("n")))
 
     # a time belongs to its block, and to the neighbours whose chains or pauses it settles
     block = F.floor(F.col("t") / width).cast("long")
@@ -197,13 +201,13 @@ def throttle(
         return df.repartition("key", "block").sortWithinPartitions("key", "block", "t")
 
     links = by_block(in_blocks).mapInPandas(
-        exits, f"key {key_type}, t long, natural boolean, leave long"
+        exits, "key string, t long, natural boolean, leave long"
     )
     starts = _reachable(links).select(
         "key", "t", F.lit(0).cast("long").alias("n"), block.alias("block"), F.lit(True).alias("start")
     )
     marked = in_blocks.withColumn("start", F.lit(False)).unionByName(starts)
-    allowed = by_block(marked).mapInPandas(passes, f"key {key_type}, t long, allowed long")
+    allowed = by_block(marked).mapInPandas(passes, "key string, t long, allowed long")
     passed = cut_lineage(runs.join(allowed, ["key", "t"]))
 
     # where only some events of one time pass, they are those up to a cut-off id

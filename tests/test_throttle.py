@@ -65,13 +65,27 @@ def test_many_events_at_one_time(spark):
     assert got == {0, 1, 2, 3, 4, 5, 6, 99}
 
 
+def test_null_keys_are_a_key(spark):
+    rows = [(u or None, i, t) for u, i, t in trace(11, 500, ["a", "", "b"], 600)]
+    late = spark.createDataFrame([("a", 9000, None), (None, 9001, None)], SCHEMA)
+    events = spark.createDataFrame(rows, SCHEMA)
+    flagged = throttle(events.unionByName(late), "user_id", "ts", "event_id", 3, 5)
+    got = {r.event_id: r.allowed for r in flagged.collect()}
+    assert not got.pop(9000) and not got.pop(9001)
+    assert got == expected([(u or "", i, t) for u, i, t in rows], 3, 5)
+    numbers = events.withColumn("user_id", F.when(F.col("user_id") == "a", 2**60 + 1).when(F.col("user_id") == "b", 2**60))
+    again = {r.event_id: r.allowed for r in throttle(numbers, "user_id", "ts", "event_id", 3, 5).collect()}
+    assert again == got
+
+
 @pytest.mark.parametrize("lateness", [None, "1 hour"])
 def test_stream_in_several_batches(spark, tmp_path, lateness):
-    rows = sorted(trace(7, 600, ["a", "b"], 900), key=lambda r: (r[2], r[1]))
+    rows = sorted(trace(7, 600, ["a", "b", ""], 900), key=lambda r: (r[2], r[1]))
     folder = str(tmp_path / "in")
     # equal times stay in one file, as a micro-batch is ordered within itself
     cut = START + dt.timedelta(seconds=450)
     for part in ([r for r in rows if r[2] < cut], [r for r in rows if r[2] >= cut]):
+        part = [(u or None, i, t) for u, i, t in part]
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(folder)
     schema = spark.read.parquet(folder).schema
     stream = tables.stream_table(spark, folder, "*.parquet", schema, files_per_trigger=1)
