@@ -6,149 +6,200 @@ event is rejected when ``max_events`` are counted, and otherwise allowed and
 counted.
 
 An event that starts a count is called a start here. What follows a start is
-settled by its times alone: the next ``max_events`` events pass unless a pause
-longer than ``gap`` comes first, and the next start is the first event more than
-``gap`` after the last of them. After a pause longer than ``gap`` there is always
-a start. So events can be looked at in blocks of time, and no task ever holds
-all events of a busy key:
-
-1. Events are counted per key and time.
-2. Each block finds, for every time at which a start may enter it, the time at
-   which the chain of starts leaves it.
-3. Chains are followed over blocks by pointer doubling, in as many rounds as
-   the logarithm of the longest chain; keys that pause need none.
+settled by the events after it alone: the next ``max_events`` events pass unless a
+pause longer than ``gap`` comes first, and the next start is the first event more
+than ``gap`` after the last of them. After a pause longer than ``gap`` there is
+always a start. So the events of a key can be looked at in blocks of so many rows,
+however busy the key is:
+
+1. Events are counted per key and time, ordered by range and numbered, which cuts
+   them into blocks of ``block_rows`` rows. A block also sees the row before it and the
+   ``max_events`` rows after it.
+2. Each block is summarised as a function: for every start that may enter it (and every
+   start after a pause in it) the time from which on the next start leaves the block.
+3. Functions are composed over blocks: the first event after such a time is looked
+   up in its own block, and chains are followed by pointer doubling, in as many rounds
+   as the logarithm of the longest chain of blocks; keys that pause need none.
 4. Each block marks the events that pass, from its known starts on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.session import cut_lineage
 
-# A block is this many times as long as a chain can reach beyond it.
-BLOCK_REACHES = 4
+BLOCK_ROWS = 200_000
 
 
-def _block_functions(max_events: int, gap: int, reach: int, width: int):
-    """The two functions that run over partitions sorted by key, block and time.
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks of a partition that is sorted by block, one by one."""
+    rest: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        block = batch["block"].to_numpy()
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        for part in np.split(np.arange(len(batch)), cuts):
+            rows = batch.iloc[part]
+            if rest and rest[0]["block"].iat[0] != rows["block"].iat[0]:
+                yield pd.concat(rest, ignore_index=True)
+                rest = []
+            rest.append(rows)
+    if rest:
+        yield pd.concat(rest, ignore_index=True)
 
-    All groups of a batch are laid on one time axis, further apart than a
-    pause, so that each step is one array operation. Times are microseconds.
-    Everything the tasks need is defined in here, so it travels with them.
-    """
-    span = width + reach + 4 * gap
 
-    def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Batches of a sorted partition, cut so that no key and block is torn apart.
+class _Block:
+    """The rows of a block and its neighbours', on one axis of time.
 
-        A column ``group`` numbers the groups of a batch.
-        """
-        rest = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            codes, _ = pd.factorize(rows["key"], use_na_sentinel=False)
-            blocks = rows["block"].to_numpy()
-            fresh = np.append(False, (np.diff(codes) != 0) | (np.diff(blocks) != 0))
-            rows = rows.assign(group=np.cumsum(fresh))
-            border = np.flatnonzero(fresh)
-            if len(border):
-                yield rows.iloc[: border[-1]]
-                rest = rows.iloc[border[-1] :].drop(columns="group")
-            else:
-                rest = rows.drop(columns="group")
-        if rest is not None:
-            yield rest.assign(group=0)
-
-    def axis(rows: pd.DataFrame) -> np.ndarray:
-        """Time since shortly before the block, on the common axis."""
-        inside = rows["t"].to_numpy() - rows["block"].to_numpy() * width + gap
-        return rows["group"].to_numpy().astype(np.int64) * span + inside
-
-    def owned(times: np.ndarray) -> np.ndarray:
-        inside = times % span - gap
-        return (inside >= 0) & (inside < width)
-
-    def steps(times: np.ndarray, counts: np.ndarray):
-        """For each time as a start: the last time that passes, and the next start."""
-        total = np.cumsum(counts)
-        before = total - counts
-        size = len(times)
-        pause = np.flatnonzero(np.diff(times) > gap) + 1
-        ends = np.append(pause, size)[np.searchsorted(pause, np.arange(size), side="right")]
-        last = np.searchsorted(total, before + max_events, side="left")
+    On the axis keys follow one another, and gaps of time are no longer than is
+    needed to tell that they are pauses.
+    """
+
+    def __init__(self, rows: pd.DataFrame, max_events: int, gap: int, block_rows: int) -> None:
+        self.t, self.n = rows["t"].to_numpy(), rows["n"].to_numpy()
+        number, size = rows["number"].to_numpy(), len(rows)
+        self.own = number // block_rows == rows["block"].to_numpy()
+        key = rows["key"].to_numpy()
+        same = np.append(False, key[1:] == key[:-1])
+        apart = np.where(same, np.diff(self.t, prepend=self.t[0]), gap + 1)
+        self.axis = np.cumsum(np.minimum(apart, gap + 1))
+        #: Starts whatever came before; the row before a block is not looked at.
+        self.natural = (apart > gap) & (self.own | (number == 0))
+        breaks = np.append(np.flatnonzero(apart > gap), size)
+        ends = breaks[np.searchsorted(breaks, np.arange(size), side="right")]
+        total = np.cumsum(self.n)
+        self.before = total - self.n
+        # the last row that passes after a start at each row, and the next start
+        last = np.searchsorted(total, self.before + max_events, side="left")
         full = last < ends
-        last = np.minimum(last, ends - 1)
-        following = np.searchsorted(times, times[last] + gap, side="right")
-        following = np.where(full & (following < ends), following, -1)
-        return before, last, following
+        self.last = np.minimum(last, ends - 1)
+        following = np.searchsorted(self.axis, self.axis[self.last] + gap, side="right")
+        within = full & (following < ends)
+        inside = within & self.own[np.minimum(following, size - 1)]
+        self.following = np.where(inside, following, -1)
+        # after a pause there is a start anyway; where rows end, they may go on elsewhere
+        self.leaves = full & ~inside & (within | (ends == size))
+        self.after = self.t[self.last] + gap
+        # a run from before the block ends within its first rows; a chain enters by the
+        # first row after a time up to gap after such an end
+        latest = self.axis[min(max_events, size - 1)] + gap
+        entry = np.append(0, self.axis[:-1]) <= latest
+        self.may_enter = self.own & entry & (np.cumsum(~same) == 1)
+
+    def exits(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each row as a start, whether its chain leaves the block, and after when."""
+        at = np.where(self.following >= 0, self.following, np.arange(len(self.t)))
+        while True:
+            further = at[at]
+            if (further == at).all():
+                return self.leaves[at], self.after[at]
+            at = further
+
+
+def _block_functions(max_events: int, gap: int, block_rows: int, firsts: list[tuple[str, int]]):
+    """The functions that run over partitions sorted by block and number."""
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in whole_groups(batches):
-            times, counts = axis(rows), rows["n"].to_numpy()
-            own = owned(times)
-            natural = np.append(True, np.diff(times) > gap) & own
-            _, _, pointer = steps(times, counts)
-            while True:
-                inside = (pointer >= 0) & own[pointer]
-                if not inside.any():
-                    break
-                pointer = np.where(inside, pointer[pointer], pointer)
-            may_enter = own & (times % span - gap < reach)
-            wanted = natural | (may_enter & (pointer >= 0))
-            t = rows["t"].to_numpy()
-            leave = np.where(pointer >= 0, t[pointer], -1)
-            yield pd.DataFrame(
-                {
-                    "key": rows["key"][wanted],
-                    "t": t[wanted],
-                    "natural": natural[wanted],
-                    "leave": leave[wanted],
-                }
-            )
+        for rows in _blocks(batches):
+            block = _Block(rows, max_events, gap, block_rows)
+            leaves, after = block.exits()
+            wanted = block.natural | (block.may_enter & leaves)
+            found = rows.loc[wanted, ["key", "t"]]
+            keys, times = found["key"].to_numpy(), after[wanted]
+            in_block = [
+                bisect_right(firsts, (k, x)) - 1 if leave else -1
+                for k, x, leave in zip(keys, times.tolist(), leaves[wanted])
+            ]
+            yield found.assign(natural=block.natural[wanted], after=times, found_in=in_block)
 
-    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for both in whole_groups(batches):
-            is_start = both["start"].to_numpy()
-            rows = both[~is_start]
-            times, counts = axis(rows), rows["n"].to_numpy()
-            if not len(times):
+    def enters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For times looked for in a block, the time of the first row after them."""
+        for rows in _blocks(batches):
+            asked = rows["number"].to_numpy() < 0
+            if not asked.any():
                 continue
-            own = owned(times)
-            before, last, following = steps(times, counts)
-            at = np.searchsorted(times, np.unique(axis(both[is_start])))
+            stored, sought = rows[~asked], rows[asked]
+            codes, _ = pd.factorize(pd.concat([stored["key"], sought["key"]]))
+            spans = {}
+            code, t = codes[: len(stored)], stored["t"].to_numpy()
+            borders = np.flatnonzero(np.diff(code)) + 1
+            for part in np.split(np.arange(len(code)), borders):
+                if len(part):
+                    spans[code[part[0]]] = (part[0], part[-1] + 1)
+            found = []
+            for k, x in zip(codes[len(stored) :].tolist(), sought["t"].tolist()):
+                start, end = spans.get(k, (0, 0))
+                at = start + np.searchsorted(t[start:end], x, side="right")
+                found.append(int(t[at]) if at < end else None)
+            out = sought[["key"]].assign(after=sought["t"], leave=pd.array(found, dtype="Int64"))
+            yield out[out["leave"].notna()]
+
+    def passes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for both in _blocks(batches):
+            starts = both.loc[both["start"], "number"].to_numpy()
+            rows = both[~both["start"]]
+            block = _Block(rows, max_events, gap, block_rows)
+            at = np.searchsorted(rows["number"].to_numpy(), np.unique(starts))
             while len(at):
-                sizes = last[at] - at + 1
+                sizes = block.last[at] - at + 1
                 first = np.repeat(at, sizes)
                 upto = first + np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                left = before[first] + max_events - before[upto]
+                left = block.before[first] + max_events - block.before[upto]
                 yield pd.DataFrame(
                     {
-                        "key": rows["key"].iloc[upto],
-                        "t": rows["t"].to_numpy()[upto],
-                        "allowed": np.minimum(counts[upto], left),
+                        "key": rows["key"].to_numpy()[upto],
+                        "t": block.t[upto],
+                        "allowed": np.minimum(block.n[upto], left),
                     }
                 )
-                at = following[at]
-                at = at[at >= 0]
-                at = at[own[at]]
+                at = block.following[at]
+                at = np.unique(at[at >= 0])
 
-    return exits, passes
+    return exits, enters, passes
+
+
+def by_block(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    sorted_blocks = df.repartition("block").sortWithinPartitions("block", "number", "t")
+    return sorted_blocks.mapInPandas(function, schema)
+
+
+def _numbered(runs: DataFrame, block_rows: int) -> DataFrame:
+    """``runs`` with a ``number`` by key and time, from 0 without gaps.
+
+    Rows are dealt by range, numbered in their partition, and the partitions' sizes
+    added up; so no task orders a key of its own.
+    """
+    spark = runs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // block_rows))
+    ranged = runs.repartitionByRange(parts, "key", "t").sortWithinPartitions("key", "t")
+    # the number of a row in its partition, below the number of the partition
+    placed = cut_lineage(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = sizes.select("_part", (F.sum("_size").over(before) - F.col("_size")).alias("_start"))
+    inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (
+        placed.join(starts, part == F.col("_part"))
+        .withColumn("number", F.col("_start") + inside)
+        .drop("_place", "_part", "_start")
+    )
 
 
 def _reachable(links: DataFrame) -> DataFrame:
     """Times at which chains enter a block, by pointer doubling."""
     links = cut_lineage(links)
-    entered = links.filter("natural AND leave >= 0").select("key", F.col("leave").alias("t")).distinct()
+    entered = links.filter("natural AND leave IS NOT NULL").select("key", F.col("leave").alias("t")).distinct()
     entered = cut_lineage(entered)
-    jumps = links.filter("leave >= 0").select("key", "t", "leave").distinct()
+    jumps = links.filter("leave IS NOT NULL").select("key", "t", "leave").distinct()
     while not entered.isEmpty():
         further = cut_lineage(
             entered.join(jumps, ["key", "t"])
@@ -168,46 +219,66 @@ def _reachable(links: DataFrame) -> DataFrame:
 
 
 def throttle(
-    events: DataFrame, key: str, timestamp: str, id: str, max_events: int = 60, gap_seconds: int = 60
+    events: DataFrame,
+    key: str,
+    timestamp: str,
+    id: str,
+    max_events: int = 60,
+    gap_seconds: int = 60,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The events with a column ``allowed``. Ids are unique; equal times go by id.
 
     Events without a key are those of one more key. Events without a time are rejected.
+    No task holds more than about ``block_rows`` distinct times of a key at once.
     """
     gap = gap_seconds * 1_000_000
-    reach = (max_events + 1) * gap
-    width = BLOCK_REACHES * reach
-    exits, passes = _block_functions(max_events, gap, reach, width)
+    block_rows = max(block_rows, max_events + 1)
+
     time = F.unix_micros(F.col(timestamp).cast("timestamp"))
     # a text that is never NULL, so that NULL is a key like others
     named = F.concat(F.when(F.col(key).isNull(), "-").otherwise("+"), F.coalesce(F.col(key).cast("string"), F.lit("")))
     timed = events.withColumns({"_key": named, "_t": time})
     known = timed.filter("_t IS NOT NULL")
     runs = cut_lineage(known.groupBy(F.col("_key").alias("key"), F.col("_t").alias("t")).agg(F.count("*").alias("n")))
+    rows = cut_lineage(_numbered(runs, block_rows))
 
-    # a time belongs to its block, and to the neighbours whose chains or pauses it settles
-    block = F.floor(F.col("t") / width).cast("long")
-    offset = F.col("t") - block * width
+    block, place = F.floor(F.col("number") / block_rows), F.col("number") % block_rows
+    firsts = [tuple(r) for r in rows.filter(place == 0).select("key", "t").orderBy("number").collect()]
+    exits, enters, passes = _block_functions(max_events, gap, block_rows, firsts)
+
+    # a row belongs to its block, to the one it comes after, and to the one before
+    # whose last starts it may still be allowed by
     blocks = F.array_compact(
         F.array(
             block,
-            F.when(offset < reach, block - 1),
-            F.when(offset >= width - gap, block + 1),
+            F.when((place < max_events) & (block > 0), block - 1),
+            F.when(place == block_rows - 1, block + 1),
         )
     )
-    in_blocks = runs.withColumn("block", F.explode(blocks))
+    in_blocks = rows.withColumn("block", F.explode(blocks)).select("key", "t", "n", "number", "block")
 
-    def by_block(df: DataFrame) -> DataFrame:
-        return df.repartition("key", "block").sortWithinPartitions("key", "block", "t")
+    def rows_at(times: DataFrame, start: Column) -> DataFrame:
+        return times.select("key", "t", F.lit(0).cast("long").alias("n"), "number", "block", start.alias("start"))
 
-    links = by_block(in_blocks).mapInPandas(
-        exits, "key string, t long, natural boolean, leave long"
+    links = cut_lineage(
+        by_block(in_blocks, exits, "key string, t long, natural boolean, after long, found_in long")
+    )
+    sought = links.filter("found_in >= 0").select(
+        "key",
+        F.col("after").alias("t"),
+        F.lit(0).cast("long").alias("n"),
+        F.lit(-1).cast("long").alias("number"),
+        F.col("found_in").alias("block"),
     )
-    starts = _reachable(links).select(
-        "key", "t", F.lit(0).cast("long").alias("n"), block.alias("block"), F.lit(True).alias("start")
+    entries = by_block(in_blocks.unionByName(sought.distinct()), enters, "key string, after long, leave long")
+    chains = links.join(entries, ["key", "after"], "left").select(
+        "key", "t", "natural", F.when(F.col("found_in") >= 0, F.col("leave")).alias("leave")
     )
+    own_block = rows.withColumn("block", block)
+    starts = rows_at(_reachable(chains).distinct().join(own_block, ["key", "t"]), F.lit(True))
     marked = in_blocks.withColumn("start", F.lit(False)).unionByName(starts)
-    allowed = by_block(marked).mapInPandas(passes, "key string, t long, allowed long")
+    allowed = by_block(marked, passes, "key string, t long, allowed long")
     passed = cut_lineage(runs.join(allowed, ["key", "t"]))
 
     # where only some events of one time pass, they are those up to a cut-off id

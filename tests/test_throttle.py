@@ -44,9 +44,34 @@ def trace(seed, n, users, seconds):
 )
 def test_same_as_one_by_one(spark, seed, n, users, seconds, max_events, gap):
     rows = trace(seed, n, users, seconds)
-    flagged = throttle(spark.createDataFrame(rows, SCHEMA), "user_id", "ts", "event_id", max_events, gap)
-    got = {r.event_id: r.allowed for r in flagged.collect()}
-    assert got == expected(rows, max_events, gap)
+    for block_rows in (7, 200_000):
+        events = spark.createDataFrame(rows, SCHEMA)
+        flagged = throttle(events, "user_id", "ts", "event_id", max_events, gap, block_rows)
+        got = {r.event_id: r.allowed for r in flagged.collect()}
+        assert got == expected(rows, max_events, gap)
+
+
+def test_a_key_with_most_events(spark, monkeypatch):
+    """However dense the events of a key, no block has more rows than its own and its neighbours'."""
+    from tallyhouse.operators import throttle as module
+
+    rng = random.Random(3)
+    rows = [
+        ("hot" if rng.random() < 0.9 else rng.choice("abc"), i, START + dt.timedelta(milliseconds=rng.randrange(90_000)))
+        for i in range(3000)
+    ]
+    sizes, by_block = [], module.by_block
+
+    def measured(df, function, schema):
+        sizes.extend(r["count"] for r in df.filter("number >= 0").groupBy("block").count().collect())
+        return by_block(df, function, schema)
+
+    monkeypatch.setattr(module, "by_block", measured)
+    events = spark.createDataFrame(rows, SCHEMA)
+    flagged = throttle(events, "user_id", "ts", "event_id", 5, 10, 50)
+    assert {r.event_id: r.allowed for r in flagged.collect()} == expected(rows, 5, 10)
+    # own rows, neighbours and starts
+    assert max(sizes) <= 50 + 6 + 50 and len(sizes) > 100
 
 
 def test_hand_timed_trace(spark):
