@@ -289,6 +289,112 @@ def prepare_charts(df: DataFrame, order: list) -> dict[str, DataFrame]:
     return charts or _generic_charts(df, order)
 
 
+def chart_rows(df: DataFrame, order: list) -> DataFrame:
+    """The charts of ``prepare_charts`` in one table: chart, label, (series) and value.
+
+    All charts of sums come out of one scan and one grouping: every row is laid out once
+    for each kind of label, as grouping sets do, and the sums of a label are then dealt
+    to the charts that show them. Charts of first rows share their first rows. Only the
+    growth chart, which has every row, is a scan of its own.
+    """
+    names = [c.lower() for c in df.columns]
+    sums = [c for c in SUM_CHARTS if _applies(names, c[1])]
+    firsts = [c for c in FIRST_ROW_CHARTS if _applies(names, c[1])]
+    parts = []
+    if sums:
+        parts.append(_summed(df, sums))
+    if firsts:
+        first = df.orderBy(*order).limit(max(c[4] for c in firsts))
+        numbered = first.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+        cells = []
+        for name, _, labels, amounts, n in firsts:
+            amount = number_of(df, amounts)
+            amount = in_millions(amount) if name in IN_MILLIONS else amount
+            cells.append(F.when(F.col("_n") <= n, _cell(name, first_truthy(df, labels), amount)))
+        parts.append(numbered.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*"))
+    if _applies(names, [PERIOD]):
+        growth = growth_series(df, order)
+        parts.append(growth.select(_cell("growth", F.col("label"), F.col("revenue")).alias("c")).select("c.*"))
+    if not parts:
+        return _generic_rows(df, order)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _cell(chart: str, label: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(chart).alias("chart"), label.cast("string").alias("label"), value.cast("double").alias("value")
+    )
+
+
+def _summed(df: DataFrame, charts: list) -> DataFrame:
+    kinds, amounts = [], []
+    for _, _, labels, values in charts:
+        kinds += [labels] if labels not in kinds else []
+        amounts += [values] if values not in amounts else []
+    laid_out = [
+        F.struct(F.lit(i).alias("kind"), first_truthy(df, k).cast("string").alias("label")) for i, k in enumerate(kinds)
+    ]
+    totals = (
+        df.select(
+            F.explode(F.array(*laid_out)).alias("_key"),
+            *[F.coalesce(number_of(df, a), F.lit(0)).alias(f"_a{i}") for i, a in enumerate(amounts)],
+        )
+        .groupBy("_key.kind", "_key.label")
+        .agg(*[F.sum(f"_a{i}").alias(f"_a{i}") for i in range(len(amounts))])
+    )
+    cells = [
+        F.when(
+            F.col("kind") == kinds.index(labels), _cell(name, F.col("label"), F.col(f"_a{amounts.index(values)}"))
+        )
+        for name, _, labels, values in charts
+    ]
+    return totals.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
+
+
+def _generic_rows(df: DataFrame, order: list) -> DataFrame:
+    """Bars, pie and grouped bars of the leading categories, out of one aggregation."""
+    kinds = classify_columns(df).orderBy("position").collect()
+    numbers = [k.column_name for k in kinds if k.kind == "numeric"]
+    texts = [k.column_name for k in kinds if k.kind == "string"]
+    if not numbers or not texts:
+        return charts_as_rows(_generic_charts(df, order))
+    shown = numbers[:3]
+    typed = df.select(texts[0], *[number_of(df, [c]).alias(c) for c in shown])
+    known = first_truthy(typed, [texts[0]]).isNotNull()
+    leading = (
+        typed.groupBy(category_or_unknown(typed, texts[0]).alias("label"))
+        .agg(
+            F.sum(F.coalesce(F.col(shown[0]), F.lit(0))).alias("_value"),
+            *[F.coalesce(F.sum(F.when(known, F.col(c))), F.lit(0)).alias(f"_m{i}") for i, c in enumerate(shown)],
+        )
+        .orderBy(F.desc("_value"), "label")
+        .limit(10)
+    )
+    ranked = leading.withColumns(
+        {
+            "_n": F.row_number().over(Window.orderBy(F.desc("_value"), "label")),
+            "_all": F.count("*").over(Window.partitionBy()),
+        }
+    )
+
+    def bar(chart: str, series: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(chart).alias("chart"), series.alias("series"), value.cast("double").alias("value")
+        )
+
+    none = F.lit(None).cast("string")
+    cells = [bar("genericBar", none, F.col("_value")), F.when(F.col("_all") >= 2, bar("genericPie", none, F.col("_value")))]
+    if len(numbers) > 1:
+        cells += [
+            F.when(F.col("_n") <= 5, bar("genericGrouped", F.lit(humanise(c)), F.col(f"_m{i}")))
+            for i, c in enumerate(shown)
+        ]
+    return ranked.select("label", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("label", "c.*")
+
+
 def _generic_charts(df: DataFrame, order: list) -> dict[str, DataFrame]:
     kinds = classify_columns(df).orderBy("position").collect()
     numbers = [k.column_name for k in kinds if k.kind == "numeric"]

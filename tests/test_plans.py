@@ -38,7 +38,7 @@ def test_no_cross_join_and_no_row_functions(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name", ["intent_planner", "match_datasets", "extract_keywords", "sql_policy_audit", "mine_questions", "hash_embed"]
+    "name", ["intent_planner", "extract_keywords", "sql_policy_audit", "mine_questions", "hash_embed"]
 )
 def test_no_shuffle(spark, name):
     assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
@@ -68,3 +68,10 @@ def test_first_join_is_on_aggregated_keys(spark):
     tree = text[: text.index("(1) Scan")]
     join = min(i for i in (tree.find("BroadcastHashJoin"), tree.find("SortMergeJoin")) if i >= 0)
     assert "HashAggregate" in tree[join:]
+
+
+@pytest.mark.parametrize("name,scans", [("chart_set", 2), ("chart_set_channels", 1), ("chart_set_generic", 1)])
+def test_charts_share_their_scan(spark, name, scans):
+    """The growth chart, which has every row, is the second scan of chart_set."""
+    text = plan(QUERIES[name](spark, SF_DIR))
+    assert text[: text.index("(1) Scan")].count("Scan parquet") == scans

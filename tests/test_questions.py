@@ -301,3 +301,26 @@ def test_name_and_id(spark):
     df = texts(spark, uuid, uuid.upper(), uuid + "\n")
     rows = df.orderBy("id").select(policy.id_verdict(F.col("text"))).collect()
     assert [r[0] for r in rows] == ["ok", "bad_format", "bad_format"]
+
+
+def test_guarded_sql_reads_listed_views_only(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.range(5).write.parquet(path)
+    spark.range(7).createOrReplaceTempView("hidden")
+    views = {"Shown": spark.read.parquet(path).withColumnRenamed("id", "n"), "more": spark.range(3)}
+    run = lambda sql: policy.guarded_sql(spark, sql, views).collect()
+    assert len(run("SELECT n FROM shown WHERE n > (SELECT max(id) FROM more) ")) == 2
+    assert len(run("SELECT s.n FROM shown s JOIN more m ON s.n = m.id;")) == 3
+    assert run("SELECT 1 + 1 as two")[0].two == 2
+    refused = [
+        "SELECT * FROM hidden",
+        "SELECT * FROM shown JOIN hidden ON id = n",
+        "SELECT * FROM shown WHERE n IN (SELECT id FROM hidden)",
+        "SELECT (SELECT max(id) FROM hidden) FROM shown",
+        f"SELECT * FROM parquet.`{path}` JOIN shown",
+        "SELECT * FROM range(10)",
+        "SELECT * FROM shown WHERE EXISTS (SELECT 1 FROM hidden WHERE hidden.id = shown.n)",
+    ]
+    for sql in refused:
+        with pytest.raises(PermissionError):
+            run(sql)

@@ -239,6 +239,26 @@ def test_chart_choice(spark, sales):
     assert single["genericBar"].count() == 1 and single["genericPie"].isEmpty()
 
 
+def test_chart_rows_are_the_prepared_charts(spark, sales):
+    tables = [
+        (sales, ["quantity"]),
+        ([("Emma", 10, "F", 1), ("Liam", 9, "M", 2), ("Ava", None, None, 3)], "name string, births int, gender string, rank int"),
+        ([("g%d" % i, "PQ"[i % 2], 1.5, i) for i in range(9)], "game string, platform string, sales double, rank int"),
+        ([("CA", 2500000, 61.5, 1), ("NY", 5, None, 2)], "state string, vaccinated long, percentage double, rank int"),
+        ([(5, 1), (6, 2)], "amount int, rank int"),
+        ([("x", 1)], "kind string, rank int"),
+        ([("k%d" % (i % 12) if i % 5 else None, i, i % 7, 2 * i) for i in range(60)], "kind string, rank int, a int, b int"),
+        ([], "kind string, rank int, a int"),
+    ]
+    for rows, schema in tables:
+        df, order = (rows, schema) if isinstance(schema, list) else (spark.createDataFrame(rows, schema), ["rank"])
+        prepared = charts.charts_as_rows(charts.prepare_charts(df, order))
+        at_once = charts.chart_rows(df, order)
+        columns = [c for c in ("chart", "label", "series", "value") if c in prepared.columns]
+        got = sorted(map(str, at_once.select(*columns).collect()))
+        assert got == sorted(map(str, prepared.select(*columns).collect()))
+
+
 def test_lenient_number(spark):
     texts = [" 12 ", "1e3", ".5", "5.", "1d", "0x1F", "Infinity", "inf", "", None, "1,000", "-2"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")

@@ -773,8 +773,7 @@ def kpi_summary(wh):
        UNION ALL SELECT 'growth', q, CAST(r AS DOUBLE) FROM s""",
 )
 def chart_set(wh):
-    prepared = charts.prepare_charts(quarterly_sales(wh), ["o_orderkey"])
-    return plain(charts.charts_as_rows(prepared).select("chart", "label", "value"))
+    return plain(charts.chart_rows(quarterly_sales(wh), ["o_orderkey"]).select("chart", "label", "value"))
 
 
 @query(
@@ -790,8 +789,7 @@ def chart_set_generic(wh):
     events = wh.table("events").select(
         F.col("event_type").alias("kind"), money("value").alias("cost"), F.col("user_id").alias("who")
     )
-    prepared = charts.prepare_charts(events, ["kind", "cost", "who"])
-    return charts.charts_as_rows(prepared).select("chart", "label", "series", "value")
+    return charts.chart_rows(events, ["kind", "cost", "who"]).select("chart", "label", "series", "value")
 
 
 @query(
@@ -806,7 +804,7 @@ def chart_set_channels(wh):
         F.get_json_object("props", "$.k").alias("messages"),
         F.lit("1").alias("users"),
     )
-    return charts.charts_as_rows(charts.prepare_charts(events, ["channel"])).select("chart", "label", "value")
+    return charts.chart_rows(events, ["channel"]).select("chart", "label", "value")
 
 
 @query(

@@ -481,6 +481,22 @@ def sql_policy_audit(wh):
     return plain(policy.audit(statement_log(wh), "text").drop("text"))
 
 
+@query(
+    "guarded_sql",
+    """SELECT o_orderpriority AS priority, count(*) AS n, CAST(sum(o_totalprice::DECIMAL(18,2)) AS DOUBLE) AS total
+       FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN
+         (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1""",
+)
+def guarded_sql(wh):
+    """A statement over three listed views, through the gate."""
+    statement = """SELECT o_orderpriority AS priority, count(*) AS n,
+            CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN
+          (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY o_orderpriority"""
+    views = {t: wh.table(t) for t in ("orders", "customer", "nation")}
+    return policy.guarded_sql(wh.spark, " ".join(statement.split()), views)
+
+
 @query(
     "sql_request_check",
     f"""WITH {STATEMENT_SQL} SELECT id, CASE WHEN text = '' THEN 'invalid'
