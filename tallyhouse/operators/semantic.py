@@ -331,10 +331,30 @@ def domain_confidence(domain: Column, n_tables: Column, keywords: Column, metric
     return F.greatest(F.lit(0.3), F.least(F.lit(1.0), score))
 
 
-def domain_contexts(catalog: DataFrame, tags: DataFrame | None = None) -> DataFrame:
-    """One context per domain: its tables, vocabulary, glossary, patterns and confidence."""
+def domain_contexts(
+    catalog: DataFrame, tags: DataFrame | None = None, descriptions: DataFrame | None = None
+) -> DataFrame:
+    """One context per domain: its tables, vocabulary, glossary, patterns and confidence.
+
+    ``descriptions`` (table_name, column_name, description) describes columns, and
+    tables where the column name is NULL; they become part of the search text.
+    """
+    if descriptions is None:
+        descriptions = catalog.sparkSession.createDataFrame(
+            [], "table_name string, column_name string, description string"
+        )
+    of_tables = (
+        descriptions.filter("column_name IS NULL").groupBy("table_name").agg(F.min("description").alias("description"))
+    )
+    of_columns = (
+        descriptions.filter("column_name IS NOT NULL")
+        .groupBy("table_name", "column_name")
+        .agg(F.min(F.nullif("description", F.lit(""))).alias("_description"))
+    )
     tables = table_domains(catalog, tags).select("table_idx", "table_name", "tags", "domain")
-    columns = catalog.join(tables.select("table_name", "domain"), "table_name")
+    columns = catalog.join(tables.select("table_name", "domain"), "table_name").join(
+        of_columns, ["table_name", "column_name"], "left"
+    )
     used = columns.filter("is_metric OR is_dimension")
     words = (
         tables.select("domain", F.lower("table_name").alias("w"))
@@ -347,14 +367,21 @@ def domain_contexts(catalog: DataFrame, tags: DataFrame | None = None) -> DataFr
         F.array_sort(F.collect_set(F.when(F.col("is_metric"), F.col("column_name")))).alias("metrics"),
         F.array_sort(F.collect_set(F.when(F.col("is_dimension"), F.col("column_name")))).alias("dimensions"),
     )
-    useful = F.when(F.col("is_metric") | F.col("is_dimension") | F.col("is_id"), F.struct("position", "column_name"))
-    listed = columns.groupBy("domain", "table_idx", "table_name").agg(
-        F.array_sort(F.collect_list(useful))["column_name"].alias("columns")
+    text = F.concat_ws(" ", "column_name", "_description").alias("text")
+    useful = F.when(
+        F.col("is_metric") | F.col("is_dimension") | F.col("is_id"), F.struct("position", "column_name", text)
+    )
+    listed = (
+        columns.groupBy("domain", "table_idx", "table_name")
+        .agg(F.array_sort(F.collect_list(useful)).alias("_useful"))
+        .withColumns({"columns": F.col("_useful.column_name"), "column_texts": F.col("_useful.text")})
     )
+    table = F.struct("table_idx", "table_name", "description", "tags", "columns", "column_texts")
     grouped = (
         listed.join(tables.select("table_name", "tags"), "table_name")
+        .join(of_tables, "table_name", "left")
         .groupBy("domain")
-        .agg(F.array_sort(F.collect_list(F.struct("table_idx", "table_name", "tags", "columns"))).alias("tables"))
+        .agg(F.array_sort(F.collect_list(table)).alias("tables"))
         .withColumn("n_tables", F.size("tables"))
     )
     domain = F.col("domain")
@@ -390,10 +417,14 @@ def search_text(contexts: DataFrame, with_columns: bool = True) -> DataFrame:
 
     if with_columns:
         names = [F.concat_ws(" ", "metrics"), F.concat_ws(" ", "dimensions")]
-        table = lambda t: F.concat_ws(" ", t["table_name"], t["tags"], t["columns"])
+        table = lambda t: F.concat_ws(
+            " ", t["table_name"], F.nullif(t["description"], F.lit("")), t["tags"], t["column_texts"]
+        )
     else:
         names = []
-        table = lambda t: F.concat_ws(" ", t["table_name"], t["tags"])
+        table = lambda t: F.concat_ws(
+            " ", t["table_name"], F.nullif(t["description"], F.lit("")), t["tags"]
+        )
     parts = [
         F.col("domain"),
         F.col("description"),

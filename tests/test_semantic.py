@@ -239,3 +239,57 @@ def test_containment_of_relationships(spark):
     got = {(r.from_table, r.to_table): tuple(r)[4:] for r in profile.containment(wanted, tables).collect()}
     assert got == {("a", "b"): (2, 1, 0.5), ("a", "none"): (0, 0, None), ("b", "a"): (2, 1, 0.5)}
     assert profile.containment(wanted.limit(0), tables).count() == 0
+
+
+def test_described_tables_and_columns(spark, catalog, tags):
+    rows = [
+        ("orders", None, "Customer order transactions"),
+        ("orders", "total_amount", "What was paid"),
+        ("orders", "status", ""),
+        ("products", "price", "List price"),
+        ("gone", "x", "nothing"),
+    ]
+    described = spark.createDataFrame(rows, "table_name string, column_name string, description string")
+    made = semantic.domain_contexts(catalog, tags, described)
+    texts = {r.domain: r.search_text for r in semantic.search_text(made).collect()}
+    assert "orders Customer order transactions sales orders revenue transactions order_id" in texts["sales"]
+    assert "total_amount What was paid status" in texts["sales"] and "price List price" in texts["product"]
+    short = {r.domain: r.search_text for r in semantic.search_text(made, with_columns=False).collect()}
+    assert "Customer order transactions" in short["sales"] and "What was paid" not in short["sales"]
+
+
+def test_contexts_survive_the_store(spark, catalog, tags, tmp_path):
+    made = semantic.domain_contexts(catalog, tags)
+    want = {r.domain: r for r in made.collect()}
+    store = contexts.ContextStore(spark, str(tmp_path / "store"))
+    assert store.vectors() is None
+    for source in ("shop", "other"):
+        store.replace(contexts.context_vectors(made, source, F.lit("2024-05-01 10:00:00")), [source])
+    back = {r.domain: r for r in store.contexts("domains_shop").collect()}
+    assert set(back) == set(want)
+    for domain, row in back.items():
+        for member in ("description", "keywords", "metrics", "dimensions", "tables", "glossary", "patterns", "confidence"):
+            assert row[member] == want[domain][member]
+        assert row.table_names == [t.table_name for t in want[domain].tables]
+        assert row.business_tags == [g for t in want[domain].tables for g in t.tags]
+        assert str(row.updated_at) == "2024-05-01 10:00:00" and row.auto_generated
+
+
+def test_sources_are_replaced_whole(spark, catalog, tags, tmp_path):
+    made = semantic.domain_contexts(catalog, tags)
+    store = contexts.ContextStore(spark, str(tmp_path / "store"))
+    both = contexts.context_vectors(made, "a").unionByName(contexts.context_vectors(made, "b"))
+    store.replace(both, ["a", "b"])
+    assert store.vectors().count() == 12
+    # a keeps one context, b loses all; c is not named and stays out
+    less = contexts.context_vectors(made.filter("domain = 'sales'"), "a")
+    store.replace(less.unionByName(contexts.context_vectors(made, "c")), ["a", "b"])
+    assert {(r.source, r.id) for r in store.vectors().select("source", "id").collect()} == {("a", "domain_sales_a")}
+    assert {(r.source, r.version, r.contexts) for r in store.versions().collect()} == {("a", 2, 2), ("b", 2, 0)}
+    # a replacement that broke off before its number was noted is not seen
+    both.withColumns({"source": F.lit("a"), "written": F.lit("lost")}).write.mode("append").partitionBy(
+        "source", "written"
+    ).parquet(str(tmp_path / "store" / "vectors"))
+    assert store.vectors().count() == 2
+    store.replace(both, ["a"])
+    assert store.vectors().count() == 6

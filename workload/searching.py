@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from tallyhouse.operators import semantic, vectors
 from tallyhouse.operators.contexts import (
     DESCRIPTIONS,
+    ContextStore,
     classify_questions,
     context_vectors,
     contexts_from_vectors,
     predefined_texts,
 )
 from tallyhouse.operators.questions import BUSINESS_KEYWORDS, SEMANTIC_INTENTS
+from tallyhouse.session import run_folder
 from workload.base import plain, query
 from workload.modelling import CATALOG_SQL, CONFIDENCE_SQL, CONTEXT_SQL, RICH_SQL, catalog
 from workload.understanding import QUESTION_SQL, question_log, rules_sql
@@ -240,4 +242,50 @@ def domain_context_vectors(wh):
     """Domain contexts of all tables, stored as vectors and read back."""
     stored = context_vectors(semantic.domain_contexts(catalog(wh)), "warehouse")
     common = stored.filter((F.col("collection") == "domain_contexts") & (F.size("embedding") == 384))
-    return plain(contexts_from_vectors(common))
+    back = contexts_from_vectors(common)
+    return plain(back.select("id", "domain", "description", "confidence", "keywords", "auto_generated"))
+
+
+@query(
+    "context_store",
+    f"""WITH {CATALOG_SQL}, {RICH_SQL}, {CONTEXT_SQL},
+      listed AS (SELECT domain, string_agg(table_name, '|' ORDER BY table_idx) AS table_names FROM tables GROUP BY 1),
+      made AS (SELECT CAST(max(o_orderdate) AS VARCHAR) AS updated_at FROM orders)
+      SELECT 'domain_' || domain || '_' || source AS id, source, v AS version, domain, description, keywords,
+        metrics, dimensions, table_names, updated_at,
+        CASE domain {" ".join(f"WHEN '{d}' THEN '{'|'.join(t for t, _, _ in g)}'" for d, g in semantic.GLOSSARY.items())} ELSE '' END AS terms,
+        concat_ws('|', CASE domain {" ".join(f"WHEN '{d}' THEN '{p[0]}'" for d, p in semantic.QUERY_PATTERNS.items())} END,
+          CASE WHEN nm > 0 THEN domain || ' trend analysis' END) AS patterns
+      FROM sized JOIN listed USING (domain), made, (VALUES ('sales', 1), ('stock', 2)) s(source, v)""",
+)
+def context_store(wh):
+    """Contexts of two sources, one of them replaced once, read back from the store."""
+    made = semantic.domain_contexts(catalog(wh))
+    # the catalog is small, the tables it was made of are not: they are scanned once
+    made = made.sparkSession.createDataFrame(made.collect(), made.schema)
+    when = wh.table("orders").agg(F.max("o_orderdate")).first()[0]
+    store = ContextStore(wh.spark, run_folder(wh.spark, "contexts"))
+    vectors_of = {s: context_vectors(made, s, F.lit(str(when))) for s in ("sales", "stock")}
+    store.replace(vectors_of["stock"].limit(1), ["stock"])
+    store.replace(vectors_of["sales"].unionByName(vectors_of["stock"]), ["sales", "stock"])
+    numbers = store.versions().select("source", "version")
+    own = store.vectors().filter(F.col("collection") != "domain_contexts")
+    back = contexts_from_vectors(own)
+    return plain(
+        back.withColumn("source", F.regexp_extract("id", "_([a-z]+)$", 1))
+        .join(numbers, "source")
+        .select(
+            "id",
+            "source",
+            "version",
+            "domain",
+            "description",
+            "keywords",
+            "metrics",
+            "dimensions",
+            "table_names",
+            F.col("updated_at").cast("timestamp_ntz").alias("updated_at"),
+            F.col("glossary.term").alias("terms"),
+            F.col("patterns.pattern").alias("patterns"),
+        )
+    )
