@@ -214,10 +214,13 @@ def route_queries(
     return direct.unionByName(by_words(rest))
 
 
-def route_by_intent(df: DataFrame, key: str, intent: str, action: str, sources: DataFrame) -> DataFrame:
+def route_by_intent(
+    df: DataFrame, key: str, intent: str, action: str, sources: DataFrame, requested: str | None = None
+) -> DataFrame:
     """Sources for each question, chosen by its planner intent.
 
-    Priority 0 is asked before priority 1.
+    Priority 0 is asked before priority 1. Questions that request connected sources
+    get these alone; those that request none, or none that is connected, go by intent.
     """
     types = _active_types(sources)
     kind, act = F.col(intent), F.lower(F.col(action))
@@ -232,4 +235,8 @@ def route_by_intent(df: DataFrame, key: str, intent: str, action: str, sources:
             .otherwise(0)
         )
 
-    return _expand(df, key, priority, types, sources)
+    if requested is None:
+        return _expand(df, key, priority, types, sources)
+    pairs, rest = _split_by_request(df, key, requested, _connected(sources))
+    direct = pairs.select(key, "source_id", "type", F.lit(0).alias("priority"))
+    return direct.unionByName(_expand(rest, key, priority, types, sources))

@@ -66,6 +66,8 @@ class QuerySpec:
     aggregations: list[Aggregation] = field(default_factory=list)
     sort_by: list[Sort] = field(default_factory=list)
     limit: int | None = None
+    #: ``table`` (rows as they are) or ``json``, ``csv``: one column ``row`` of text.
+    output_format: str = "table"
 
 
 OPERATORS = {
@@ -196,4 +198,16 @@ def run_spec(tables: Mapping[str, DataFrame], spec: QuerySpec) -> DataFrame:
         )
     if spec.limit is not None:
         df = df.limit(spec.limit)
-    return df
+    return laid_out(df, spec.output_format)
+
+
+def laid_out(df: DataFrame, output_format: str) -> DataFrame:
+    """The rows in an output format; a format that is not known is an error."""
+    row = F.struct("*")
+    if output_format in ("", "table"):
+        return df
+    if output_format == "json":
+        return df.select(F.to_json(row, {"ignoreNullFields": "false"}).alias("row"))
+    if output_format == "csv":
+        return df.select(F.to_csv(row).alias("row"))
+    raise ValueError(f"unknown output format {output_format}")

@@ -20,6 +20,13 @@ def list_sources(
     return registry.orderBy(F.col("created_at").desc(), "id")
 
 
+def source_by_id(registry: DataFrame, wanted: DataFrame, id: str) -> DataFrame:
+    """``wanted`` with ``source``, the registry's row of the id in column ``id``, as a
+    struct; NULL where there is no such source."""
+    rows = registry.groupBy(F.col("id").alias("_id")).agg(F.first(F.struct(*registry.columns)).alias("source"))
+    return wanted.join(rows, F.col(id) == F.col("_id"), "left").drop("_id")
+
+
 def validate_sources(registry: DataFrame) -> DataFrame:
     """Add ``valid`` and ``problem`` according to the rules of each source type."""
 

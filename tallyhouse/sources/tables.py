@@ -27,10 +27,12 @@ class Warehouse:
         return self._opened[name]
 
     def find(self, name: str) -> DataFrame | None:
-        """The table, or None when it does not exist."""
+        """The table, or None when it does not exist; other errors are errors."""
         try:
             return self.table(name)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def register(self, names: Iterable[str] | None = None) -> None:
@@ -119,6 +121,11 @@ def explode_chart_payload(payloads: DataFrame, column: str, row_type: str) -> Da
     )
 
 
+def _like(character: str) -> str:
+    """A character of a LIKE pattern as a regular expression."""
+    return {"%": ".*", "_": "."}.get(character) or re.escape(character)
+
+
 def column_listing(
     tables: Mapping[str, DataFrame],
     hidden: tuple[str, ...] = ("pg_%", "sql_%"),
@@ -127,10 +134,14 @@ def column_listing(
     """One row per column: table, column, position, type and non-null count.
 
     The listing itself comes from schemas alone. The counts are one pass per
-    table, aggregated before the columns are laid out as rows.
+    table, aggregated before the columns are laid out as rows. Hidden tables are not
+    read.
     """
+    shapes = [re.compile("".join(_like(c) for c in p), re.DOTALL) for p in hidden]
     frames = []
     for name, df in tables.items():
+        if any(s.fullmatch(name) for s in shapes):
+            continue
         fields = df.schema.fields
         counts = df.selectExpr(*[f"count(`{f.name}`) AS n{i}" for i, f in enumerate(fields)])
         cells = [
@@ -139,8 +150,8 @@ def column_listing(
             for i, f in enumerate(fields)
         ]
         frames.append(counts.selectExpr(f"inline(array({', '.join(cells)}))"))
+    if not frames:
+        raise ValueError("all tables are hidden")
     listing = reduce(DataFrame.unionAll, frames)
-    for pattern in hidden:
-        listing = listing.filter(~F.col("table_name").like(pattern))
     listing = listing.orderBy("table_name", "ordinal_position")
     return listing if limit is None else listing.limit(limit)

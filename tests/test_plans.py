@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 import __spark_entry__ as contract
-from tallyhouse.plans.spec import Filter, QuerySpec, run_spec
+from tallyhouse.plans.spec import Filter, QuerySpec, Sort, run_spec
 from tallyhouse.sources.tables import Warehouse
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -63,6 +63,17 @@ def test_spec_dates_reach_the_scan(spark):
         assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan(df)
 
 
+def test_output_formats(spark):
+    rows = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
+    spec = lambda form: QuerySpec(["rows"], sort_by=[Sort("n")], output_format=form)
+    texts = {f: [r[0] for r in run_spec({"rows": rows}, spec(f)).collect()] for f in ("table", "json", "csv")}
+    assert texts["table"] == [1, 2]
+    assert texts["json"] == ['{"n":1,"t":"a,b"}', '{"n":2,"t":null}']
+    assert texts["csv"] == ['1,"a,b"', "2,"]
+    with pytest.raises(ValueError):
+        run_spec({"rows": rows}, spec("chart"))
+
+
 def test_first_join_is_on_aggregated_keys(spark):
     text = plan(QUERIES["product_line_revenue"](spark, SF_DIR))
     tree = text[: text.index("(1) Scan")]

@@ -324,3 +324,36 @@ def test_guarded_sql_reads_listed_views_only(spark, tmp_path):
     for sql in refused:
         with pytest.raises(PermissionError):
             run(sql)
+
+
+def test_requested_sources_come_before_the_intent(spark):
+    known = sources(spark, ("bi", "superset", "connected"), ("db", "postgres", "connected"), ("old", "postgres", "error"))
+    planned = questions.planner_intent(texts(spark, "plot chart", "select from x", "select from x"), "text")
+    wanted = planned.withColumn(
+        "want", F.when(F.col("id") == 1, F.array(F.lit("bi"))).when(F.col("id") == 2, F.array(F.lit("old")))
+    )
+    rows = routing.route_by_intent(wanted, "id", "intent", "main_action", known, "want").collect()
+    assert {(r.id, r.source_id, r.priority) for r in rows} == {(0, "bi", 0), (0, "db", 1), (1, "bi", 0), (2, "db", 0)}
+
+
+def test_source_by_id(spark):
+    from tallyhouse.sources.registry import source_by_id
+
+    known = sources(spark, ("bi", "superset", "connected"), ("db", "postgres", "error"))
+    wanted = spark.createDataFrame([(1, "db"), (2, "gone"), (3, None)], "n int, want string")
+    got = {r.n: r.source for r in source_by_id(known, wanted, "want").collect()}
+    assert got[1].type == "postgres" and got[2] is None and got[3] is None
+
+
+def test_hidden_and_broken_tables(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from tallyhouse.sources.tables import Warehouse, column_listing
+
+    (tmp_path / "broken.parquet").mkdir()
+    assert Warehouse(spark, str(tmp_path)).find("gone") is None
+    with pytest.raises(AnalysisException):
+        Warehouse(spark, str(tmp_path)).find("broken")
+    failing = spark.range(3).select(F.raise_error(F.lit("read")).alias("x"))
+    listed = column_listing({"pg_x": failing, "shop": spark.range(2), "sql_a": failing})
+    assert [(r.table_name, r.n_nonnull) for r in listed.collect()] == [("shop", 2)]

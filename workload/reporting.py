@@ -609,6 +609,15 @@ def spec_join_left(wh):
     return run_spec(spec_tables(wh), join_spec("LEFT"))
 
 
+@query(
+    "spec_join_right",
+    """SELECT c_mktsegment, count(*) AS n, count(o_orderkey) AS with_order
+       FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1""",
+)
+def spec_join_right(wh):
+    return run_spec(spec_tables(wh), join_spec("RIGHT"))
+
+
 @query(
     "spec_join_full",
     """SELECT c_mktsegment, count(*) AS n, count(o_orderkey) AS with_order
