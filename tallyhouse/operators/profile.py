@@ -94,26 +94,31 @@ def _maybe_unique(f: T.StructField) -> bool:
 def _exact_counts(columns: list[tuple[str, str, DataFrame, T.DataType]]) -> dict:
     """Exact number of distinct values and of rows of the most frequent value.
 
-    Long text is grouped by its SHA-256 digest, which is what is shuffled.
+    The columns of a table are counted together: its values are tagged with their
+    column and grouped once. Long text is grouped by its SHA-256 digest, which is what
+    is shuffled.
     """
-    frames = []
+    cells: dict[str, list[str]] = {}
+    sources = {}
     for table, name, df, kind in columns:
         value = _column(name)
         if isinstance(kind, T.StringType):
             value = f"CASE WHEN length({value}) > 32 THEN sha2({value}, 256) ELSE {value} END"
-        frames.append(
-            df.selectExpr(f"{value} AS v")
-            .filter("v IS NOT NULL")
-            .groupBy("v")
-            .count()
-            .selectExpr(
-                f"{_quoted(table)} AS table_name",
-                f"{_quoted(name)} AS column_name",
-                "count(*) AS n_distinct",
-                "max(count) AS most",
-            )
-        )
-    return {(r.table_name, r.column_name): (r.n_distinct, r.most or 0) for r in _gather(frames)}
+        sources[table] = df
+        cells.setdefault(table, []).append(f"struct({_quoted(name)} AS c, CAST({value} AS string) AS v)")
+    frames = [
+        sources[table]
+        .selectExpr(f"inline(array({', '.join(of_table)}))")
+        .filter("v IS NOT NULL")
+        .groupBy("c", "v")
+        .count()
+        .groupBy("c")
+        .agg(F.count("*").alias("n_distinct"), F.max("count").alias("most"))
+        .select(F.lit(table).alias("t"), "*")
+        for table, of_table in cells.items()
+    ]
+    found = {(t, name): (0, 0) for t, name, _, _ in columns}
+    return found | {(r.t, r.c): (r.n_distinct, r.most) for r in _gather(frames)}
 
 
 def _smallest(
