@@ -7,14 +7,27 @@ Its word n-grams are hashed into a sparse vector, from which a multinomial
 logistic regression tells the licence family or "unknown". It learns from parts
 of the templates (families) and from paragraphs of the corpus (unknown). Its
 softmax is tempered, and the least score of a family set, on paragraphs kept
-back from learning. A prediction counts once the template of its family agrees.
+back from learning. A prediction counts once the template of its family agrees,
+and the words agree that tell the family from its kin.
+
+Only text that can agree is scored: a paragraph that holds the asked share of a
+template's pairs holds one of a few long words of that template (``required_words``).
+Documents without any are done after one look at their text, with the same result.
 
 Everything is a row of its own until a document's few hits are gathered, so a
-hot source needs no care. Null texts are empty ones and have no paragraphs.
+hot source needs no care.
+
+- Null texts are empty ones and have no paragraphs; an empty table has no rows.
+- Ids may be null or repeated: every row has a result, by a number that is given once.
+- Of families of equal score the first by name is told.
+- Very long lines are windows; very long texts are split in one go by the row.
+- Equal texts are one in the sample that is learnt from, however often they occur.
+- Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -49,6 +62,14 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     ],
+    "AGPL": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+    ],
     "LGPL": [
         "This library is licensed under the GNU Lesser General Public License.",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
@@ -74,6 +95,10 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
     "CC0": [
         "Dedicated to the public domain under CC0 1.0.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
@@ -85,15 +110,36 @@ TEMPLATES = {
 }
 
 
+# Words that a paragraph of a family has (one of them), or has not.
+NEEDED = {
+    "AGPL": ["affero"],
+    "LGPL": ["lesser"],
+    "CC-BY-NC-SA": ["by-nc-sa", "attribution-noncommercial-sharealike"],
+    "CC-BY-NC": ["by-nc", "attribution-noncommercial"],
+    "CC-BY-SA": ["by-sa", "attribution-sharealike"],
+    "CC-BY": ["by", "attribution"],
+}
+# Words that are common in any prose; they only decide which words are looked for first.
+EVERYDAY = set(
+    "a above all an and any appear are be by can charge conditions copy extent following for free from general "
+    "has in included international is it its law may met name no nor not of on or part possible prior products "
+    "program provided public purpose related required shall source subject terms that the this to under use "
+    "used v version with without work writing written you".split()
+)
+EXCLUDED = {"GPL": ["affero", "lesser", "library"]}
+
+
 @dataclass(frozen=True)
 class Settings:
-    """``paragraphs``: about so many paragraphs of the corpus are learnt from.
+    """``documents``: about so many distinct texts of the corpus are looked at,
+    ``paragraphs``: about so many distinct paragraphs of theirs are learnt from.
     ``false_share``: unknown paragraphs that may score as a family.
     ``agreement``: least share of a template's n-grams that a paragraph holds."""
 
     bits: int = 12
     window: int = 200
     overlap: int = 40
+    documents: int = 20_000
     paragraphs: int = 10_000
     false_share: float = 0.001
     agreement: float = 0.6
@@ -130,13 +176,49 @@ def ngrams(words: Column) -> Column:
     return F.concat(words, runs(2), runs(3))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """(doc_id, row, text) of every row; a text that can hold no notice is null.
+
+    Written, so that the numbers are given once and the texts looked at once.
+    """
+    text = F.when(may_agree(F.col("text"), settings), F.col("text"))
+    rows = texts(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    return written(rows, "license-rows")
+
+
+def required_words(share: float) -> list[str]:
+    """Words of which every paragraph has one that holds the share of a template's pairs.
+
+    Of a template's n pairs at least share * n are held, so at most the others are
+    not; words that occur in more pairs than that cannot all be missing. Long words
+    that are not of every day are taken first.
+    """
+    chosen = set()
+    for notices in TEMPLATES.values():
+        for words in map(template_words, notices):
+            pairs = set(zip(words, words[1:]))
+            missing, covered = len(pairs) - math.ceil(share * len(pairs)), set()
+            for word in sorted(set(words), key=lambda w: (w in EVERYDAY, -len(w), w)):
+                if len(covered) > missing:
+                    break
+                chosen.add(word)
+                covered |= {p for p in pairs if word in p}
+    return sorted(chosen)
+
+
+def may_agree(text: Column, settings: Settings) -> Column:
+    """Whether the text has one of the required words (or begins a word with one)."""
+    words = "|".join(re.escape(w) for w in required_words(settings.agreement))
+    return F.lower(text).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})")
+
+
+def paragraphs(rows: DataFrame, settings: Settings, prune: bool = False) -> DataFrame:
     """(doc_id, row, block, whole, words) of every block of lines and every line,
-    or window of one. ``whole`` tells blocks of several lines."""
+    or window of one, of rows (doc_id, row, text). ``whole`` tells blocks of several
+    lines. With ``prune`` those that can agree with no template are left out."""
     step = settings.window - settings.overlap
     blocks = (
-        texts(docs, id_col, text_col)
-        .withColumn("row", F.monotonically_increasing_id())
+        rows.filter(F.col("text").isNotNull())
         .select("doc_id", "row", F.posexplode(F.split("text", BETWEEN)).alias("block", "lines"))
         .withColumn("of", F.filter(F.split("lines", LINE_END), lambda x: x.rlike(r"[\p{L}\p{N}]")))
     )
@@ -149,6 +231,7 @@ def paragraphs(docs: DataFrame, id_col: str, text_col: str, settings: Settings)
             "block",
             F.explode(F.when(F.size("of") > 1, F.concat(joined, several)).otherwise(several)).alias("l"),
         )
+        .filter(may_agree(F.col("l.line"), settings) if prune else F.lit(True))
         .select("doc_id", "row", "block", "l.whole", words_of(F.col("l.line")).alias("words"))
         .filter(F.size("words") > 0)
     )
@@ -211,6 +294,17 @@ def agreement(pairs: Column, family: str) -> Column:
     return F.greatest(F.lit(0.0), *shares)
 
 
+def fits(words: Column, family: str) -> Column:
+    """Whether the words are those that tell the family from its kin."""
+    needed, excluded = NEEDED.get(family, []), EXCLUDED.get(family, [])
+    test = F.lit(True)
+    if needed:
+        test = test & F.arrays_overlap(words, F.array(*[F.lit(w) for w in needed]))
+    if excluded:
+        test = test & ~F.arrays_overlap(words, F.array(*[F.lit(w) for w in excluded]))
+    return test
+
+
 def surprise(raw: Column, of: Column, temperature: float) -> Column:
     """Minus the logarithm of the tempered softmax of one raw score."""
     powers = F.aggregate(raw, F.lit(0.0), lambda total, x: total + F.exp((x - of) / temperature))
@@ -231,10 +325,19 @@ def train(
     families = tuple(sorted(TEMPLATES)) + (UNKNOWN,)
     index = F.create_map(*[x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i)))])
     spark = docs.sparkSession
-    rows = paragraphs(docs, id_col, text_col, settings)
-    place = F.pmod(F.xxhash64("words"), F.lit(1 << 30)) / float(1 << 30)
-    n = rows.count()
-    sample = rows.filter(place < min(1.0, settings.paragraphs / max(n, 1))).select("words")
+
+    def sampled(rows: DataFrame, value: str, most: int) -> DataFrame:
+        """About ``most`` of the distinct values, whatever the number of their copies."""
+        hashed = rows.withColumn("_hash", F.xxhash64(value))
+        n = hashed.agg(F.approx_count_distinct("_hash")).first()[0]
+        part = hashed.filter(F.pmod("_hash", F.lit(1 << 30)) < int(min(1.0, most / max(n, 1)) * (1 << 30)))
+        return part.groupBy("_hash").agg(F.first(value).alias(value)).drop("_hash")
+
+    chosen = sampled(texts(docs, id_col, text_col).select("text"), "text", settings.documents)
+    nothing = F.lit(None)
+    chosen = chosen.select(nothing.cast("string").alias("doc_id"), nothing.cast("long").alias("row"), "text")
+    chosen = written(chosen, "license-sample")
+    sample = sampled(paragraphs(chosen, settings).select("words"), "words", settings.paragraphs)
     held = F.greatest(F.lit(0.0), *[agreement(F.col("pairs"), f) for f in families[:-1]])
     unknown = with_pairs(sample).filter(held < 1 / 3).select(F.lit(UNKNOWN).alias("family"), "words")
     # words alone, so that an unknown class exists in a corpus without paragraphs
@@ -276,9 +379,13 @@ def train(
 def scan_paragraphs(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Every paragraph with its family, score and agreement; ``confirmed`` where
-    the template agrees with a family that scores enough."""
-    rows = with_features(paragraphs(docs, id_col, text_col, model.settings), model.settings)
+    """Every paragraph that may agree with a template, with its family, score and
+    agreement; ``confirmed`` where the template agrees with a family that scores enough."""
+    return _scored(numbered(docs, id_col, text_col, model.settings), model)
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    rows = with_features(paragraphs(rows, model.settings, prune=True), model.settings)
     n = len(model.families) - 1
     names = F.array(*[F.lit(f) for f in model.families])
     told = F.struct(
@@ -297,7 +404,8 @@ def scan_paragraphs(
     )
     agreed = F.lit(0.0)
     for name in model.families[:-1]:
-        agreed = F.when(F.col("family") == name, agreement(F.col("pairs"), name)).otherwise(agreed)
+        own = F.when(fits(F.col("words"), name), agreement(F.col("pairs"), name)).otherwise(0.0)
+        agreed = F.when(F.col("family") == name, own).otherwise(agreed)
     hits = with_pairs(scored).withColumn("agreement", agreed).drop("pairs")
     return hits.withColumn("confirmed", F.col("agreement") >= model.settings.agreement)
 
@@ -306,9 +414,10 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: number of confirmed paragraphs, families, and
     the highest score and agreement of those. A block counts for a family if none
     of its lines does."""
+    rows = numbered(docs, id_col, text_col, model.settings)
     lines, wholes = F.count_if(~F.col("whole")), F.count_if("whole")
     hits = (
-        scan_paragraphs(docs, model, id_col, text_col)
+        _scored(rows, model)
         .filter("confirmed")
         .groupBy("row", "block", "family")
         .agg(
@@ -324,10 +433,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             F.max("agreement").alias("agreement"),
         )
     )
-    everyone = texts(docs, id_col, text_col).select(
-        "doc_id", F.monotonically_increasing_id().alias("row")
-    )
-    return everyone.join(hits, "row", "left").select(
+    return rows.select("doc_id", "row").join(hits, "row", "left").select(
         "doc_id",
         F.coalesce("n_license", F.lit(0)).alias("n_license"),
         F.coalesce("families", F.lit("")).alias("families"),
