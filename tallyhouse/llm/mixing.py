@@ -7,12 +7,14 @@ their targets, by projected gradient steps on
 
     1/2 sum_d (share_d(r) - target_d)^2 / share_d(1) + ridge/2 sum_i w_i (r_i - 1)^2
 
-with w the documents' shares of the tokens. Measured in w, a document's
-gradient is a function of its p alone, so that a rate is computed in the row
-from the domains' residuals of all steps so far: a step is one aggregation,
-which every task combines before a handful of rows are shuffled.
-
-The driver holds the residuals of the steps, a lexicon of bounded size and the
+with w the documents' shares of the tokens. Measured in w, a document's gradient
+is a function of its p alone, and all steps so far add up to one pull per domain:
+r = max(0, 1 - pull . p). Steps are scaled by the Gram matrix of the documents still
+above 0, which makes them few (about seven); a step that does not bring the targets
+nearer is halved. Each is one aggregation, which every task combines before a handful
+of rows are shuffled.
+
+The driver holds the pulls, a Gram matrix of the domains, a lexicon of bounded size and the
 classifier. Without labels of two domains every chance is the domain's share of
 the labels, or an even one without any. A target of a domain that no document
 can belong to is given up, and the others are scaled up. Documents without
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,18 +50,18 @@ def label_domain(quality: Column, toxic: Column) -> Column:
 @dataclass(frozen=True)
 class Settings:
     """``labelled``: about so many labelled documents are learnt from.
-    ``lexicon``: words kept for each domain. ``replayed``: rates are written
-    after so many steps."""
+    ``lexicon``: words kept for each domain. ``ridge``: weight of rates near 1; small,
+    so that targets that can be met are, and rates stay finite where they cannot.
+    ``steps``: a guard against endless loops, far above what is needed."""
 
     labelled: int = 10_000
     lexicon: int = 100
     least_documents: int = 3
     penalty: float = 1e-3
     iterations: int = 25
-    steps: int = 40
-    replayed: int = 6
-    ridge: float = 1e-3
-    tolerance: float = 1e-4
+    steps: int = 200
+    ridge: float = 1e-6
+    tolerance: float = 1e-6
 
 
 def with_words(rows: DataFrame) -> DataFrame:
@@ -179,35 +182,17 @@ def posteriors(
     return scored.select(*kept, "n_tokens", F.array(*p).alias("p"))
 
 
-def rate(
-    p: list[Column],
-    residuals: list[list[float]],
-    step: float,
-    ridge: float,
-    start: Column | None = None,
-    least: Column | None = None,
-) -> Column:
-    """The rate after the steps whose residuals are given, from ``start`` (1) on,
-    and never below ``least`` (0)."""
-    start = F.lit(1.0) if start is None else start
-    least = F.lit(0.0) if least is None else least
-    if not residuals:
-        return start
-    history = F.array(*[F.array(*[F.lit(float(g)) for g in step_]) for step_ in residuals])
-
-    def next_rate(r: Column, gradient: Column) -> Column:
-        pull = sum((x * gradient[i] for i, x in enumerate(p)), F.lit(0.0))
-        return F.greatest(least, r * (1 - step * ridge) - (pull - ridge) * step)
-
-    return F.aggregate(history, start, next_rate)
+def rate(p: list[Column], pull: list[float], least: Column) -> Column:
+    """The rate that the pulls of the domains give, never below ``least``."""
+    return F.greatest(least, F.lit(1.0) - sum((x * F.lit(float(g)) for x, g in zip(p, pull)), F.lit(0.0)))
 
 
 @dataclass(frozen=True)
 class Mix:
     """``rows``: doc_id, n_tokens, p, rate (and carried). ``shares``: what the rates make
     of the tokens, domain by domain, as shares of all tokens. ``residuals``: what
-    the shares miss the targets by; above the tolerance if the steps ran out or the
-    targets cannot be met."""
+    the shares miss the targets by; above the tolerance only if the targets cannot
+    be met."""
 
     rows: DataFrame
     shares: dict[str, float]
@@ -224,8 +209,7 @@ def fit_rates(
     whole: str | None = None,
 ) -> Mix:
     """Rates for ``total`` times the corpus's tokens. ``chances`` should be a
-    written table. Rates are written after every few steps, as a table of numbers
-    alone, so that a step replays few of those before it.
+    written table, which each step reads once.
 
     Documents that most likely belong to the domain ``whole`` have a rate of 1 at
     least; ``total`` then grows to what the domain needs for that."""
@@ -245,26 +229,50 @@ def fit_rates(
             total = max(total, mass[of] / wanted[of])
         least = F.when(p[of] >= F.array_max("p"), 1.0).otherwise(0.0)
     wanted = [total * w for w in wanted]
-    step = 1.0 / (1.0 + settings.ridge)
-    residuals: list[list[float]] = []
-    shares = mass
-    at, done = chances.select("p", "n_tokens", F.lit(1.0).alias("rate")), 0
-    for _ in range(settings.steps):
-        gradient = [(s - w) / m if m > 0 else 0.0 for s, w, m in zip(shares, wanted, mass)]
-        if max(abs(s - w) for s, w in zip(shares, wanted)) < settings.tolerance:
-            break
-        if len(residuals) - done == settings.replayed:
-            r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"), least)
-            at, done = written(at.select("p", "n_tokens", r.alias("rate")), "rates"), len(residuals)
-        residuals.append(gradient)
-        r = rate(p, residuals[done:], step, settings.ridge, F.col("rate"), least)
-        sums = at.select(F.col("p"), (tokens * r / all_tokens).alias("w")).agg(
-            *[F.sum(F.col("w") * x) for x in p]
-        )
-        shares = list(sums.first())
-    r = rate(p, residuals, step, settings.ridge, least=least)
-    missed = {d: s - w for d, s, w in zip(domains, shares, wanted)}
-    return Mix(chances.withColumn("rate", r), dict(zip(domains, shares)), len(residuals), missed)
+    can = [i for i, m in enumerate(mass) if m > 0]
+    scale, goal = np.array([mass[i] for i in can]), np.array([wanted[i] for i in can])
+
+    def measured(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of the domains, and the Gram matrix of the documents above their least rate."""
+        full = np.zeros(len(domains))
+        full[can] = pull
+        r = rate(p, list(full), least)
+        free = F.lit(1.0) - sum((x * F.lit(float(g)) for x, g in zip(p, full)), F.lit(0.0)) >= least
+        w = tokens / F.lit(all_tokens)
+        pairs = [(i, j) for i in can for j in can if i <= j]
+        row = chances.agg(
+            *[F.sum(w * r * p[i]) for i in can],
+            *[F.sum(F.when(free, w * p[i] * p[j])) for i, j in pairs],
+        ).first()
+        gram = np.zeros((len(can), len(can)))
+        for (i, j), value in zip(pairs, row[len(can) :]):
+            a, b = can.index(i), can.index(j)
+            gram[a, b] = gram[b, a] = value or 0.0
+        return np.array(row[: len(can)]), gram
+
+    def miss(found: np.ndarray, pull: np.ndarray) -> np.ndarray:
+        return found - goal - settings.ridge * scale * pull
+
+    pull = np.zeros(len(can))
+    found, gram = measured(pull)
+    steps, part = 1, 1.0
+    while steps < settings.steps and np.abs(miss(found, pull)).max() > settings.tolerance and part > 1e-6:
+        error = miss(found, pull)
+        way = np.linalg.lstsq(gram + settings.ridge * np.diag(scale), error, rcond=None)[0]
+        part = 1.0
+        while steps < settings.steps and part > 1e-6:
+            trial = pull + part * way
+            there, gram_there = measured(trial)
+            steps += 1
+            if (miss(there, trial) ** 2 / scale).sum() < (error**2 / scale).sum():
+                pull, found, gram = trial, there, gram_there
+                break
+            part /= 2
+    shares, pulls = np.zeros(len(domains)), np.zeros(len(domains))
+    shares[can], pulls[can] = found, pull
+    rows = chances.withColumn("rate", rate(p, list(pulls), least))
+    missed = {d: float(s - w) for d, s, w in zip(domains, shares, wanted)}
+    return Mix(rows, dict(zip(domains, shares.tolist())), steps, missed)
 
 
 def mix(

@@ -223,7 +223,7 @@ def test_mixing(spark, documents, odd, none):
     assert all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-6 for r in rows)
     for i, name in enumerate(mixing.DOMAINS):
         share = sum(r.rate * r.n_tokens * r.p[i] for r in rows) / total
-        assert abs(share - mixing.TARGETS[name]) < 0.02
+        assert abs(share - mixing.TARGETS[name]) < 1e-4
     strange = mixing.mix(odd, labels.limit(0), domain, mixing.TARGETS, carry=True)
     assert strange.rows.count() == len(ODD)
     assert mixing.mixed_rows(strange).columns == odd.columns
@@ -250,7 +250,7 @@ def test_mixing_tells_what_is_missed(spark):
         for i, name in enumerate(mixing.DOMAINS):
             share = sum(r.rate * r.n_tokens * r.p[i] for r in got) / 4000
             assert abs(share - mixing.TARGETS[name] - mix.residuals[name]) < 1e-9
-    assert mixing.Settings().tolerance == 1e-4
+    assert mixing.Settings().tolerance <= 1e-4
 
 
 def test_dart_signatures():
