@@ -346,6 +346,8 @@ def referenced(worded_pieces: DataFrame) -> DataFrame:
         .filter("first.doc_id < _most")
         .select("window", F.col("first.body").alias("_first"))
     )
+    # written, so that the join is dealt anew and a window of very many pieces can be split
+    repeated = written(repeated, "repeated-windows")
     own = (
         windows.select("window", "body")
         .join(repeated, "window")
