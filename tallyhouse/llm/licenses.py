@@ -120,12 +120,14 @@ NEEDED = {
     "CC-BY": ["by", "attribution"],
 }
 # Words that are common in any prose; they only decide which words are looked for first.
-EVERYDAY = set(
-    "a above all an and any appear are be by can charge conditions copy extent following for free from general "
-    "has in included international is it its law may met name no nor not of on or part possible prior products "
-    "program provided public purpose related required shall source subject terms that the this to under use "
-    "used v version with without work writing written you".split()
-)
+EVERYDAY = {
+    "a", "above", "all", "an", "and", "any", "appear", "are", "be", "by", "can", "charge", "conditions",
+    "copy", "extent", "following", "for", "free", "from", "general", "has", "in", "included", "international",
+    "is", "it", "its", "law", "may", "met", "name", "no", "nor", "not", "of", "on", "or", "part", "possible",
+    "prior", "products", "program", "provided", "public", "purpose", "related", "required", "shall", "source",
+    "subject", "terms", "that", "the", "this", "to", "under", "use", "used", "v", "version", "with",
+    "without", "work", "writing", "written", "you",
+}
 EXCLUDED = {"GPL": ["affero", "lesser", "library"]}
 
 
