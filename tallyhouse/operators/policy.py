@@ -29,6 +29,7 @@ SUSPICIOUS_PARTS = [
     "drop table", "delete from", "insert into", "update set", "union select", "--", ";--", "/*",
     "*/", "xp_", "sp_",
 ]
+# White space is spelled out, because \s means more in some engines than in others.
 SPACE = r"[\t\n\f\r ]"
 FROM_SHAPE = rf"(?i)^{SPACE}*SELECT{SPACE}+[^\n]+{SPACE}+FROM{SPACE}+[\w.]+"
 CONSTANT_SHAPE = rf"(?i)^{SPACE}*SELECT{SPACE}+[\d\t\n\f\r +\-*/]+({SPACE}+as{SPACE}+\w+)?{SPACE}*\z"

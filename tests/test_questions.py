@@ -233,6 +233,7 @@ def test_text_functions(spark):
     assert row.key == "sql:" + hashlib.sha256(b"sqltotal_sales").hexdigest()[:16]
 
 
+# Statements with the verdicts that the policy has to give.
 POLICY_CASES = [
     ("SELECT * FROM users", "ok"),
     ("SELECT id, name FROM users WHERE active = true", "ok"),

@@ -28,7 +28,7 @@ def role_sql(with_details: bool) -> str:
             is_id = kind in INTEGERS and c.endswith(("id", "key"))
             metric = kind in (*INTEGERS, "double") and not is_id
             currency = metric and any(
-                w in c for w in "amount price revenue value cost bal spend budget".split()
+                w in c for w in ["amount", "price", "revenue", "value", "cost", "bal", "spend", "budget"]
             )
             dimension = (
                 f"(SELECT count(DISTINCT {c}) <= greatest(50, 0.01 * count(*)) FROM {t})"
