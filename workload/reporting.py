@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import charts, reports
+from tallyhouse.operators.joins import outer_join
 from tallyhouse.plans.spec import (
     Aggregation,
     Filter,
@@ -627,6 +628,18 @@ def spec_join_full(wh):
     return run_spec(spec_tables(wh), join_spec("FULL"))
 
 
+@query(
+    "outer_join_hot",
+    """SELECT n_nationkey, n_name, c_custkey, c_nationkey FROM (SELECT * FROM nation WHERE n_nationkey < 20)
+       FULL JOIN (SELECT * FROM customer WHERE c_nationkey > 2) ON n_nationkey = c_nationkey""",
+)
+def outer_join_hot(wh):
+    """Nations and their customers: few keys, each of very many rows of the optional side."""
+    nations = wh.table("nation").filter("n_nationkey < 20").select("n_nationkey", "n_name")
+    customers = wh.table("customer").filter("c_nationkey > 2").select("c_custkey", "c_nationkey")
+    return plain(outer_join(nations, customers, [("n_nationkey", "c_nationkey")], "full"))
+
+
 @query(
     "spec_sort_limit",
     """SELECT o_orderkey, o_custkey, o_totalprice FROM orders
