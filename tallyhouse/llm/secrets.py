@@ -2,11 +2,15 @@
 
 A candidate is a run of at least 16 letters, digits or ``+ / _ -`` with a digit
 in it (and up to two ``=`` at its end), whatever of six characters or more is
-assigned to a name of a credential, or the password of a URL. The forest looks at its length, its
+assigned to a name of a credential (after any blanks, on the next line if alone
+there, or between tags), the password of a URL, a private key from its first line
+to its last, or a key of a published form. The forest looks at its length, its
 character classes and their transitions, how much of it a dictionary covers,
-and at the path and the words beside it. It learns from labelled findings. The
+and at the path and the words beside it. It learns from labelled findings, equal
+ones as one of their weight. Private keys and published forms need no vote. The
 trees are laid out as SQL, so that a text is scanned and masked within its row:
-nothing is shuffled, whichever source or copy a text belongs to.
+nothing is shuffled, whichever source or copy a text belongs to; repeated rows
+each have their findings. An empty table gives no rows.
 
 What the driver holds is bounded: the sample of findings and the dictionary
 have sizes of their own. If all labelled findings are of one class, so are all
@@ -31,22 +35,57 @@ from tallyhouse.llm.common import column, texts, written
 #: Characters before and after a candidate that count as beside it.
 BESIDE = 80
 CREDENTIAL = r"token|secret|passw(?:or)?d|passphrase|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer"
-ASSIGNED = r"[:=]\s*[\"'`]?$"
-#: Names end with the word, a digit, or a further part as in ``secret_key`` and
-#: ``accessToken1``; an author is no credential. Lookbehinds need bounds.
+ASSIGNED = r"[:=]>?\s*(?:\\\s+)?[\"'`]?$"
+#: A name with such a word in it, whose part ends there: a secretary is no secret, an
+#: author no credential. Names are tried from their beginning and once, so that
+#: very long texts stay linear; repetition is possessive, so that nothing recurses.
+_NAMED = (
+    rf"(?=[\w\-]*?(?i:{CREDENTIAL})(?!(?i:ors?\b|ored\b|orship))s?+(?![a-z]))[\w\-]++"
+)
+#: What stands before an assigned value: a name, a sign, blanks or a line end
+#: before a value alone on its line, and a quote.
 _ASSIGNED_TO = (
-    rf"(?<=[:=\s\"'`])(?<=[:=][ \t]{{0,4}}[\"'`]?)"
-    rf"(?<=(?i:{CREDENTIAL})(?!(?i:ors?\b|ored\b|orship))(?:s|[A-Z0-9_\-][\w\-]{{0,15}})?[\"'`]?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"'`]?)"
+    rf"(?<![\w\-])(?=[\w\-]++[\"'`]?+[ \t]*+[:=]){_NAMED}[\"'`]?+[ \t]*+(?::=|=>|==?|:)[ \t]*+"
+    r"(?:\\?\r?\n[ \t]*+(?=\S++[ \t]*+(?:[\r\n]|$)))?+[\"'`]?+"
+)
+_TAGGED = rf"<(?:\w++:)?+{_NAMED}(?:\s[^<>\r\n]*+)?+>[ \t]*+"
+#: user: of a URL with user:password@host; a user that may be a key is no prefix.
+_KEY_LIKE = r"[A-Za-z0-9+/_\-]{16}"
+_URL_USER = rf"://(?!{_KEY_LIKE})[^\s/:@\"'`]*+:"
+_PEM_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+#: Forms of keys that tell what they are, as their issuers publish them.
+KNOWN_FORMS = [
+    r"gh[pousr]_[A-Za-z0-9]{36,}+",
+    r"github_pat_[A-Za-z0-9_]{22,}+",
+    r"glpat-[A-Za-z0-9_\-]{20,}+",
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"AIza[A-Za-z0-9_\-]{35}",
+    r"xox[abeoprs]-[A-Za-z0-9\-]{10,}+",
+    r"[sr]k_live_[A-Za-z0-9]{16,}+",
+    r"npm_[A-Za-z0-9]{36}",
+    r"SG\.[A-Za-z0-9_\-]{16,}+\.[A-Za-z0-9_\-]{16,}+",
+    r"eyJ[A-Za-z0-9_\-]{8,}+\.eyJ[A-Za-z0-9_\-]{8,}+\.[A-Za-z0-9_\-]++",
+]
+#: A private key from its first line to its last, or as far as it goes.
+_PEM = (
+    rf"-----BEGIN {_PEM_NAME}(?:(?:[^\-]++|-(?!----))*+-----END {_PEM_NAME}|(?:\s*+[A-Za-z0-9+/=]{{16,}}+)++)"
 )
-#: The password of user:password@host.
-_URL_USER = r"://[^\s/:@\"'`]{0,256}:"
+_KNOWN = rf"(?<![A-Za-z0-9+/_\-])(?:{'|'.join(KNOWN_FORMS)})(?![A-Za-z0-9+/_\-])"
+#: A character of a value without quotes, which ends at a space, a quote or the next parameter.
+_BARE = r"(?:[^\s\"'`&,;]|[,;]++(?=[^\s\"'`,;])|&(?!\w++=))"
+#: What a candidate is assigned to comes first in a match; ``_PREFIX`` takes it off.
 CANDIDATE = (
-    # quoted values up to their quote, others up to a space, quote or next parameter
-    rf"{_ASSIGNED_TO}(?:(?<=\")[^\"\r\n]{{6,}}+(?=\")|(?<=')[^'\r\n]{{6,}}+(?=')|(?<=`)[^`\r\n]{{6,}}+(?=`)"
-    rf"|(?<![\"'`])(?:[^\s\"'`&]|&(?!\w{{1,32}}=)){{5,}}[^\s\"'`&,;])"
-    rf"|(?<=:)(?<={_URL_USER})[^\s/@\"'`]++(?=@)"
+    rf"{_PEM}|{_ASSIGNED_TO}(?!-----BEGIN)(?:(?<=\")[^\"\r\n]{{6,}}+(?=\")|(?<=')[^'\r\n]{{6,}}+(?=')|(?<=`)[^`\r\n]{{6,}}+(?=`)"
+    rf"|(?<![\"'`])(?={_BARE}{{6}}){_BARE}++)"
+    rf"|{_TAGGED}[^\s<>][^<>\r\n]{{5,}}+(?=</)"
+    # such a user is one value with its password
+    rf"|://(?={_KEY_LIKE})[^\s/:@\"'`]++:[^\s/@\"'`]++(?=@)"
+    rf"|{_URL_USER}[^\s/@\"'`]++(?=@)"
+    rf"|{_KNOWN}"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 )
+_PREFIX = rf"^(?:{_ASSIGNED_TO}|{_TAGGED}|{_URL_USER}|://)"
+_BARE_RUN = r"^[A-Za-z0-9+/_\-]+={0,2}$"
 TRANSITION = (
     r"(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 )
@@ -95,22 +134,33 @@ def features(value: Column, before: Column, after: Column, dictionary: list[str]
         "dictionary": covered / F.length(value),
         "path": _share(value, r"[/_\-]"),
         "path_before": before.rlike(r"[/\\.:@#?&]$").cast("double"),
-        "assigned": before.rlike(ASSIGNED).cast("double"),
+        "assigned": before.rlike(f"{ASSIGNED}|{_TAGGED}$").cast("double"),
         "quoted": before.rlike(r"[\"'`]$").cast("double"),
         # a URL's password is assigned to its user
-        "credential": before.rlike(f"(?i)(?:{CREDENTIAL})|{_URL_USER}$").cast("double"),
+        "credential": (before.rlike(f"(?i:{CREDENTIAL})") | _of_url(value, before)).cast("double"),
         "words_beside": F.size(F.array_intersect(_lower_runs(F.concat_ws(" ", before, after)), known)).cast(
             "double"
         ),
     }
 
 
+def _of_url(value: Column, before: Column) -> Column:
+    """Whether a value is the password of a URL, or its user and password."""
+    return before.rlike(_URL_USER + "$") | (before.endswith("://") & value.contains(":"))
+
+
+def known_form(value: Column) -> Column:
+    """Whether a value is a private key, or has the form of an issuer's keys."""
+    return value.startswith("-----BEGIN ") | value.rlike(f"^(?:{'|'.join(KNOWN_FORMS)})$")
+
+
 def label(value: Column, before: Column) -> Column:
-    """1 for a value assigned to a name of a credential, 0 for what is plainly a
-    number, a UUID, a part of a path, a placeholder, or text; null for findings
-    nobody can tell. Passwords of URLs are 1."""
-    url = before.rlike(_URL_USER + "$")
-    credential = before.rlike(rf"(?i)(?:{CREDENTIAL})[\w\-]{{0,16}}[\"'`]?\s*{ASSIGNED}")
+    """1 for a value of a known form, or assigned to a name of a credential, 0 for
+    what is plainly a number, a UUID, a part of a path, a placeholder, or text; null
+    for findings nobody can tell. Passwords of URLs are 1."""
+    credential = before.rlike(
+        rf"(?i:{CREDENTIAL})[\w\-]*+[\"'`]?+\s*+[:=]?{ASSIGNED}|{_TAGGED}$"
+    )
     uuid = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
     placeholder = value.rlike(PLACEHOLDER)
     plain = (
@@ -120,7 +170,7 @@ def label(value: Column, before: Column) -> Column:
         | before.rlike(r"(?:://|/|\\)[^\s\"']*$")
         | (~before.rlike(ASSIGNED) & value.rlike("[A-Za-z]{8,}"))
     )
-    told = url | (credential & ~value.rlike(r"^[0-9]+$"))
+    told = known_form(value) | _of_url(value, before) | (credential & ~value.rlike(r"^[0-9]+$"))
     return F.when(told & ~placeholder, 1.0).when(plain, 0.0)
 
 
@@ -131,14 +181,30 @@ def with_candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = found.select(
         "doc_id",
         "text",
-        F.when(F.col("any"), F.split("text", CANDIDATE, -1)).alias("gaps"),
-        F.when(F.col("any"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0)).alias("values"),
+        F.when(F.col("any"), F.split("text", CANDIDATE, -1)).alias("between"),
+        F.transform(
+            F.when(F.col("any"), F.regexp_extract_all("text", F.lit(CANDIDATE), 0)),
+            lambda m: F.struct(
+                m.alias("match"),
+                F.when(m.rlike(_BARE_RUN), "").otherwise(F.regexp_extract(m, _PREFIX, 0)).alias("prefix"),
+            ),
+        ).alias("matches"),
+    )
+    # a prefix belongs to the text before its value
+    found = found.withColumn(
+        "gaps",
+        F.transform(
+            "between",
+            lambda g, i: F.concat(g, F.coalesce(F.get(F.col("matches"), i)["prefix"], F.lit(""))),
+        ),
     )
     beside = F.transform(
-        F.col("values"),
-        lambda v, i: F.struct(
-            v.alias("value"),
-            F.right(F.get(F.col("gaps"), i), F.lit(BESIDE)).alias("before"),
+        F.col("matches"),
+        lambda m, i: F.struct(
+            F.substring(m["match"], F.length(m["prefix"]) + 1, F.length(m["match"])).alias("value"),
+            F.right(
+                F.get(F.col("gaps"), i), F.greatest(F.lit(BESIDE), F.length(m["prefix"]))
+            ).alias("before"),
             F.left(F.get(F.col("gaps"), i + 1), F.lit(BESIDE)).alias("after"),
         ),
     )
@@ -203,7 +269,12 @@ def train(
         .limit(settings.dictionary)
         .collect()
     )
-    labelled = findings.filter("label IS NOT NULL")
+    # equal findings are one example of their number, so that copies cannot swell the sample
+    labelled = (
+        findings.filter("label IS NOT NULL")
+        .groupBy("value", "before", "after", "label")
+        .agg(F.count("*").cast("double").alias("weight"))
+    )
     sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     known = features(F.col("value"), F.col("before"), F.col("after"), list(dictionary))
     names = tuple(known)
@@ -212,14 +283,15 @@ def train(
         return Forest(names, tuple(sizes), dictionary, settings.least_score)
     share = min(1.0, settings.findings / sum(sizes.values()))
     place = F.pmod(F.xxhash64("value", "before", "after"), F.lit(1 << 20)) / float(1 << 20)
-    sample = labelled.filter(place < share).select(*[c.alias(n) for n, c in known.items()], "label")
+    sample = labelled.filter(place < share).select(*[c.alias(n) for n, c in known.items()], "label", "weight")
     rows = VectorAssembler(inputCols=list(names), outputCol="features").transform(sample)
     model = RandomForestClassifier(
         numTrees=settings.trees,
         maxDepth=settings.depth,
         featureSubsetStrategy="onethird",
+        weightCol="weight",
         seed=7,
-    ).fit(rows.select("features", "label"))
+    ).fit(rows.select("features", "label", "weight"))
     trees = tuple(parse_tree(t.toDebugString.strip().split("\n")[1:])[0] for t in model.trees)
     return Forest(names, trees, dictionary, settings.least_score)
 
@@ -232,7 +304,9 @@ def scan(
 
     def scored(c: Column) -> Column:
         known = features(c["value"], c["before"], c["after"], list(forest.dictionary))
-        return F.struct(c["value"].alias("value"), forest.score(known).alias("score"))
+        # forms of keys need no vote
+        score = F.when(known_form(c["value"]), 1.0).otherwise(forest.score(known))
+        return F.struct(c["value"].alias("value"), score.alias("score"))
 
     rows = with_candidates(docs, id_col, text_col).withColumn(
         "scored", F.transform("candidates", scored)
