@@ -4,17 +4,21 @@ Plain identifiers are found in the text itself. Disguised ones are found in a
 normalised copy made by a chain of transducers; each of them rewrites some
 places and carries, for every character it puts out, where that character
 begins and ends in the source. A span found in the copy is so mapped back to
-source characters. It is added only if a rewritten place lies in it and no
-plain span of the same kind overlaps it, so plain spans always stay.
+source characters. It is added if a rewritten place lies in it and it is no part of a
+plain span of the same kind: ``jane@mail.acme dot com`` has the plain span up to
+``acme`` and an added one that ends with ``com``. Plain spans always stay.
 
 Every search starts once per run of characters, so that very long texts stay
-linear. A null text is an empty one and has no spans.
+linear. A null text is an empty one and has no spans; an empty table gives no
+rows, repeated rows each have their own. Two finds at one place are kept in order
+of their beginnings: plain ones do not overlap each other, nor do added ones.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -209,11 +213,11 @@ def spelled_digits(copy: Copy) -> Copy:
 _AT = r"at|arobase|arroba|klammeraffe|ät"
 _DOT = r"dot|point|punkt|punto"
 _BRACKETED = re.compile(
-    rf"[ \t]{{0,3}}(?:\[[ \t]{{0,2}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,2}}\]|"
+    rf"(?<![ \t])[ \t]*+(?:\[[ \t]{{0,2}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,2}}\]|"
     rf"\([ \t]{{0,2}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,2}}\)|"
     rf"\{{[ \t]{{0,2}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,2}}\}}|"
     rf"<[ \t]{{0,2}}(?:({_AT}|@)|({_DOT}|\.))[ \t]{{0,2}}>|"
-    rf"_(?:({_AT})|({_DOT}))_)[ \t]{{0,3}}",
+    rf"_(?:({_AT})|({_DOT}))_)[ \t]*+",
     re.IGNORECASE,
 )
 # Last parts of host names that end a spoken address in any case.
@@ -221,40 +225,40 @@ TOP_DOMAINS = (
     "com org net edu gov mil int info biz name io ai app dev co me tv eu uk us ca au nz ie de at ch "
     "fr be lu nl es pt it mx ar cl br se no dk fi pl cz ru in jp cn example test invalid"
 ).split()
-_SPOKEN_DOT = rf"(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|[ \t]{{0,2}}\.[ \t]{{0,2}})"
-_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}"
-_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:{_SPOKEN_DOT}[A-Za-z0-9-]{{1,63}}){{0,3}}"
+_SPOKEN_DOT = rf"(?:[ \t]++(?:{_DOT})[ \t]++|[ \t]{{0,2}}\.[ \t]{{0,2}})"
+_NAME = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++"
+_HOST = rf"[A-Za-z0-9-]++(?:{_SPOKEN_DOT}[A-Za-z0-9-]++)*"
 _TLD = rf"(?:{'|'.join(TOP_DOMAINS)})(?![A-Za-z0-9-])"
 # name at host dot tld: where "at" is spoken, the last dot has to be, too
 _SPOKEN = re.compile(
-    rf"{_NAME}[ \t]{{1,3}}(?:{_AT})[ \t]{{1,3}}{_HOST}[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}{_TLD}",
+    rf"{_NAME}[ \t]++(?:{_AT})[ \t]++{_HOST}[ \t]++(?:{_DOT})[ \t]++{_TLD}",
     re.IGNORECASE,
 )
 # the same with any last label, where it is no plain prose: "at the dot of", "at
 # this point in" are left to the list above
-_SPOKEN_HOST = rf"[A-Za-z0-9-]{{1,63}}(?:(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{0,3}}"
+_SPOKEN_HOST = rf"[A-Za-z0-9-]++(?:(?:[ \t]++(?:{_DOT})[ \t]++|\.)[A-Za-z0-9-]++)*"
 _LABEL = r"[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 _PROSE = (
-    rf"(?:the|an?|this|that|each|every|one)[ \t]{{1,3}}(?:{_DOT})[ \t]|"
-    rf"[A-Za-z0-9-]{{1,63}}[ \t]{{1,3}}point[ \t]{{1,3}}{_LABEL}(?![ \t]{{1,3}}(?:{_DOT})[ \t])"
+    rf"(?:the|an?|this|that|each|every|one)[ \t]++(?:{_DOT})[ \t]|"
+    rf"[A-Za-z0-9-]++[ \t]++point[ \t]++{_LABEL}(?![ \t]++(?:{_DOT})[ \t])"
 )
 _SPOKEN_ANY = re.compile(
-    rf"{_NAME}[ \t]{{1,3}}(?:(?!at[ \t])(?:{_AT})[ \t]{{1,3}}|at[ \t]{{1,3}}(?!{_PROSE}))"
-    rf"{_SPOKEN_HOST}[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}{_LABEL}",
+    rf"{_NAME}[ \t]++(?:(?!at[ \t])(?:{_AT})[ \t]++|at[ \t]++(?!{_PROSE}))"
+    rf"{_SPOKEN_HOST}[ \t]++(?:{_DOT})[ \t]++{_LABEL}",
     re.IGNORECASE,
 )
 _HALF_SPOKEN = re.compile(rf"{_NAME}[ \t]{{0,2}}@[ \t]{{0,2}}{_HOST}{_SPOKEN_DOT}{_TLD}", re.IGNORECASE)
-# name dot name@: the spoken dots before an address
+# name dot name: the spoken dots before an address, if an @ follows
 _SPOKEN_NAME = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}[A-Za-z0-9._%+-]{{1,64}}){{1,3}}(?=@)",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:[ \t]++(?:{_DOT})[ \t]++[A-Za-z0-9._%+-]++)++",
     re.IGNORECASE,
 )
 _SPACED = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:[ \t]{1,2}@[ \t]{0,2}|@[ \t]{1,2})"
-    r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:[ \t]{1,2}@[ \t]{0,2}|@[ \t]{1,2})"
+    r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 )
-_SPOKEN_SIGN = re.compile(rf"[ \t]{{1,3}}(?:({_AT})|({_DOT}))[ \t]{{1,3}}|[ \t]{{0,2}}(?:(@)|(\.))[ \t]{{0,2}}", re.IGNORECASE)
-_NAME_DOT = re.compile(rf"[ \t]{{1,3}}(?:{_DOT})[ \t]{{1,3}}", re.IGNORECASE)
+_SPOKEN_SIGN = re.compile(rf"(?<![ \t])[ \t]++(?:({_AT})|({_DOT}))[ \t]++|[ \t]{{0,2}}(?:(@)|(\.))[ \t]{{0,2}}", re.IGNORECASE)
+_NAME_DOT = re.compile(rf"(?<![ \t])[ \t]++(?:{_DOT})[ \t]++", re.IGNORECASE)
 _NUMBER_DOT = re.compile(
     rf"(?<![0-9.])[0-9]{{1,3}}(?:[ \t]{{0,3}}(?:{_DOT}|\.)[ \t]{{0,3}}[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE
 )
@@ -282,6 +286,8 @@ def disguised_signs(copy: Copy) -> Copy:
         copy = copy.rewrite(edits)
     edits = []
     for run in _SPOKEN_NAME.finditer(copy.text) if "@" in copy.text else ():
+        if not copy.text.startswith("@", run.end()):
+            continue
         edits += [
             (*m.span(), ".")
             for m in _NAME_DOT.finditer(copy.text, run.start() + 1, run.end())
@@ -312,12 +318,17 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     added: dict[str, list[Span]] = {k: [] for k in KINDS}
     if copy.changed.any():
         for kind, finder in FINDERS.items():
-            taken = list(plain[kind])
+            begins = [s for s, _ in plain[kind]]
+            last = 0
             for a, b in finder(copy.text):
                 start, end = int(copy.starts[a]), int(copy.ends[b - 1])
-                if copy.changed[a:b].any() and all(end <= s or e <= start for s, e in taken):
+                if not copy.changed[a:b].any() or start < last:
+                    continue
+                # the plain span that begins at or before this one may hold all of it
+                at = bisect_right(begins, start) - 1
+                if at < 0 or plain[kind][at][1] < end:
                     added[kind].append((start, end))
-                    taken.append((start, end))
+                    last = end
     return plain, added
 
 
@@ -330,7 +341,8 @@ def find_personal_data(
 ) -> DataFrame:
     """One row per row of ``docs``: counts of plain spans by kind, the plain
     spans, those added by deobfuscation, and all of them, in code points with
-    the end exclusive. Spans of one kind never overlap; of different kinds they may."""
+    the end exclusive. An added span may hold a plain one of its kind or go on from
+    within it; spans of different kinds may overlap."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
