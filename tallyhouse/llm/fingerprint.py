@@ -6,7 +6,8 @@ of parts merge into the sketch of the whole. A shingle is five words in a row; a
 text of fewer words is one shingle, a text without words has none.
 
 ``likeness`` of two sketches without shingles is 1, of one with and one without
-0. Null texts are empty ones; equal texts have equal sketches.
+0. Null texts are empty ones; equal texts have equal sketches; an empty table
+has none.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tallyhouse.llm.common import column
+from tallyhouse.llm.common import column, written
 
 SHINGLE = 5
 K = 256
@@ -118,6 +120,34 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(F.least(F.lit(1.0), shared / size_a))
 
 
+def _by_number(rows: DataFrame, ranges: int) -> DataFrame:
+    """Adds ``range`` (-1 for no id): between quantiles of numeric ids."""
+    at = rows.withColumn("at", F.col("doc_id").cast("double"))
+    cuts = []
+    if ranges > 1:
+        shares = [i / ranges for i in range(1, ranges)]
+        found = at.agg(F.percentile_approx("at", shares, 20 * ranges).alias("cuts")).first()
+        cuts = sorted(set(found["cuts"] or []))
+    splits = [float("-inf"), *cuts, float("inf")]
+    if len(splits) < 3:
+        splits.insert(1, 0.0)
+    return (
+        Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep")
+        .transform(at)
+        .withColumn("range", F.when(F.col("at").isNull(), -1).otherwise(F.col("range").cast("int")))
+        .drop("at")
+    )
+
+
+def _by_order(rows: DataFrame, ranges: int) -> DataFrame:
+    """Adds ``range`` (-1 for no id) by the order of ids of any other type. It is the
+    partition that Spark's own sampled ranges give, so it is written once: a
+    second run could draw other borders."""
+    dealt = rows.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first())
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(F.spark_partition_id())
+    return written(dealt.withColumn("range", place), "ranges")
+
+
 def with_next(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -128,33 +158,22 @@ def with_next(
     """Rows (doc_id, text, guest) in ranges of ids, and the window that orders a
     range by descending id.
 
-    The ranges hold about equally many rows, whatever the ids are like. The
+    The ranges hold about equally many rows, whatever the ids are like, and follow
+    the order of the ids' own type: numbers by value, texts by their bytes. The
     first row of the range below is a guest at the end of each range (of the
     last range: the very first row), so that ``lead`` finds every row's next one
     within its range, and no task gets more than a range. Rows without id come
     last; rows that repeat an id follow each other by a hash of their text.
     """
     rows = docs.select(
-        column(id_col).alias("doc_id"),
-        F.coalesce(column(text_col), F.lit("")).alias("text"),
-        column(id_col).cast("double").alias("at"),
+        column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text")
     )
     n = rows.count()
     ranges = max(1, min(most_ranges, n // rows_per_range))
-    cuts = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        found = rows.agg(F.percentile_approx("at", shares, 20 * ranges).alias("cuts")).first()
-        cuts = sorted(set(found["cuts"] or []))
-    splits = [float("-inf"), *cuts, float("inf")]
-    if len(splits) < 3:
-        splits.insert(1, 0.0)
-    ranged = (
-        Bucketizer(splits=splits, inputCol="at", outputCol="range", handleInvalid="keep")
-        .transform(rows)
-        .withColumn("range", F.when(F.col("at").isNull(), -1).otherwise(F.col("range").cast("int")))
-        .drop("at")
-    )
+    if isinstance(rows.schema["doc_id"].dataType, NumericType):
+        ranged = _by_number(rows, ranges)
+    else:
+        ranged = _by_order(rows, ranges)
     # one row a range, at most most_ranges + 2 in all
     firsts = ranged.groupBy("range").agg(F.max("doc_id").alias("first"))
     in_order = Window.orderBy("range")
