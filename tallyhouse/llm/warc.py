@@ -7,7 +7,8 @@ their digests, so that it holds one record and one block beyond the archive.
 Archives are rows (``archive``, ``content``) of bounded size rather than files
 of the executors: Spark's committers then see to retries and lost executors,
 and any store that Spark reaches can hold them. ``read_archives`` takes such
-rows as well as ``spark.read.format("binaryFile")``.
+rows as well as ``spark.read.format("binaryFile")``. A null payload is an empty
+one; ids are numbers or any texts; an empty table makes no archive.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,7 +60,7 @@ def fields(lines: list[bytes]) -> dict[str, str]:
     return found
 
 
-def member(record_type: str, page: str, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
+def member(record_type: str, page: str | None, url: str | None, payload: bytes, refers_to: str | None) -> bytes:
     """One record as one gzip member. A revisit keeps the HTTP header, not the payload."""
     http = (
         b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
@@ -68,7 +70,7 @@ def member(record_type: str, page: str, url: str | None, payload: bytes, refers_
     block = http + (payload if record_type == "response" else b"")
     named = {
         "WARC-Type": record_type,
-        "WARC-Record-ID": f"<urn:page:{page}>",
+        "WARC-Record-ID": urn(page),
         "WARC-Date": "1970-01-01T00:00:00Z",
         "WARC-Target-URI": " ".join((url or "").split()),
         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
@@ -77,7 +79,7 @@ def member(record_type: str, page: str, url: str | None, payload: bytes, refers_
         "Content-Length": str(len(block)),
     }
     if refers_to is not None:
-        named |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        named |= {"WARC-Profile": REVISIT_PROFILE, "WARC-Refers-To": urn(refers_to)}
     head = b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in named.items()) + CRLF
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(head + block + CRLF * 2) + pack.flush()
@@ -123,8 +125,17 @@ def read_records(content: bytes) -> Iterator[Record]:
         yield parse(data)
 
 
+def urn(page: str | None) -> str:
+    """The record's name: any text as an id, percent-encoded; no id has no last part."""
+    return "<urn:page>" if page is None else f"<urn:page:{quote(page, safe='')}>"
+
+
 def _named(value: str | None) -> str | None:
-    return None if value is None else value.removeprefix("<urn:page:").removesuffix(">")
+    """The id in such a name; names that others gave are returned as they are."""
+    if value is None or value == "<urn:page>":
+        return None
+    plain = value.removeprefix("<").removesuffix(">")
+    return unquote(plain.removeprefix("urn:page:")) if plain.startswith("urn:page:") else plain
 
 
 def classify(
@@ -175,7 +186,7 @@ def write_archives(records: DataFrame, archive_bytes: int = 4 << 20) -> DataFram
             yield pd.DataFrame({"n": [n], "content": [b"".join(parts)]})
 
     plain = records.select(
-        F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"),
+        F.col("page_id").cast("string").alias("page"),
         "url",
         "payload",
         F.col("refers_to").cast("string").alias("refers"),
@@ -201,7 +212,7 @@ def read_archives(
                     kind = head["warc-type"]
                     out.append(
                         (
-                            _named(head["warc-record-id"]) or None,
+                            _named(head["warc-record-id"]),
                             head["warc-target-uri"],
                             kind,
                             body if kind == "response" else None,
