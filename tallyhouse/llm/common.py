@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.session import run_folder
+from tallyhouse.session import written  # noqa: F401 - used by the operators
 
 
 def column(name: str):
@@ -29,13 +29,5 @@ def id_type(docs: DataFrame, id_col: str) -> str:
     return docs.select(column(id_col)).schema[0].dataType.simpleString()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends here, and a lost
-    executor loses nothing of it."""
-    path = run_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

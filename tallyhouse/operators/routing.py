@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions import text as tx
 from tallyhouse.operators.questions import extract_keywords
+from tallyhouse.session import written
 
 GRAM = 3
 
@@ -35,16 +36,47 @@ def containing(needles: DataFrame, needle: str, haystacks: DataFrame, haystack:
     return found.select(needle, haystack)
 
 
-def dataset_words(catalog: DataFrame, id: str, titles: Sequence[str], order: str | None) -> DataFrame:
-    """The words of each distinct title, and the first dataset that has it. A dataset's
-    title is the first of its ``titles`` that is not NULL."""
+def dataset_titles(catalog: DataFrame, id: str, titles: Sequence[str], order: str | None) -> DataFrame:
+    """Each distinct title, the first dataset that has it, and a number that ascends with
+    the dataset. A dataset's title is the first of its ``titles`` that is not NULL."""
     named = catalog.select(
         F.struct(F.col(order or id).alias("order"), F.col(id).alias("id")).alias("_dataset"),
         F.coalesce(*[F.col(t) for t in titles]).alias("title"),
     )
     first = named.filter(F.col("title").isNotNull()).groupBy("title").agg(F.min("_dataset").alias("_dataset"))
-    spelled = first.withColumn("_word", F.explode(tx.words(F.lower("title"))))
-    return spelled.groupBy("_dataset", "title", "_word").agg(F.count("*").alias("_times"))
+    numbered = first.orderBy("_dataset", "title").withColumn("_title", F.monotonically_increasing_id())
+    return written(numbered, "dataset_titles")
+
+
+def keyword_hits(keywords: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``_hits`` of each keyword that matches a title word: every word that contains it or
+    is contained in it, and after a tab, in one entry, all words that contain it."""
+    pairs = (
+        containing(keywords, "_keyword", vocabulary, "_word")
+        .select("_keyword", "_word", F.lit(True).alias("_whole"))
+        .unionByName(
+            containing(vocabulary, "_word", keywords, "_keyword").select(
+                "_keyword", "_word", F.lit(False).alias("_whole")
+            )
+        )
+        .groupBy("_keyword", "_word")
+        .agg(F.max("_whole").alias("_whole"))
+    )
+    whole = F.array_sort(F.collect_list(F.when(F.col("_whole"), F.col("_word"))))
+    hits = pairs.groupBy("_keyword").agg(F.collect_list("_word").alias("_words"), whole.alias("_in"))
+    entry = F.when(F.size("_in") > 0, F.array(F.concat(F.lit("\t"), F.array_join("_in", "\t"))))
+    none = F.array().cast("array<string>")
+    return hits.select("_keyword", F.concat("_words", F.coalesce(entry, none)).alias("_hits"))
+
+
+def hit_points(spelled: DataFrame, matched: DataFrame) -> DataFrame:
+    """``_points`` of each title for one of the entries in ``_hits``: how often the title
+    has that word, or 2 if it has any of the words that contain the keyword."""
+    entries = matched.select(F.explode("_hits").alias("_hit")).filter(F.col("_hit").startswith("\t")).distinct()
+    in_words = entries.select("_hit", F.explode(F.split(F.substr("_hit", F.lit(2)), "\t")).alias("_word"))
+    whole = in_words.join(spelled, "_word").select("_hit", "_title", F.lit(2).cast("long").alias("_points")).distinct()
+    part = spelled.select(F.col("_word").alias("_hit"), "_title", F.col("_times").alias("_points"))
+    return part.unionByName(whole)
 
 
 def match_datasets(
@@ -65,51 +97,62 @@ def match_datasets(
     title are never found.
 
     Keywords and title words are compared as distinct words through an index of
-    their grams; equal titles, and questions of the same keywords, are scored once. Both sides may
-    be large; what grows is the number of (set of keywords, title) pairs that share
-    a word.
+    their grams. What a question's keywords match is all that counts of it: questions that
+    match the same are scored once, as are equal titles. The scores of a set of matches are
+    added up where it lies, so what is shuffled grows with the questions. The tables of
+    titles, matched keywords and points are written, so that Spark knows their sizes; that
+    of the distinct sets of keywords, so that texts are cut into words once for them.
     """
-    spelled = dataset_words(catalog, id, titles, order)
+    named = dataset_titles(catalog, id, titles, order)
+    spelled = (
+        named.select("_title", F.explode(tx.words(F.lower("title"))).alias("_word"))
+        .groupBy("_title", "_word")
+        .agg(F.count("*").alias("_times"))
+    )
     keyed = extract_keywords(df, text)
     if "keywords" in df.columns:
         raise ValueError("questions must not have a column keywords")
     keyed = keyed.withColumn("_bag", F.concat_ws("\n", F.array_sort("keywords")))
-    bags = keyed.select("_bag").filter("_bag <> ''").distinct()
-    counted = (
-        bags.select("_bag", F.explode(F.split("_bag", "\n")).alias("_keyword"))
-        .groupBy("_bag", "_keyword")
-        .agg(F.count("*").alias("_said"))
+    bags = written(keyed.select("_bag").filter("_bag <> ''").distinct(), "keyword_sets")
+    said = bags.select("_bag", F.explode(F.split("_bag", "\n")).alias("_keyword"))
+    matched = keyword_hits(said.select("_keyword").distinct(), spelled.select("_word").distinct())
+    matched = written(matched, "matched_keywords")
+    points = written(hit_points(spelled, matched), "dataset_points")
+    # one number for all questions that match the same words as often
+    met = (
+        said.join(matched, "_keyword")
+        .groupBy("_bag")
+        .agg(F.array_join(F.array_sort(F.flatten(F.collect_list("_hits"))), "\n").alias("_met"))
     )
-    keywords, vocabulary = counted.select("_keyword").distinct(), spelled.select("_word").distinct()
-    pairs = (
-        containing(keywords, "_keyword", vocabulary, "_word")
-        .select("_keyword", "_word", F.lit(2).alias("_whole"))
-        .unionByName(
-            containing(vocabulary, "_word", keywords, "_keyword").select("_keyword", "_word", F.lit(0).alias("_whole"))
-        )
-        .groupBy("_keyword", "_word")
-        .agg(F.max("_whole").alias("_whole"))
+    met = written(met, "met_titles")
+    sets = written(
+        met.select("_met").distinct().withColumn("_set", F.monotonically_increasing_id()), "sets_met"
     )
-    dataset = ["_dataset", "title"]
-    points = (
-        pairs.join(spelled, "_word")
-        .groupBy("_keyword", *dataset)
-        .agg((F.max("_whole") + F.sum("_times")).alias("_points"))
+    counted = (
+        sets.select("_set", F.explode(F.split("_met", "\n")).alias("_hit"))
+        .groupBy("_set", "_hit")
+        .agg(F.count("*").alias("_said"))
+        .repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_set")
     )
     best = (
-        counted.join(points, "_keyword")
-        .groupBy("_bag", *dataset)
+        counted.join(points, "_hit")
+        .groupBy("_set", "_title")
         .agg(F.sum(F.col("_said") * F.col("_points")).alias("_score"))
-        .groupBy("_bag")
-        .agg(F.min(F.struct((-F.col("_score")).alias("_score"), *dataset)).alias("_best"))
+        .groupBy("_set")
+        .agg(F.min(F.struct((-F.col("_score")).alias("_score"), "_title")).alias("_best"))
+        .select("_set", F.col("_best._title").alias("_title"), (-F.col("_best._score")).alias("score"))
+    )
+    chosen = sets.join(best, "_set").join(named, "_title").select(
+        "_met", F.col("_dataset.id").alias("dataset_id"), "title", "score"
     )
+    found = met.join(chosen, "_met").select("_bag", F.struct("dataset_id", "title", "score").alias("_best"))
     return (
-        keyed.join(best, "_bag", "left")
+        keyed.join(found, "_bag", "left")
         .withColumns(
             {
-                "dataset_id": F.col("_best._dataset.id"),
+                "dataset_id": F.col("_best.dataset_id"),
                 "title": F.col("_best.title"),
-                "score": F.coalesce(-F.col("_best._score"), F.lit(0)),
+                "score": F.coalesce("_best.score", F.lit(0)),
             }
         )
         .drop("_bag", "_best", "keywords")

@@ -128,6 +128,35 @@ def test_match_datasets_keeps_titles_out_of_the_plan(spark):
     assert "number77" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def shuffled_rows(df):
+    """Rows that each shuffle of a table's plan has written."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "Exchange":
+            yield node.metrics().apply("shuffleRecordsWritten").value()
+        below = node.children()
+        parts = [below.apply(i) for i in range(below.size())]
+        if name == "AdaptiveSparkPlan":
+            parts = [node.executedPlan()]
+        elif name.endswith("QueryStage"):
+            parts = [node.plan()]
+        for part in parts:
+            yield from walk(part)
+
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def test_match_datasets_shuffles_questions_and_not_their_titles(spark):
+    rows = [(i, f"d{i}", f"red area number{i}", None) for i in range(60)]
+    asked = [f"reddish{i} area{i} zz{i}" for i in range(400)] + ["number5 area", "number5 number5 red", "zz1"]
+    found = routing.match_datasets(texts(spark, *asked), "text", dataset_catalog(spark, *rows), order="place")
+    assert 0 < max(shuffled_rows(found)) < 2 * len(asked)
+    got = {r.id: (r.dataset_id, r.title, r.score) for r in found.collect()}
+    assert got == {i: slow_match(t, rows) for i, t in enumerate(asked)}
+
+
 def test_dataset_rows(spark):
     catalog = dataset_catalog(spark, (2, "a", "second", None), (1, "a", "first", "x"), (3, "b", None, "y"))
     wanted = spark.createDataFrame([(1, "a"), (2, "b"), (3, "gone"), (4, None)], "n int, want string")
