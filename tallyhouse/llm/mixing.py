@@ -9,9 +9,10 @@ their targets, by projected gradient steps on
 
 with w the documents' shares of the tokens. Measured in w, a document's gradient
 is a function of its p alone, and all steps so far add up to one pull per domain:
-r = max(0, 1 - pull . p). Steps are scaled by the Gram matrix of the documents still
-above 0, which makes them few (about seven); a step that does not bring the targets
-nearer is halved. Each is one aggregation, which every task combines before a handful
+r = max(0, 1 - pull . p). What the shares miss is the slope of a convex function of the
+pulls. Steps are scaled by the Gram matrix of the documents still above 0 and make that
+function smaller, or else are halved: so they are few (about seven, a dozen for targets
+that cannot be met). Each is one aggregation, which every task combines before a handful
 of rows are shuffled.
 
 The driver holds the pulls, a Gram matrix of the domains, a lexicon of bounded size and the
@@ -232,40 +233,52 @@ def fit_rates(
     can = [i for i, m in enumerate(mass) if m > 0]
     scale, goal = np.array([mass[i] for i in can]), np.array([wanted[i] for i in can])
 
-    def measured(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shares of the domains, and the Gram matrix of the documents above their least rate."""
+    room = F.lit(1.0) - least
+
+    def measured(pull: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares of the domains, the Gram matrix of the documents above their least rate,
+        and the value whose slope is what the shares miss."""
         full = np.zeros(len(domains))
         full[can] = pull
         r = rate(p, list(full), least)
-        free = F.lit(1.0) - sum((x * F.lit(float(g)) for x, g in zip(p, full)), F.lit(0.0)) >= least
+        pulled = sum((x * F.lit(float(g)) for x, g in zip(p, full)), F.lit(0.0))
+        free = F.lit(1.0) - pulled >= least
+        given = F.when(free, pulled - pulled * pulled / 2).otherwise(
+            room - room * room / 2 + least * (pulled - room)
+        )
         w = tokens / F.lit(all_tokens)
         pairs = [(i, j) for i in can for j in can if i <= j]
         row = chances.agg(
             *[F.sum(w * r * p[i]) for i in can],
             *[F.sum(F.when(free, w * p[i] * p[j])) for i, j in pairs],
+            F.sum(w * given),
         ).first()
         gram = np.zeros((len(can), len(can)))
-        for (i, j), value in zip(pairs, row[len(can) :]):
+        for (i, j), value in zip(pairs, row[len(can) : -1]):
             a, b = can.index(i), can.index(j)
             gram[a, b] = gram[b, a] = value or 0.0
-        return np.array(row[: len(can)]), gram
+        value = goal @ pull + settings.ridge / 2 * (scale * pull**2).sum() - row[-1]
+        return np.array(row[: len(can)]), gram, float(value)
 
     def miss(found: np.ndarray, pull: np.ndarray) -> np.ndarray:
         return found - goal - settings.ridge * scale * pull
 
+    def met(found: np.ndarray, pull: np.ndarray) -> bool:
+        return np.abs(miss(found, pull)).max() <= settings.tolerance
+
     pull = np.zeros(len(can))
-    found, gram = measured(pull)
+    found, gram, value = measured(pull)
     steps, part = 1, 1.0
-    while steps < settings.steps and np.abs(miss(found, pull)).max() > settings.tolerance and part > 1e-6:
+    while steps < settings.steps and not met(found, pull) and part > 1e-6:
         error = miss(found, pull)
         way = np.linalg.lstsq(gram + settings.ridge * np.diag(scale), error, rcond=None)[0]
-        part = 1.0
+        slope, part = error @ way, 1.0
         while steps < settings.steps and part > 1e-6:
             trial = pull + part * way
-            there, gram_there = measured(trial)
+            there, gram_there, value_there = measured(trial)
             steps += 1
-            if (miss(there, trial) ** 2 / scale).sum() < (error**2 / scale).sum():
-                pull, found, gram = trial, there, gram_there
+            if value_there <= value - 1e-4 * part * slope or met(there, trial):
+                pull, found, gram, value = trial, there, gram_there, value_there
                 break
             part /= 2
     shares, pulls = np.zeros(len(domains)), np.zeros(len(domains))

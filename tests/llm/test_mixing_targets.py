@@ -62,6 +62,25 @@ def test_targets_out_of_reach(spark):
     assert np.isfinite(rates).all() and np.abs(rates - want).max() < 1e-2
 
 
+@pytest.mark.parametrize("soft", [0.3, 2.0])
+def test_targets_below_what_good_documents_bring(spark, soft):
+    """Good documents stay whole, so the toxic target cannot be met: the steps end, and
+    where the objective is least."""
+    p, tokens = table(7, 500, soft)
+    found = mixing.fit_rates(chances_of(spark, p, tokens), mixing.TARGETS, whole="good")
+    assert found.steps < 40 and found.residuals["toxic"] > 1e-2
+    rates = np.array([r.rate for r in found.rows.orderBy("doc_id").collect()])
+    good = p[:, 0] >= p.max(axis=1)
+    assert np.isfinite(rates).all() and (rates >= 0).all() and (rates[good] >= 1).all()
+    w = tokens / tokens.sum()
+    mass = w @ p
+    total = max(1.0, mass[0] / mixing.TARGETS["good"])
+    missed = (w * rates) @ p - total * np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    gradient = p @ (missed / mass) + 1e-6 * (rates - 1)
+    least = np.where(good, 1.0, 0.0)
+    assert np.abs(rates - np.maximum(least, rates - gradient)).max() < 1e-3
+
+
 def test_a_domain_that_is_nowhere(spark):
     p, tokens = table(3)
     p[:, 2] = 0
