@@ -203,8 +203,9 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-# Query vectors a task holds at once, and scores it computes at once.
-CELL_QUERIES = 1024
+# Query vectors a task holds at once, in number and bytes, and scores it computes at once.
+CELL_QUERIES = 8192
+CELL_BYTES = 1 << 25
 CELL_SCORES = 1 << 20
 # Up to so many queries are sent to every task.
 BROADCAST_QUERIES = 2048
@@ -234,8 +235,9 @@ def top_k(
 
     Few queries go to every task that scans vectors, which are then not shuffled. More
     queries are laid out in a grid: rows of vectors by columns of queries, each cell a
-    group of at most about ``CELL_QUERIES`` queries and a share of the vectors. Both
-    ways multiply in blocks and keep the best ``k`` of a query per task, so tasks x
+    group of at most about ``CELL_QUERIES`` queries and a share of the vectors. The grid
+    has a cell for each shuffle partition, in the shape that sends the fewest rows; only
+    where its groups of queries would be too large it has more columns. Both ways multiply in blocks and keep the best ``k`` of a query per task, so tasks x
     queries x k rows are ranked, never pairs. Either way it is one job, however many
     queries there are.
     """
@@ -246,7 +248,7 @@ def top_k(
         vectors.select(
             place.alias("collection"),
             F.col(_name(id)).alias("id"),
-            F.col(_name(vector)).cast("array<double>").alias("v"),
+            _components(vectors, vector).alias("v"),
             extra.alias("payload"),
         ),
         "id",
@@ -255,7 +257,7 @@ def top_k(
         queries.select(
             place.alias("collection"),
             F.col(_name(query_id)).alias("query_id"),
-            F.col(_name(query_vector)).cast("array<double>").alias("v"),
+            _components(queries, query_vector).alias("v"),
         ),
         "query_id",
     )
@@ -273,8 +275,12 @@ def top_k(
         shared = spark.sparkContext.broadcast(_by_collection(few))
         found = table.mapInArrow(_search_shared(shared, k, schema), schema)
     else:
-        columns = -(-asked.count() // CELL_QUERIES)
-        rows = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // columns)
+        rows, columns = _grid(
+            table.count(),
+            asked.count(),
+            int(spark.conf.get("spark.sql.shuffle.partitions")),
+            max(len(r["v"]) for r in few),
+        )
         found = _cells(table, asked, rows, columns).mapInArrow(_search_cells(k, schema), schema)
     best = Window.partitionBy("collection", "query_id").orderBy(F.desc("score"), F.asc("id"))
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -291,6 +297,21 @@ def _usable(df: DataFrame, id: str) -> DataFrame:
     return df.filter(F.col(id).isNotNull() & F.col("collection").isNotNull() & finite & (F.size("v") > 0))
 
 
+def _components(df: DataFrame, vector: str) -> Column:
+    """Components as they are stored, if as floats: half the bytes of doubles in a shuffle."""
+    kind = df.select(F.col(_name(vector))).schema[0].dataType.simpleString()
+    return F.col(_name(vector)).cast("array<float>" if kind == "array<float>" else "array<double>")
+
+
+def _grid(vectors: int, queries: int, cells: int, dimensions: int) -> tuple[int, int]:
+    """Rows and columns of the grid. All queries are sent once for each row and all vectors
+    once for each column, which is least where both are sent as often as the other."""
+    most = max(1, min(CELL_QUERIES, CELL_BYTES // (8 * dimensions)))
+    balanced = min(cells, max(1, round((cells * queries / max(vectors, 1)) ** 0.5)))
+    columns = max(balanced, -(-queries // most))
+    return max(1, cells // columns), columns
+
+
 def _cells(table: DataFrame, asked: DataFrame, rows: int, columns: int) -> DataFrame:
     """Queries and vectors of every cell of the grid, queries first."""
 
@@ -346,7 +367,8 @@ class _Best:
         dimensions = self.matrix.shape[1]
         if (vectors.value_lengths().to_numpy(zero_copy_only=False) != dimensions).any():
             raise ValueError(f"vectors need {dimensions} components")
-        data = _unit(vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions))
+        data = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        data = _unit(data.reshape(-1, dimensions))
         step = max(1, CELL_SCORES // len(self.queries))
         for start in range(0, len(data), step):
             scores = np.round(self.matrix @ data[start : start + step].T, 9)

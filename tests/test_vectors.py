@@ -123,6 +123,20 @@ def test_many_queries_shuffle_no_pairs(spark):
     assert "Join" not in plan
 
 
+def test_many_queries_send_few_copies(spark):
+    """Queries and vectors are sent to as many cells as needed, floats as floats."""
+    kind = "array<float>"
+    table = spark.range(9000).select("id", F.array(F.sin("id"), F.cos("id")).cast(kind).alias("v"))
+    found = vectors.top_k(table, table, 1, "id", "v", "id", "v")
+    assert {(r.query_id, r.id) for r in found.collect()} >= {(i, i) for i in range(0, 9000, 7)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "as array<double>" not in plan
+    rows, columns = vectors._grid(9000, 9000, 8, 2)
+    assert (rows + columns) * 9000 <= 6 * 9000 and rows * columns >= 6
+    assert vectors._grid(720_000, 720_000, 200, 64) == (2, 88)
+    assert vectors._grid(0, 5, 8, 2) == (1, 6) and vectors._grid(10**6, 3000, 200, 64) == (200, 1)
+
+
 def test_own_embedding(spark):
     def loaded_lengths():
         """A model of one's own: counts of letters, and no embedding of the word bad."""
