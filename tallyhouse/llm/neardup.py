@@ -18,8 +18,10 @@ bucket each node is compared with the bucket's first, in an order drawn by a
 hash; the similarity is computed exactly, and pairs of the least similarity or
 more are linked. In the opening round a node meets a few of its buckets' firsts,
 which joins most copies. Then the buckets that still hold several classes are
-drawn in other orders, and nodes meet all firsts of another class, until a round
-links nothing new. What the draws have left open is finished exactly: nodes of
+drawn in several other orders at once, and nodes meet all firsts of another class.
+Such a round is repeated while it links as much as a fair share of all before, so
+the number of rounds does not follow the few pairs that meet by chance in buckets
+of unlike texts. What the draws have left open is finished exactly: nodes of
 buckets that still hold several classes are joined on the rarest of the shingles
 that several classes share. Two sets of the least similarity have one in common
 among the first few of them, and are of like sizes, so that no pair is missed.
@@ -275,33 +277,42 @@ def nodes_of(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
 
 #: Firsts that a node is compared with in the opening round; later rounds know no limit.
 OPENING = 4
+#: Orders that a later round draws at once; it is repeated while it makes at least one
+#: link for every so many that were made before it.
+DRAWS, AGAIN = 4, 4
 
 
-def drawn_pairs(bucket_rows: DataFrame, salt: int) -> DataFrame:
+def drawn_pairs(bucket_rows: DataFrame, salts: range, limit: int | None = None) -> DataFrame:
     """Pairs (node, other, class, other_class) of each node with the firsts of
-    its buckets, once each, if their classes differ. Firsts are drawn by one
-    order over all buckets, so that the same few serve a group of copies."""
-    at = F.xxhash64("node", F.lit(salt)).alias("at")
+    its buckets, once each, if their classes differ; with the earliest ``limit``
+    of them only, if given. The firsts of a salt are drawn by one order over all
+    buckets, so that the same few serve a group of copies."""
+    orders = [F.struct(F.xxhash64("node", F.lit(s)).alias("at"), "node", "class") for s in salts]
     heads = (
         bucket_rows.groupBy("bucket")
         .agg(
-            F.min(F.struct(at, F.col("node"), F.col("class"))).alias("first"),
+            F.array(*map(F.min, orders)).alias("firsts"),
             F.min("class").alias("low"),
             F.max("class").alias("high"),
         )
         .filter("low <> high")
-        .select("bucket", "first")
+        .select("bucket", "firsts")
     )
+    if limit is None:
+        # the same node may come first in several orders, whose places do not matter
+        plain = F.transform("firsts", lambda f: F.struct(f["node"].alias("node"), f["class"].alias("class")))
+        heads = heads.select("bucket", F.array_distinct(plain).alias("firsts"))
+    # a node has as many firsts as buckets times orders at most; one shuffle by node
+    # serves both their union and the join with the node's set
+    others = F.filter("firsts", lambda f: f["class"] != F.col("class"))
     met = (
         bucket_rows.join(heads, "bucket")
-        .filter(F.col("class") != F.col("first.class"))
-        .select("node", "class", "first")
-        .distinct()
+        .select("node", "class", F.explode(others).alias("first"))
+        .groupBy("node")
+        .agg(F.min("class").alias("class"), F.collect_set("first").alias("firsts"))
     )
-    if salt == 0:
-        firsts = F.slice(F.sort_array(F.collect_list("first")), 1, OPENING)
-        met = met.groupBy("node", "class").agg(firsts.alias("firsts"))
-        met = met.select("node", "class", F.explode("firsts").alias("first"))
+    firsts = F.col("firsts") if limit is None else F.slice(F.sort_array("firsts"), 1, limit)
+    met = met.select("node", "class", F.explode(firsts).alias("first"))
     return met.select(
         "node", "class", F.col("first.node").alias("other"), F.col("first.class").alias("other_class")
     )
@@ -477,16 +488,23 @@ def near_duplicates(
         "sets",
     )
     # links join classes: what earlier rounds have linked is one node to later ones
-    classes, salt, drawing = None, 0, True
+    classes, salt, linked, drawing = None, 0, 0, True
     rows = bucket_rows.withColumn("class", F.col("node"))
     while True:
-        pairs = drawn_pairs(rows, salt) if drawing else left_pairs(rows, sets, settings)
+        if not drawing:
+            pairs = left_pairs(rows, sets, settings)
+        elif salt == 0:
+            pairs = drawn_pairs(rows, range(1), OPENING)
+        else:
+            pairs = drawn_pairs(rows, range(salt, salt + DRAWS))
         found = written(verified(pairs, sets, settings), "similar")
-        if found.isEmpty():
-            if not drawing:
+        links, exact = found.count(), not drawing
+        # the opening round sees but some of the pairs, and draws may miss some
+        drawing = drawing and (salt == 0 or links * AGAIN >= max(linked, 1))
+        salt, linked = salt + (DRAWS if salt else 1), linked + links
+        if links == 0:
+            if exact:
                 break
-            # the opening round sees but some of the pairs, and draws may miss some
-            drawing, salt = salt == 0, salt + 1
             continue
         joined = components(found).select(F.col("node").alias("class"), F.col("class").alias("into"))
         if classes is None:
@@ -503,9 +521,8 @@ def near_duplicates(
         rows = bucket_rows.join(classes, "node", "left").withColumn(
             "class", F.coalesce("class", "node")
         )
-        if not drawing:
+        if exact:
             break  # all pairs of different classes were compared
-        salt += 1
     if classes is None:
         classes = members.select("node", F.col("node").alias("class")).limit(0)
     found = members.join(classes, "node", "left").select(
