@@ -303,13 +303,18 @@ def drawn_pairs(bucket_rows: DataFrame, salts: range, limit: int | None = None)
         plain = F.transform("firsts", lambda f: F.struct(f["node"].alias("node"), f["class"].alias("class")))
         heads = heads.select("bucket", F.array_distinct(plain).alias("firsts"))
     # a node has as many firsts as buckets times orders at most; one shuffle by node
-    # serves both their union and the join with the node's set
+    # serves both their union and the join with the node's set. Buckets hand over the
+    # array of theirs, so that a row is made of a first once, not in each bucket
     others = F.filter("firsts", lambda f: f["class"] != F.col("class"))
     met = (
         bucket_rows.join(heads, "bucket")
-        .select("node", "class", F.explode(others).alias("first"))
+        .select("node", "class", others.alias("others"))
+        .filter(F.size("others") > 0)
         .groupBy("node")
-        .agg(F.min("class").alias("class"), F.collect_set("first").alias("firsts"))
+        .agg(
+            F.min("class").alias("class"),
+            F.array_distinct(F.flatten(F.collect_list("others"))).alias("firsts"),
+        )
     )
     firsts = F.col("firsts") if limit is None else F.slice(F.sort_array("firsts"), 1, limit)
     met = met.select("node", "class", F.explode(firsts).alias("first"))
