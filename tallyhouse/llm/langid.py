@@ -157,6 +157,33 @@ def sampled(labelled: DataFrame, languages: dict[str, int], settings: Settings)
     )
 
 
+#: Texts whose vectors a task holds and hands over together; a vector can be many times
+#: longer than its text's place in a batch suggests.
+TOGETHER = 128
+
+
+def examples_of(
+    batches: Iterable[pd.DataFrame], idf: np.ndarray, names: tuple[str, ...], settings: Settings
+) -> Iterator[pd.DataFrame]:
+    """Shard, label and vector of each row (text, lang, shard), a few rows at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), TOGETHER):
+            part = batch.iloc[start : start + TOGETHER]
+            places, values = [], []
+            for text in part["text"]:
+                at, value = vector(text, idf, settings)
+                places.append(at.astype(np.int32))
+                values.append(value.astype(np.float32))
+            yield pd.DataFrame(
+                {
+                    "shard": part["shard"].to_numpy(),
+                    "label": [names.index(x) for x in part["lang"]],
+                    "places": places,
+                    "values": values,
+                }
+            )
+
+
 def train(
     docs: DataFrame,
     labelled: Column,
@@ -180,17 +207,7 @@ def train(
     shared = rows.sparkSession.sparkContext.broadcast(idf)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [vector(t, shared.value, settings) for t in batch["text"]]
-            if found:
-                yield pd.DataFrame(
-                    {
-                        "shard": batch["shard"],
-                        "label": [names.index(x) for x in batch["lang"]],
-                        "places": [p.astype(np.int32) for p, _ in found],
-                        "values": [v.astype(np.float32) for _, v in found],
-                    }
-                )
+        return examples_of(batches, shared.value, names, settings)
 
     examples = written(
         sampled(rows, sizes, settings).mapInPandas(
