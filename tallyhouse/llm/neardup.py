@@ -82,7 +82,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Hashes of words met before. Rare words are most of what a larger one would hold.
 _WORDS: dict[str, int] = {}
+KNOWN_WORDS = 50_000
 
 
 def shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def shingles(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     words = WORD.findall(text)
     if not words:
         return np.empty(0, U64), np.empty(0, np.int64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > KNOWN_WORDS:
         _WORDS.clear()
     known = []
     for word in words:

@@ -33,3 +33,10 @@ def test_a_first_of_many_buckets_is_one_row(spark):
         assert all(r["class"] == r.node != r.other == r.other_class for r in found)
         made = rows_made(pairs._jdf.queryExecution().executedPlan(), "Generate")
         assert made == len(found) <= 60 * len(salts), (made, len(found))
+
+
+def test_hashes_of_words_take_little_memory():
+    """A worker keeps its words while it waits, beside all that run in its executor."""
+    for i in range(200):
+        neardup.shingles(" ".join(f"w{i}x{j}" for j in range(1000)), 5)
+    assert len(neardup._WORDS) <= 60_000
